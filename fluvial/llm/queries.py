@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, toxicity
+from . import bpe, decontam, hostrules, langid, toxicity
 from .common import crc_bucket
 
 
@@ -34,5 +34,14 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.withColumn("held_out", held), model, keep=("doc_id", "held_out"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op5_byte_bpe, op6_toxicity)}
-ORACLES: dict[str, str] = {}
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hostrules.judge(table(spark, sf_dir, "documents")).drop("host_rate")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op5_byte_bpe, op6_toxicity, op7_decontamination, op9_host_rules)}
+ORACLES: dict[str, str] = {"op7_decontamination": decontam.ORACLE_SQL, "op9_host_rules": hostrules.ORACLE_SQL}
