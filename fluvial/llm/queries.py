@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, hostrules, langid, toxicity
+from . import bpe, decontam, hostrules, langid, sufdedup, toxicity
 from .common import crc_bucket
 
 
@@ -20,6 +20,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.withColumn("held_out", held), model, keep=("doc_id", "held_out"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sufdedup.dedup(table(spark, sf_dir, "documents"), digests=True)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str, ranks_file: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     import public_tokenizers
 
@@ -43,5 +47,5 @@ def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.judge(table(spark, sf_dir, "documents")).drop("host_rate")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op5_byte_bpe, op6_toxicity, op7_decontamination, op9_host_rules)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op5_byte_bpe, op6_toxicity, op7_decontamination, op9_host_rules)}
 ORACLES: dict[str, str] = {"op7_decontamination": decontam.ORACLE_SQL, "op9_host_rules": hostrules.ORACLE_SQL}
