@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, hostrules, langid, sufdedup, toxicity
+from . import bpe, decontam, hostrules, langid, neardup, sufdedup, toxicity
 from .common import crc_bucket
 
 
@@ -43,9 +43,13 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.judge(table(spark, sf_dir, "documents")).drop("host_rate")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op5_byte_bpe, op6_toxicity, op7_decontamination, op9_host_rules)}
-ORACLES: dict[str, str] = {"op7_decontamination": decontam.ORACLE_SQL, "op9_host_rules": hostrules.ORACLE_SQL}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op5_byte_bpe, op6_toxicity, op7_decontamination, op8_near_duplicates, op9_host_rules)}
+ORACLES: dict[str, str] = {"op7_decontamination": decontam.ORACLE_SQL, "op8_near_duplicates": neardup.ORACLE_SQL, "op9_host_rules": hostrules.ORACLE_SQL}
