@@ -41,23 +41,32 @@ def windows(benchmark: DataFrame, size: int = 10, text: str = "text", item: str
     return each.groupBy("win", "len", "anchor").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def _spans(rows: DataFrame, keep: list[str], found: list, lengths: list[int], size: int) -> DataFrame:
-    """Adds ``at``: struct(start, len, win) of window hits by hash, null for documents without one."""
+def _with_hits(rows: DataFrame, keep: list[str], found: list) -> DataFrame:
+    """Adds ``n_words`` and ``ats``: array of struct(start, len, win) of all windows that occur, compared word by word."""
     anchors = [r["anchor"] for r in found]
     hashes = [r["h"] for r in found]
-    near = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: F.element_at("w", i).isin(anchors))
-    rows = rows.select(*keep, "w", F.size("w").alias("n_words"), F.when(F.size("w") > 0, near).otherwise(F.array().cast("array<int>")).alias("near"))
+    wins = [r["win"] for r in found]
     none = F.array().cast("array<int>")
+    near = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: F.element_at("w", i).isin(anchors))
+    rows = rows.select(*keep, "w", F.size("w").alias("n_words"), F.when(F.size("w") > 0, near).otherwise(none).alias("near"))
 
     def hits(n: int) -> Column:
         lo, hi = lambda i: F.greatest(F.lit(1), i - F.lit(n - 1)), lambda i: F.least(i, F.size("w") - F.lit(n - 1))
         starts = F.flatten(F.transform("near", lambda i: F.when(lo(i) <= hi(i), F.sequence(lo(i), hi(i))).otherwise(none)))
         hit = F.filter(F.array_distinct(starts), lambda s: F.xxhash64(F.slice("w", s, n)).isin(hashes))
-        return F.transform(hit, lambda s: F.struct(s.alias("start"), F.lit(n).alias("len"), F.array_join(F.slice("w", s, n), " ").alias("win")))
+        spans = F.transform(hit, lambda s: F.struct(s.alias("start"), F.lit(n).alias("len"), F.array_join(F.slice("w", s, n), " ").alias("win")))
+        return F.filter(spans, lambda x: x["win"].isin(wins))
+
+    parts = [hits(n) for n in sorted({r["len"] for r in found})]
+    empty = F.array().cast("array<struct<start:int,len:int,win:string>>")
+    ats = F.when(F.size("near") > 0, F.concat(*parts) if parts else empty).otherwise(empty)
+    return rows.select(*keep, "n_words", ats.alias("ats"))
+
 
-    parts = [hits(n) for n in lengths]
-    at = F.concat(*parts) if len(parts) > 1 else parts[0]
-    return rows.select(*keep, "n_words", F.when(F.size("near") > 0, at).alias("ats")).select(*keep, "n_words", F.explode_outer("ats").alias("at"))
+def _bounded(wins: DataFrame, most_windows: int) -> list | None:
+    """All windows, if there are at most so many: these go into the plan as literals."""
+    some = wins.select("win", "anchor", "len", F.xxhash64(F.split("win", " ")).alias("h")).limit(most_windows + 1).collect()
+    return some if len(some) <= most_windows else None
 
 
 def _all_spans(rows: DataFrame, keep: list[str], lengths: list[int]) -> DataFrame:
@@ -72,19 +81,16 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = 10, text: str = "tex
     named = [f"__k{i}" for i in range(len(keep))]
     rows = docs.select(*(F.col(k).alias(n) for k, n in zip(keep, named, strict=True)), F.monotonically_increasing_id().alias("__row"), words(F.col(text)).alias("w"))
     own = [*named, "__row"]
-    some = wins.select("anchor", "len", F.xxhash64(F.split("win", " ")).alias("h")).limit(most_windows + 1).collect()  # bounded: decides the way
-    lengths = sorted({r["len"] for r in some}) or [size]
-    if not some:
-        spans = rows.select(*own, F.size("w").alias("n_words"), F.lit(None).cast("struct<start:int,len:int,win:string>").alias("at"))
-        hits = spans.select(*own, "n_words", F.lit(None).cast("struct<start:int,len:int>").alias("span"), F.lit(None).cast("array<string>").alias("items"))
+    some = _bounded(wins, most_windows)
+    sets = wins.select("win", "items")
+    if some is not None:
+        spans = _with_hits(rows, own, some).select(*own, "n_words", F.explode_outer("ats").alias("at"))
+        sets = F.broadcast(sets)
     else:
-        small = len(some) <= most_windows
-        if not small:
-            lengths = sorted(r["len"] for r in wins.select("len").distinct().collect())  # at most ``size`` values
-        spans = _spans(rows, own, some, lengths, size) if small else _all_spans(rows, own, lengths)
-        sets = wins.select("win", "items")
-        joined = spans.join(F.broadcast(sets) if small else sets, spans["at.win"] == sets["win"], "left")
-        hits = joined.select(*own, "n_words", F.when(F.col("items").isNotNull(), F.struct(F.col("at.start"), F.col("at.len"))).alias("span"), "items")
+        lengths = sorted(r["len"] for r in wins.select("len").distinct().collect())  # at most ``size`` values
+        spans = _all_spans(rows, own, lengths)
+    joined = spans.join(sets, spans["at.win"] == sets["win"], "left")
+    hits = joined.select(*own, "n_words", F.when(F.col("items").isNotNull(), F.struct(F.col("at.start"), F.col("at.len"))).alias("span"), "items")
     per = hits.groupBy(*own, "n_words").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     n_hit = F.expr("aggregate(spans, named_struct('n', 0L, 'e', 0), (a, s) -> named_struct('n', a.n + greatest(0, s.start + s.len - greatest(a.e, s.start)), 'e', greatest(a.e, s.start + s.len)), a -> a.n)")
     return per.select(*(F.col(n).alias(k) for k, n in zip(keep, named, strict=True)), F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans", (F.size("spans") > 0).alias("contaminated"))
@@ -101,13 +107,28 @@ def _cut(text: Column, spans: Column) -> Column:
     return F.concat(F.element_at(F.split(text, word), 1), F.array_join(pieces, ""))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", text: str = "text", **options) -> DataFrame:
-    """The documents without contaminated ones (``documents``) or without their hit words (``spans``); same columns."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", text: str = "text", size: int = 10, item_text: str = "text", item: str = "item_id", most_windows: int = 20_000) -> DataFrame:
+    """The documents without contaminated ones (``documents``) or without their hit words (``spans``); same columns.
+
+    With a bounded benchmark this is one pass over the documents, without a shuffle.
+    """
     columns = docs.columns
-    found = find(docs, benchmark, text=text, keep=tuple(columns), **options)
+    wins = windows(benchmark, size, item_text, item)
+    some = _bounded(wins, most_windows)
+    named = [f"__k{i}" for i in range(len(columns))]
+    if some is None:  # all windows are joined: the documents meet their spans again by a row number
+        rows = docs.select(*(F.col(k).alias(n) for k, n in zip(columns, named, strict=True)), F.struct(*columns).alias("__all"))
+        found = find(rows.withColumn("__text", F.col(f"__all.{text}")), benchmark, size, "__text", item_text, item, ("__all",), most_windows)
+        found = found.select(*(F.col(f"__all.{c}").alias(n) for c, n in zip(columns, named, strict=True)), "spans")
+    else:
+        rows = docs.select(*(F.col(k).alias(n) for k, n in zip(columns, named, strict=True)), words(F.col(text)).alias("w"))
+        found = _with_hits(rows, named, some).select(*named, F.col("ats").alias("spans"))
+    body = named[columns.index(text)]
     if mode == "documents":
-        return found.where(~F.col("contaminated")).select(*columns)
-    return found.withColumn(text, remove_spans(F.col(text), F.col("spans"))).select(*columns)
+        found = found.where(F.size("spans") == 0)
+    else:
+        found = found.withColumn(body, remove_spans(F.col(body), F.col("spans")))
+    return found.select(*(F.col(n).alias(c) for n, c in zip(named, columns, strict=True)))
 
 
 ORACLE_SQL = r"""

@@ -278,8 +278,8 @@ def dedup(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
     order = F.xxhash64(*(F.col(k).cast("string") for k in keep), F.col(text))
     # a grouping column of its own: all bytes of a batch are in one task, and the text is shuffled this once
     staged = docs.select(*keep, F.col(text).alias("__text"), order.alias("__order")).withColumn("__batch", F.pmod("__order", F.lit(batches))).repartition(n, "__batch")
-    names = list(keep)
     out = extended(staged.select(*keep).schema, "n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digests else "kept string"))
+    names = out.names[:-4]
 
     def send(kind: int):
         def run(table: pa.Table, replies: pa.Table | None = None) -> pa.Table:
