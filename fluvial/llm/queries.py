@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, hostrules, langid, neardup, sufdedup, toxicity
+from . import bpe, cotrain, decontam, hostrules, langid, licenses, neardup, quotes, sufdedup, toxicity
 from .common import crc_bucket
 
 
@@ -24,6 +24,17 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sufdedup.dedup(table(spark, sf_dir, "documents"), digests=True)
 
 
+def op3_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = quotes.link(table(spark, sf_dir, "conversations"))
+    return linked.select("conv_id", "turn", "role", "parent_turn", "n_quoted", "n_linked", F.sha2("body", 256).alias("body_sha256"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = licenses.scan(docs, licenses.train(docs))
+    return found.select("doc_id", "n_licences", "n_unknown", F.array_join("families", ",").alias("families"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str, ranks_file: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     import public_tokenizers
 
@@ -51,5 +62,20 @@ def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.judge(table(spark, sf_dir, "documents")).drop("host_rate")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op5_byte_bpe, op6_toxicity, op7_decontamination, op8_near_duplicates, op9_host_rules)}
-ORACLES: dict[str, str] = {"op7_decontamination": decontam.ORACLE_SQL, "op8_near_duplicates": neardup.ORACLE_SQL, "op9_host_rules": hostrules.ORACLE_SQL}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = cotrain.train(docs, table(spark, sf_dir, "labels"), lambda k: crc_bucket(k, 5) != 0)
+    held = crc_bucket(F.col("doc_id"), 5) == 0
+    return cotrain.score(docs.withColumn("held_out", held), model, keep=("doc_id", "held_out"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_language_id, op2_suffix_dedup, op3_chat_quotes, op4_license_scan, op5_byte_bpe, op6_toxicity, op7_decontamination, op8_near_duplicates, op9_host_rules, op10_quality)
+}
+ORACLES: dict[str, str] = {
+    "op3_chat_quotes": quotes.ORACLE_SQL,
+    "op7_decontamination": decontam.ORACLE_SQL,
+    "op8_near_duplicates": neardup.ORACLE_SQL,
+    "op9_host_rules": hostrules.ORACLE_SQL,
+}
