@@ -1 +1,7 @@
 """Spark-native statistical, time-series and risk analytics."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package
