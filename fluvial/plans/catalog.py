@@ -281,10 +281,10 @@ def series_arithmetic(spark, d):
     return o.select("o_orderkey", "a", "m", "q", "p", "l", "i")
 
 
-@query("select o_orderkey, o_orderdate + interval 1 month as next_month, o_orderdate + interval 30 days as later, o_orderdate - interval 1 year as before from orders")
+@query("select o_orderkey, o_orderdate + interval 1 month as next_month, o_orderdate + interval 45 days as later, o_orderdate - interval 1 year as before from orders")
 def shift_dates(spark, d):
     o = table(spark, d, "orders", "o_orderkey", "o_orderdate")
-    for name, n, unit in (("next_month", 1, "month"), ("later", 30, "days"), ("before", -1, "year")):
+    for name, n, unit in (("next_month", 1, "month"), ("later", 45, "days"), ("before", -1, "year")):
         o = series.shift(o.withColumn(name, F.col("o_orderdate")), n, unit, name)
     return o.drop("o_orderdate")
 
