@@ -54,6 +54,12 @@ def partitions(spark: SparkSession, factor: int = 1, least: int = 1) -> int:
     return max(least, factor * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def input_bytes(df: DataFrame) -> int | None:
+    """The planner's estimate of a table's size, from its files; none where it has no idea."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else None
+
+
 def crc_bucket(col: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null ids count as the empty text."""
     return F.coalesce(F.crc32(col.cast("string").cast("binary")), F.lit(0)) % n

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, extended, flat_utf8, mixed, partitions, slices, tallied
+from .common import RangeHash, extended, flat_utf8, input_bytes, mixed, partitions, slices, tallied
 
 
 def difference_cover(period: int) -> list[int]:
@@ -274,7 +274,9 @@ def dedup(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
     """
     period, cover = period_for(length)
     n = partitions(docs.sparkSession)
-    buckets, batches = n, 2 * n
+    # by volume, not by partitions: a batch sends at most one packet a bucket, and never more packets than names
+    size = input_bytes(docs) or n * (8 << 20)
+    batches, buckets = max(8, size // (4 << 20)), max(8, size // (10 << 20))
     order = F.xxhash64(*(F.col(k).cast("string") for k in keep), F.col(text))
     # a grouping column of its own: all bytes of a batch are in one task, and the text is shuffled this once
     staged = docs.select(*keep, F.col(text).alias("__text"), order.alias("__order")).withColumn("__batch", F.pmod("__order", F.lit(batches))).repartition(n, "__batch")
