@@ -102,7 +102,7 @@ def remove_spans(text: Column, spans: Column) -> Column:
 
 
 def _cut(text: Column, spans: Column) -> Column:
-    word = SEPARATORS.replace("[", "[^", 1)
+    word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # here the letters have their case
     pieces = F.transform(F.arrays_zip(F.regexp_extract_all(text, F.lit(f"({word})")).alias("w"), F.slice(F.split(text, word), 2, 1 << 30).alias("s")), lambda p, i: F.when(F.exists(spans, lambda s: (i + 1 >= s["start"]) & (i + 1 < s["start"] + s["len"])), F.lit("")).otherwise(F.concat(F.coalesce(p["w"], F.lit("")), F.coalesce(p["s"], F.lit("")))))
     return F.concat(F.element_at(F.split(text, word), 1), F.array_join(pieces, ""))
 
