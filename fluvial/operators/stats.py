@@ -131,9 +131,13 @@ def t_tests(df: DataFrame, v: str, first: Column, keys: Sequence[str] = (), mu:
     y = F.when(~first, F.col(v).cast("double"))
     m = df.groupBy(*keys).agg(*(f(z).alias(f"{name}{s}") for s, z in (("1", x), ("2", y)) for name, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))))
     n1, n2, m1, m2, v1, v2 = (F.col(c) for c in ("n1", "n2", "m1", "m2", "v1", "v2"))
-    pooled = ((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)
-    se = v1 / n1 + v2 / n2
-    m = m.select(*keys, ((m1 - mu) / F.sqrt(v1 / n1)).alias("t_one"), (n1 - 1.0).alias("df_one"), ((m1 - m2) / F.sqrt(pooled * (1 / n1 + 1 / n2))).alias("t_equal"), (n1 + n2 - 2.0).alias("df_equal"), ((m1 - m2) / F.sqrt(se)).alias("t_welch"), (se * se / (v1 * v1 / (n1 * n1 * (n1 - 1)) + v2 * v2 / (n2 * n2 * (n2 - 1)))).alias("df_welch"), (v1 / v2).alias("f"), (n1 - 1.0).alias("dfn"), (n2 - 1.0).alias("dfd"))
+    q = F.try_divide  # a sample that is empty, or of one value, gives nulls
+    pooled = q((n1 - 1) * v1 + (n2 - 1) * v2, n1 + n2 - 2)
+    a, b = q(v1, n1), q(v2, n2)
+    m = m.select(
+        *keys, q(m1 - mu, F.sqrt(a)).alias("t_one"), (n1 - 1.0).alias("df_one"), q(m1 - m2, F.sqrt(pooled * (q(F.lit(1.0), n1) + q(F.lit(1.0), n2)))).alias("t_equal"), (n1 + n2 - 2.0).alias("df_equal"),
+        q(m1 - m2, F.sqrt(a + b)).alias("t_welch"), q((a + b) * (a + b), q(a * a, n1 - 1) + q(b * b, n2 - 1)).alias("df_welch"), q(v1, v2).alias("f"), (n1 - 1.0).alias("dfn"), (n2 - 1.0).alias("dfd"),
+    )
     for c in ("one", "equal", "welch"):
         m = m.withColumn(f"p_{c}", C.t_two_sided(F.col(f"t_{c}"), F.col(f"df_{c}")))
     return m.withColumn("p_f", C.f_two_sided(F.col("f"), F.col("dfn"), F.col("dfd"))).drop("dfn", "dfd")
@@ -172,7 +176,7 @@ def linear_trend(df: DataFrame, v: str, x: str, keys: Sequence[str] = ()) -> Dat
     """Least-squares line, r squared, and the t test of its slope."""
     y, t = F.col(v).cast("double"), F.col(x).cast("double")
     m = df.groupBy(*keys).agg(F.regr_slope(y, t).alias("slope"), F.regr_intercept(y, t).alias("intercept"), F.regr_r2(y, t).alias("r2"), F.regr_sxx(y, t).alias("__sxx"), F.regr_syy(y, t).alias("__syy"), F.regr_count(y, t).alias("n"))
-    se = F.sqrt((F.col("__syy") - F.col("slope") * F.col("slope") * F.col("__sxx")) / (F.col("n") - 2) / F.col("__sxx"))
+    se = F.sqrt(F.try_divide(F.try_divide(F.col("__syy") - F.col("slope") * F.col("slope") * F.col("__sxx"), F.col("n") - 2), F.col("__sxx")))
     return m.withColumn("t", F.try_divide(F.col("slope"), se)).withColumn("p", C.t_two_sided(F.col("t"), F.col("n") - 2.0)).drop("__sxx", "__syy")
 
 
