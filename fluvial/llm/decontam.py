@@ -122,10 +122,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
         found = found.select(*(F.col(f"__all.{c}").alias(n) for c, n in zip(columns, named, strict=True)), "spans")
     else:
         rows = docs.select(*(F.col(k).alias(n) for k, n in zip(columns, named, strict=True)), words(F.col(text)).alias("w"))
-        found = _with_hits(rows, named, some).select(*named, F.col("ats").alias("spans"))
+        # the row number keeps the optimiser from moving the filter below, which would split a text again for each word
+        found = _with_hits(rows, named, some).select(*named, F.col("ats").alias("spans"), F.monotonically_increasing_id().alias("__row"))
     body = named[columns.index(text)]
     if mode == "documents":
-        found = found.where(F.size("spans") == 0)
+        found = found.where((F.size("spans") == 0) & (F.col("__row") >= 0)) if some is not None else found.where(F.size("spans") == 0)
     else:
         found = found.withColumn(body, remove_spans(F.col(body), F.col("spans")))
     return found.select(*(F.col(n).alias(c) for n, c in zip(named, columns, strict=True)))
