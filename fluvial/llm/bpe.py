@@ -77,7 +77,7 @@ class MergeReplay:
                 key = int(keys[x])
                 r = self.pairs.get(key)
                 if r is None:
-                    if len(self.pairs) > 2_000_000:
+                    if len(self.pairs) > 250_000:
                         self.pairs.clear()
                     r = self.pairs[key] = self.ranks.get(self.token[key >> 32] + self.token[key & 0xFFFFFFFF], -1)
                 if r < 0:
@@ -155,7 +155,7 @@ class Codec:
     chunks; ids of chunks and of pre-tokens are kept in caches of bounded size.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 120_000):
         import regex
 
         self.find = regex.compile(pattern).findall
@@ -207,7 +207,7 @@ def blocks(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), block_chars: int = 8_000_000, digests: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), block_chars: int = 4_000_000, digests: bool = False) -> DataFrame:
     """Adds each document's token ids and their decoding.
 
     Returns ``keep`` plus ``ids`` array<int> and ``decoded`` binary; with
