@@ -5,14 +5,13 @@ a Jaccard similarity of at least ``percent`` / 100 are linked, and groups are
 the connected components of links.
 
 Documents with equal sets form one class, and one of each class goes on. Each
-of ``TREES`` independent trees sorts the classes by their path: the minwise
-tokens its levels choose. A node is a run of equal path beginnings; it is
-branched by the next token while it has more than ``NODE`` classes, and small
-nodes are compared exhaustively by sketches. Pairs that may be similar enough
-are confirmed on full sets: first a spanning forest of each node; then, with
-the groups found so far, every pair that still joins two groups. Range
-partitioning spreads even one huge node over many tasks, since the path and
-the id together order the rows.
+of ``TREES`` independent trees puts a class in the node of its first ``FIRST``
+minwise tokens. All classes of a node are compared by sketches, whatever its
+size: a node of more than ``BLOCK`` classes is split into blocks, and each pair
+of blocks is compared for itself, wherever it lies. Pairs that may be similar
+enough are confirmed on full sets: first a spanning forest of each node; then,
+with the groups found so far, the best pairs of each class that still join two
+groups; at last all such pairs.
 
 Edge cases: null, empty and wordless texts have an empty set and are linked
 with nothing; a text of fewer words than a shingle is one shingle; rows with a
@@ -30,8 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import RangeHash, flat_utf8, materialise, mixed, partitions, slices
 
-#: Trees, levels of a path, levels of which every node is made at least, and the largest node compared at once.
-TREES, LEVELS, FIRST, NODE = 8, 12, 2, 48
+#: Trees, minwise values of each tree in a sketch, those that make a node, and the classes of a node that are one block.
+TREES, LEVELS, FIRST, BLOCK = 8, 12, 2, 1024
+#: Pairs of each class and node that are confirmed before all others are.
+SOME = 8
 #: Sketches whose share of equal values is below this are left: 4 standard deviations under the default threshold.
 LEAST = 0.70
 
@@ -114,105 +115,95 @@ def full_sets(docs: DataFrame, wanted: DataFrame, text: str, key: str, size: int
     return rows.mapInArrow(run, "key long, items binary")
 
 
-def node_pairs(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, group: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
-    """Pairs of one node that may be similar enough: a spanning forest, or with groups all pairs between different ones."""
-    same = np.zeros((len(ids), len(ids)), np.int32)
-    for x in range(0, sketch.shape[1], 24):
-        part = sketch[:, x : x + 24]
-        same += (part[:, None, :] == part[None, :, :]).sum(2, dtype=np.int32)
+def alike(sketch: np.ndarray) -> np.ndarray:
+    """How many values each two sketches share."""
+    n = len(sketch)
+    if n <= 32:
+        return (sketch[:, None, :] == sketch[None, :, :]).sum(2, dtype=np.int16)
+    same, columns = np.zeros((n, n), np.uint8), np.ascontiguousarray(sketch.T)
+    for x in range(0, n, 64):
+        for c in columns:
+            same[x : x + 64] += c[x : x + 64, None] == c
+    return same.astype(np.int16)
+
+
+def node_pairs(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, block: np.ndarray, group: np.ndarray | None, percent: int, most: int | None = None) -> np.ndarray:
+    """Pairs of one node, or of two of its blocks, that may be similar enough: a spanning forest, or with groups the ``most`` best of each row (or all) between different ones."""
+    same = alike(sketch)
     small, large = np.minimum(sizes[:, None], sizes[None, :]), np.maximum(sizes[:, None], sizes[None, :])
-    fit = np.triu((same >= LEAST * sketch.shape[1]) & (100 * small >= percent * large) & (ids[:, None] != ids[None, :]), 1)
+    fit = (same >= LEAST * sketch.shape[1]) & (100 * small >= percent * large) & (ids[:, None] != ids[None, :])
+    if block[0] != block[-1]:
+        fit &= block[:, None] != block[None, :]  # pairs inside a block have their own place
     if group is not None:
         fit &= group[:, None] != group[None, :]
-    i, j = np.nonzero(fit)
-    if group is not None or len(i) <= 1:
-        return [(min(a, b), max(a, b)) for a, b in zip(ids[i].tolist(), ids[j].tolist(), strict=True)]
-    order = np.argsort(-same[i, j], kind="stable")
-    root, out = list(range(len(ids))), []
-    for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
-        x, y = a, b
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        while root[y] != y:
-            root[y] = root[root[y]]
-            y = root[y]
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            out.append((min(ids[a], ids[b]), max(ids[a], ids[b])))
-            if len(out) == len(ids) - 1:
-                break
-    return out
-
-
-def candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs a < b of classes (key, n, sig, optionally grp) from all trees."""
+    if not fit.any():
+        return np.empty((0, 2), np.int64)
+    if group is not None:
+        if most is not None and most < len(ids):
+            score = np.where(fit, same, -1)
+            best = np.argpartition(-score, most - 1, axis=1)[:, :most]
+            few = np.zeros_like(fit)
+            np.put_along_axis(few, best, True, axis=1)
+            fit &= few | few.T
+        i, j = np.nonzero(np.triu(fit, 1))
+    else:  # Prim's maximum spanning forest
+        score = np.where(fit, same, -1)
+        near, link, out = np.full(len(ids), -1, np.int16), np.zeros(len(ids), np.int64), []
+        left = fit.any(1)
+        while left.any():
+            v = int(np.argmax(np.where(left, near, -2)))
+            if near[v] >= 0:
+                out.append((link[v], v))
+            left[v] = False
+            better = score[v] > near
+            near[better], link[better] = score[v][better], v
+        i, j = np.array(out, np.int64).reshape(-1, 2).T
+    return np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1)
+
+
+def candidates(classes: DataFrame, percent: int, most: int | None = None) -> DataFrame:
+    """Pairs a < b of classes (key, n, sig, optionally grp) from all trees: every two classes of a node are compared."""
+    spark = classes.sparkSession
     grouped = "grp" in classes.columns
+    names = ["key", "n", *(["grp"] if grouped else []), "sketch", "node"]
     width = 4 * LEVELS
-    rows = classes.select("key", "n", *(["grp"] if grouped else []), "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    path = F.concat(F.unhex(F.lpad(F.hex("tree"), 2, "0")), F.expr(f"substring(sig, tree * {width} + 1, {width})"))
+    nodes = F.expr(f"transform(sequence(0, {TREES - 1}), t -> xxhash64(t, substring(sig, t * {width} + 1, {4 * FIRST})))")
     low = F.expr(f"unhex(array_join(transform(sequence(0, {TREES * LEVELS - 1}), i -> hex(substring(sig, 4 * i + 4, 1))), ''))")
-    rows = rows.select("key", "n", *(["grp"] if grouped else []), path.alias("path"), low.alias("sketch"))
-    rows = rows.repartitionByRange(partitions(classes.sparkSession), "path", "key").sortWithinPartitions("path", "key")
-
-    def compare(ids, sizes, sketch, levels, group):
-        """One run of rows that agree on the first levels: branch, or compare."""
-        todo = [(0, len(ids), FIRST)]
-        while todo:
-            x, y, depth = todo.pop()
-            if y - x < 2:
-                continue
-            if y - x <= NODE:
-                yield from node_pairs(ids[x:y], sizes[x:y], sketch[x:y], None if group is None else group[x:y], percent)
-            elif depth < LEVELS:
-                column = levels[x:y, depth]
-                cut = x + np.flatnonzero(column[1:] != column[:-1]) + 1
-                bounds = [x, *cut.tolist(), y]
-                todo += [(a, b, depth + 1) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            else:  # the whole path is equal: overlapping blocks, and a chain through them
-                for a in range(x, y, NODE // 2):
-                    b = min(y, a + NODE)
-                    yield from node_pairs(ids[a:b], sizes[a:b], sketch[a:b], None if group is None else group[a:b], percent)
+    large = classes.select(F.explode(nodes).alias("node")).groupBy("node").count().where(F.col("count") > BLOCK)
+    large = materialise(large.select(F.col("node").alias("__node"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "large")
+    if large.count() <= 1_000_000:
+        large = F.broadcast(large)
+    rows = classes.select(*names[:-2], low.alias("sketch"), nodes.alias("nodes")).select(*names[:-1], F.explode("nodes").alias("node"))
+    rows = rows.join(large, F.col("node") == F.col("__node"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rows = rows.select(*names, "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    rows = rows.repartition(partitions(spark), "node", "x", "y").sortWithinPartitions("node", "x", "y", "own", "key")
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-
-        def flush(table: pa.Table):
-            table = table.combine_chunks()
-            ids, sizes = table.column("key").to_numpy(), table.column("n").to_numpy()
-            group = table.column("grp").to_numpy() if grouped else None
-            raw = np.frombuffer(b"".join(table.column("path").to_pylist()), np.uint8).reshape(len(ids), 1 + width)
-            levels = np.ascontiguousarray(raw[:, 1:]).view(">u4")
-            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(ids), TREES * LEVELS)
-            head = raw[:, : 1 + 4 * FIRST]
-            cut = np.flatnonzero((head[1:] != head[:-1]).any(1)) + 1
-            out = set()
-            bounds = [0, *cut.tolist(), len(ids)]
+        def pairs(table: pa.Table, bounds: list[int]):
+            column = {c: table.column(c).to_numpy() for c in table.column_names if c != "sketch"}
+            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, TREES * LEVELS)
+            found = []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 if b - a > 1:
-                    out.update(compare(ids[a:b], sizes[a:b], sketch[a:b], levels[a:b], None if group is None else group[a:b]))
-            pairs = np.array(sorted(out), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                    found.append(node_pairs(column["key"][a:b], column["n"][a:b], sketch[a:b], column["own"][a:b], column["grp"][a:b] if grouped else None, percent, most))
+                if found and (b == bounds[-1] or sum(map(len, found)) > 100_000):
+                    got = np.concatenate(found)
+                    found = []
+                    yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
 
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             held.append(batch)
-            if sum(b.num_rows for b in held) < 10_000:
-                continue
-            table = pa.Table.from_batches(held)
-            # rows of the last node wait for more, unless they are already many
-            heads = [p[: 1 + 4 * FIRST] for p in table.column("path").to_pylist()]
-            keep = len(heads)
-            while keep and heads[keep - 1] == heads[-1]:
-                keep -= 1
-            if keep == 0 and len(heads) < 40_000:
-                continue
-            keep = keep or len(heads)
-            yield flush(table.slice(0, keep))
-            held = table.slice(keep).to_batches()
+            table = pa.Table.from_batches(held).combine_chunks()
+            place = np.stack([table.column(c).to_numpy() for c in ("node", "x", "y")])
+            cut = (np.flatnonzero((place[:, 1:] != place[:, :-1]).any(0)) + 1).tolist()
+            if cut:  # rows of the last place wait for more
+                yield from pairs(table.slice(0, cut[-1]), [0, *cut])
+                held = table.slice(cut[-1]).to_batches()
         if held:
-            table = pa.Table.from_batches(held)
-            if table.num_rows:
-                yield flush(table)
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield from pairs(table, [0, table.num_rows])
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
@@ -259,29 +250,36 @@ def components(edges: DataFrame) -> DataFrame:
     return found
 
 
+def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """Groups (v, root), joined where a link (a, b) leads from one to another."""
+    to_a, to_b = groups.select(F.col("v").alias("a"), F.col("root").alias("ra")), groups.select(F.col("v").alias("b"), F.col("root").alias("rb"))
+    joined = links.join(to_a, "a", "left").join(to_b, "b", "left").select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y"))
+    higher = components(joined.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    higher = higher.select(F.col("v").alias("g"), F.col("root").alias("top"))
+    all_v = groups.select("v", "root").unionByName(joined.select(F.col("x").alias("v"), F.col("x").alias("root"))).unionByName(joined.select(F.col("y").alias("v"), F.col("y").alias("root"))).distinct()
+    all_v = all_v.groupBy("v").agg(F.min("root").alias("root"))
+    return all_v.join(higher, all_v.root == higher.g, "left").select("v", F.coalesce("top", "root").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
     """One row a document: ``key``, ``n_shingles``, ``component_id`` and ``kept`` (it is its component's smallest id)."""
     sig = materialise(signatures(docs, text, key, size), "signatures")
     classes = sig.where("n > 0 and key is not null").groupBy("s1", "s2", "n").agg(F.min("key").alias("key"), F.first("sig").alias("sig"))
     classes = materialise(classes, "classes")  # one row for each different set
     one = classes.groupBy("key").agg(F.min(F.struct("n", "s1", "s2", "sig")).alias("c")).select("key", "c.n", "c.sig")
-    first = materialise(candidates(one, percent), "first")
-    involved = materialise(first.select(F.col("a").alias("key")).unionByName(first.select(F.col("b").alias("key"))).distinct(), "involved")
+    tried = materialise(candidates(one, percent), "first")
+    involved = materialise(tried.select(F.col("a").alias("key")).unionByName(tried.select(F.col("b").alias("key"))).distinct(), "involved")
     sets = full_sets(docs, involved, text, key, size)
     sets = materialise(sets.groupBy("key").agg(F.min("items").alias("items")), "sets")
-    links = materialise(confirm(first, sets, percent), "links")
-    groups = components(links)
-    again = one.join(involved, "key", "left_semi").join(groups.withColumnRenamed("v", "key"), "key", "left")
-    again = again.select("key", "n", "sig", F.coalesce("root", "key").alias("grp"))
-    more = materialise(confirm(candidates(again, percent).join(first, ["a", "b"], "left_anti"), sets, percent), "more")
-    if more.count():
-        to_a, to_b = groups.select(F.col("v").alias("a"), F.col("root").alias("ra")), groups.select(F.col("v").alias("b"), F.col("root").alias("rb"))
-        joined = more.join(to_a, "a", "left").join(to_b, "b", "left").select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y"))
-        higher = components(joined.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-        higher = higher.select(F.col("v").alias("g"), F.col("root").alias("top"))
-        all_v = groups.select("v", "root").unionByName(joined.select(F.col("x").alias("v"), F.col("x").alias("root"))).unionByName(joined.select(F.col("y").alias("v"), F.col("y").alias("root"))).distinct()
-        all_v = all_v.groupBy("v").agg(F.min("root").alias("root"))
-        groups = all_v.join(higher, all_v.root == higher.g, "left").select("v", F.coalesce("top", "root").alias("root"))
+    groups = components(materialise(confirm(tried, sets, percent), "links"))
+    for most in (SOME, None):
+        again = one.join(involved, "key", "left_semi").join(groups.withColumnRenamed("v", "key"), "key", "left")
+        again = again.select("key", "n", "sig", F.coalesce("root", "key").alias("grp"))
+        new = materialise(candidates(again, percent, most).join(tried, ["a", "b"], "left_anti"), "new")
+        more = materialise(confirm(new, sets, percent), "more")
+        if more.count():
+            groups = materialise(merged(groups, more), "groups")
+        tried = tried.unionByName(new)
     named = classes.join(groups, classes.key == groups.v, "left").select("s1", "s2", F.col("n").alias("cn"), F.coalesce("root", classes.key).alias("root"))
     rows = sig.select("key", "n", F.col("s1").alias("t1"), F.col("s2").alias("t2"))
     out = rows.join(named, (F.col("t1") == F.col("s1")) & (F.col("t2") == F.col("s2")) & (F.col("n") == F.col("cn")) & F.col("key").isNotNull(), "left")

@@ -133,6 +133,15 @@ def test_near_duplicates_equal_brute_force(spark, prose):
         assert [r["kept"] for r in got] == [g == i for i, g in enumerate(group)]
 
 
+def test_near_duplicates_of_one_original(spark, prose):
+    """Copies like one original (J of 0.87), and not like each other (0.76), more than a block of them."""
+    base = prose(304, 6)
+    texts = [edited(base, 7, 1000 + k) for k in range(1500)]
+    texts.insert(700, base)
+    got = neardup.near_duplicates(documents(spark, texts), size=3, percent=85).where("component_id <> 0")
+    assert got.count() == 0
+
+
 def test_near_duplicates_edges(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (9, "a b c d e f")], "doc_id long, text string")
     got = {(r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df).collect()}
