@@ -33,8 +33,8 @@ from .common import RangeHash, flat_utf8, materialise, mixed, partitions, slices
 TREES, LEVELS, FIRST, BLOCK = 8, 12, 2, 1024
 #: Pairs of each class and node that are confirmed before all others are.
 SOME = 8
-#: Sketches whose share of equal values is below this are left: 4 standard deviations under the default threshold.
-LEAST = 0.70
+#: Sketches whose share of equal values is so many standard deviations under the threshold are left.
+DEVIATIONS = 5
 
 _rng = np.random.default_rng(20)
 SEEDS = _rng.integers(0, 1 << 63, TREES * LEVELS, dtype=np.uint64)
@@ -115,6 +115,12 @@ def full_sets(docs: DataFrame, wanted: DataFrame, text: str, key: str, size: int
     return rows.mapInArrow(run, "key long, items binary")
 
 
+def least_share(percent: int) -> float:
+    """The share of equal sketch values below which a pair is left."""
+    p = percent / 100
+    return p - DEVIATIONS * (p * (1 - p) / (TREES * LEVELS)) ** 0.5
+
+
 def alike(sketch: np.ndarray) -> np.ndarray:
     """How many values each two sketches share."""
     n = len(sketch)
@@ -131,7 +137,7 @@ def node_pairs(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, block: np
     """Pairs of one node, or of two of its blocks, that may be similar enough: a spanning forest, or with groups the ``most`` best of each row (or all) between different ones."""
     same = alike(sketch)
     small, large = np.minimum(sizes[:, None], sizes[None, :]), np.maximum(sizes[:, None], sizes[None, :])
-    fit = (same >= LEAST * sketch.shape[1]) & (100 * small >= percent * large) & (ids[:, None] != ids[None, :])
+    fit = (same >= least_share(percent) * sketch.shape[1]) & (100 * small >= percent * large) & (ids[:, None] != ids[None, :])
     if block[0] != block[-1]:
         fit &= block[:, None] != block[None, :]  # pairs inside a block have their own place
     if group is not None:

@@ -142,6 +142,17 @@ def test_near_duplicates_of_one_original(spark, prose):
     assert got.count() == 0
 
 
+def test_near_duplicates_sketch_bound_follows_percent():
+    """A pair whose sketch is 4 standard deviations under the threshold goes on to its full sets."""
+    for percent in (70, 80, 85, 95):
+        p, m = percent / 100, neardup.TREES * neardup.LEVELS
+        equal = int(np.ceil((p - 4 * (p * (1 - p) / m) ** 0.5) * m))
+        sketch = np.zeros((2, m), np.uint8)
+        sketch[1, equal:] = 1
+        ids, ones = np.array([1, 2]), np.array([100, 100])
+        assert neardup.node_pairs(ids, ones, sketch, np.zeros(2, int), None, percent).tolist() == [[1, 2]]
+
+
 def test_near_duplicates_edges(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (9, "a b c d e f")], "doc_id long, text string")
     got = {(r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df).collect()}
