@@ -13,13 +13,27 @@ from pyspark.sql import functions as F
 def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, most_queries: int = 50_000) -> DataFrame:
     """q, n, distance, rank of the k nearest base rows of each query by Euclidean distance, itself left out; ties go to the smaller key.
 
-    Queries in blocks are sent to all base rows, where each batch keeps its k
-    best, so the shuffle has k rows a query and batch. At most ``most_queries``
-    rows are queries.
+    Queries in blocks of about ``most_queries`` are sent to all base rows, where
+    each batch keeps its k best, so the shuffle has k rows a query and batch.
+    Any number of rows are queries; beyond one block each block's result is
+    written before the next one is sent.
     """
-    some = [(r[key], r[vector]) for r in queries.select(key, vector).limit(most_queries + 1).collect()]
-    if len(some) > most_queries:
-        raise ValueError("too many queries for one block: split them")
+    from ..sources.tables import materialise
+
+    blocks = -(-queries.count() // most_queries)
+    if blocks > 1:
+        found = None
+        for b in range(blocks):
+            part = queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b)
+            got = materialise(_nearest_block(part, base, key, vector, k))
+            found = got if found is None else found.unionByName(got)
+        return found
+    return _nearest_block(queries, base, key, vector, k)
+
+
+def _nearest_block(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """The k nearest base rows of each query of one block, which the driver collects."""
+    some = [(r[key], r[vector]) for r in queries.select(key, vector).collect()]
     ids = np.array([s[0] for s in some], np.int64)
     q = np.array([s[1] for s in some], np.float64).reshape(len(some), -1)
     held = queries.sparkSession.sparkContext.broadcast((ids, q))
@@ -32,11 +46,13 @@ def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int,
             b = batch.column(1)
             x = b.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(b), -1)
             n = batch.column(0).to_numpy()
-            for s in range(0, len(ids), 256):
-                d = np.sqrt(np.maximum(((q[s : s + 256, None, :] - x[None]) ** 2).sum(2), 0)) if len(x) * x.shape[1] < 2_000_000 else np.sqrt(np.maximum((q[s : s + 256] ** 2).sum(1)[:, None] + (x**2).sum(1) - 2 * q[s : s + 256] @ x.T, 0))
-                d[n[None, :] == ids[s : s + 256, None]] = np.inf
+            exact = x.size < 2_000_000
+            step = min(256, max(1, 8_000_000 // x.size)) if exact else 256  # differences of bounded size
+            for s in range(0, len(ids), step):
+                d = np.sqrt(np.maximum(((q[s : s + step, None, :] - x[None]) ** 2).sum(2), 0)) if exact else np.sqrt(np.maximum((q[s : s + step] ** 2).sum(1)[:, None] + (x**2).sum(1) - 2 * q[s : s + step] @ x.T, 0))
+                d[n[None, :] == ids[s : s + step, None]] = np.inf
                 order = np.lexsort((np.broadcast_to(n, d.shape), d), axis=1)[:, :k]
-                own = np.repeat(ids[s : s + 256], order.shape[1])
+                own = np.repeat(ids[s : s + step], order.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n[order].ravel()), pa.array(np.take_along_axis(d, order, 1).ravel())], names=["q", "n", "distance"])
 
     found = base.select(F.col(key).cast("long"), vector).mapInArrow(run, "q long, n long, distance double").where("distance < double('infinity')")
