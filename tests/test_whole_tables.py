@@ -2,6 +2,9 @@
 
 import numpy as np
 from fluvial.operators import relational
+from fluvial.plans import models
+
+D = "/root/testdata/sf0.001"
 
 
 def test_nearest_of_more_queries_than_one_block(spark):
@@ -10,3 +13,11 @@ def test_nearest_of_more_queries_than_one_block(spark):
     got = {(r["q"], r["rank"]): r["n"] for r in relational.nearest(v, v, "id", "e", 2, most_queries=7).collect()}
     d = ((x[:, None] - x) ** 2).sum(2) + np.diag(np.full(60, np.inf))
     assert got == {(i, k + 1): n for i, row in enumerate(np.argsort(d, 1)[:, :2].tolist()) for k, n in enumerate(row)}
+
+
+def test_forest_intervals_of_all_parts(spark, tmp_path):
+    rows = [(k, k % 2 + 1, 100.0 if k < 200 else 300.0) for k in range(400)]
+    spark.createDataFrame(rows, "p_partkey long, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    got = models.random_forest_intervals(spark, str(tmp_path)).collect()
+    assert sorted(r["p_partkey"] for r in got) == list(range(400))
+    assert all(abs(r["mean"] - 200) < 5 for r in got)  # the first 200 rows alone give 100
