@@ -21,3 +21,13 @@ def test_forest_intervals_of_all_parts(spark, tmp_path):
     got = models.random_forest_intervals(spark, str(tmp_path)).collect()
     assert sorted(r["p_partkey"] for r in got) == list(range(400))
     assert all(abs(r["mean"] - 200) < 5 for r in got)  # the first 200 rows alone give 100
+
+
+def test_posterior_of_all_customers(spark, tmp_path):
+    x = 4500 + 3000 * np.random.default_rng(5).normal(size=2000)
+    x[:100] -= 3000
+    spark.createDataFrame([(k, float(v)) for k, v in enumerate(x)], "c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r["param"]: r for r in models.posterior_of_normal(spark, str(tmp_path)).collect()}
+    error = x.std() / len(x) ** 0.5
+    assert abs(got["mu"]["mean"] - x.mean()) < 0.5 * error and 0.7 * error < got["mu"]["sd"] < 1.4 * error
+    assert abs(got["log_sigma"]["mean"] - np.log(x.std())) < 0.02
