@@ -186,9 +186,10 @@ def gaussian_mixture(x: np.ndarray, k: int, seed: int = 1, rounds: int = 1000, t
     return w, means, cov, ll
 
 
-def natural_breaks(x: Sequence[float], k: int) -> tuple[list[float], float]:
-    """Upper limits of k classes of least inner variance, and the goodness of variance fit: exact, on distinct values with counts."""
-    v, c = np.unique(np.asarray(x, float), return_counts=True)
+def natural_breaks(x: Sequence[float], k: int, counts: Sequence[int] | None = None) -> tuple[list[float], float]:
+    """Upper limits of k classes of least inner variance, and the goodness of variance fit: exact, on distinct values with counts (given, or one for each of x)."""
+    v, at = np.unique(np.asarray(x, float), return_inverse=True)
+    c = np.bincount(at, counts, minlength=len(v))
     k = min(k, len(v))
     w, s, q = (np.concatenate([[0], np.cumsum(t)]) for t in (c, c * v, c * v * v))
 

@@ -102,8 +102,8 @@ def kmeans_centres(spark, d):
 
 @query()
 def natural_breaks_of_sizes(spark, d):
-    x = [r[0] for r in table(spark, d, "part").select("p_size").distinct().collect()]
-    ends, fit = learning.natural_breaks(x, 5)
+    found = table(spark, d, "part").where("p_size is not null").groupBy("p_size").count().collect()
+    ends, fit = learning.natural_breaks([r[0] for r in found], 5, [r[1] for r in found])
     return spark.createDataFrame([(float(e), fit) for e in ends], "upper double, fit double")
 
 

@@ -1,7 +1,7 @@
 """Queries and operators that take every row of their tables."""
 
 import numpy as np
-from fluvial.operators import relational
+from fluvial.operators import learning, relational
 from fluvial.plans import models
 
 D = "/root/testdata/sf0.001"
@@ -31,3 +31,12 @@ def test_posterior_of_all_customers(spark, tmp_path):
     error = x.std() / len(x) ** 0.5
     assert abs(got["mu"]["mean"] - x.mean()) < 0.5 * error and 0.7 * error < got["mu"]["sd"] < 1.4 * error
     assert abs(got["log_sigma"]["mean"] - np.log(x.std())) < 0.02
+
+
+def test_natural_breaks_weigh_sizes_by_parts(spark, tmp_path):
+    sizes = [1] * 500 + [2] * 500 + [3] * 500 + [4] * 500 + [10, 20, 30, 40, 50]
+    spark.createDataFrame(list(enumerate(sizes)), "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    ends, fit = learning.natural_breaks(sizes, 5)
+    got = models.natural_breaks_of_sizes(spark, str(tmp_path)).collect()
+    assert [r["upper"] for r in got] == ends != learning.natural_breaks(sorted(set(sizes)), 5)[0]
+    assert all(abs(r["fit"] - fit) < 1e-9 for r in got)
