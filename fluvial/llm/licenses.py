@@ -5,7 +5,8 @@ paragraphs of each licence family, altered copies of them, and paragraphs that
 are no licences. Log-odds are calibrated by a temperature on altered copies
 kept back; a paragraph whose best family is not probable enough, or whose words
 do not cover a template of it, is ``unknown``. Scoring is one projection: lines
-without any word that speaks for a licence are passed over by one pattern.
+that no family can win, whatever their other words are, are passed over by one
+pattern.
 
 Edge cases: null and empty texts have no paragraphs; a paragraph is a line; a
 document without licence paragraphs has empty arrays; ties go to the family
@@ -62,7 +63,7 @@ class Model:
     vocabulary: dict[str, np.ndarray]
     bias: np.ndarray
     temperature: float
-    gate: str  # a lower-cased line without this pattern is no licence
+    gate: str  # a lower-cased line without this pattern is in no family, by the weights
 
 
 def fit(background: list[str], seed: int = 11, steps: int = 400, copies: int = 8) -> Model:
@@ -115,21 +116,35 @@ def fit(background: list[str], seed: int = 11, steps: int = 400, copies: int = 8
         return float((np.log(np.exp(s - s.max(1, keepdims=True)).sum(1)) + s.max(1) - (s * target).sum(1)).mean())
 
     temperature = min(np.geomspace(0.25, 8, 40), key=loss)
-    # few words that speak for a family and are none of the background's, so that each template has two of them
-    lean = {g: float((w[i, :-1] - w[i, -1]).max()) for g, i in index.items() if " " not in g}
-    seen = {x for b in background for x in normal_words(b)}
-    own = [{x for x in normal_words(t) if x in lean} for ts in TEMPLATES.values() for t in ts]
-    lack = [min(2, len(x)) for x in own]
-    cues: set[str] = set()
-    while any(lack):
-        rest = {x for t, n in zip(own, lack, strict=True) if n for x in t} - cues
-        if not rest:
-            break
-        best = max(sorted(rest), key=lambda x: (x not in seen and len(x) > 3, x not in seen, sum(n > 0 and x in t for t, n in zip(own, lack, strict=True)), lean[x]))
-        cues.add(best)
-        lack = [n - (n > 0 and best in t) for t, n in zip(own, lack, strict=True)]
-    gate = r"\b(?:" + "|".join(re.escape(c) for c in sorted(cues)) + r")\b"
-    return Model(families, {g: w[i] for g, i in index.items()}, b, float(temperature), gate)
+    return Model(families, {g: w[i] for g, i in index.items()}, b, float(temperature), gate_pattern(names, w, b, background))
+
+
+def gate_pattern(names: list[str], w: np.ndarray, b: np.ndarray, background: list[str]) -> str:
+    """A pattern that each lower-cased line has for which a family's log-odds can reach those of none.
+
+    Words are left out of it, those first that are frequent and say little, as long as all that they and
+    their pairs speak for a family together stays under what speaks for none.
+    """
+    lift = np.maximum(np.round(w.astype(float), 6)[:, :-1] - np.round(w.astype(float), 6)[:, -1:], 0)
+    margin = float(b[-1]) - b[:-1].astype(float) - 1e-3
+    words = {g: lift[i] for i, g in enumerate(names) if " " not in g}
+    pairs = [(set(g.split(" ")), lift[i]) for i, g in enumerate(names) if " " in g]
+    often: dict[str, int] = {}
+    for line in background:
+        for x in set(normal_words(line)):
+            often[x] = often.get(x, 0) + 1
+    out: set[str] = set()
+    total = np.zeros(len(margin))
+    for x in sorted(words, key=lambda x: (-often.get(x, 0) / (0.1 + float(words[x].max())), x)):
+        more = total + words[x] + sum((v for p, v in pairs if x in p and p <= out | {x}), np.zeros(len(margin)))
+        if (more < margin).all():
+            out.add(x)
+            total = more
+    by: dict[str, list[str]] = {}
+    for x in sorted(set(words) - out):
+        # a word with a full stop may be followed by letters; a word may follow one that ends with digits
+        by.setdefault(x[0], []).append(re.escape(x[1:]) + ("" if "." in x else "(?![a-z0-9])"))
+    return "(?<![a-z])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by.items()) + ")"
 
 
 def train(docs: DataFrame, text: str = "text", key: str = "doc_id", documents: int = 200, lines: int = 2000) -> Model:
@@ -159,7 +174,9 @@ def scan(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...
     words = F.transform("__c", lambda x: F.struct(x["line"].alias("line"), F.regexp_extract_all(x["t"], F.lit(f"({WORD})")).alias("w")))
     rows = rows.select(*named, F.size("__c").alias("__n"), words.alias("__w"))
     pairs = F.expr("""transform(__w, x -> struct(x.line as line, array_distinct(concat(x.w, if(size(x.w) > 1, transform(sequence(1, size(x.w) - 1), i -> concat(element_at(x.w, i), ' ', element_at(x.w, i + 1))), cast(array() as array<string>)))) as g))""")
+    known = F.expr("array(" + ",".join("'" + g + "'" for g in model.vocabulary) + ")")  # other 1-2-grams have no weight, and no template has them
     rows = rows.select(*named, "__n", pairs.alias("__g"))
+    rows = rows.select(*named, "__n", F.transform("__g", lambda x: F.struct(x["line"].alias("line"), F.array_intersect(x["g"], known).alias("g"))).alias("__g"))
     zero = "array(" + ",".join(f"{v:.6f}D" for v in model.bias) + ")"
     weights = _literal_map(model)
     logits = F.transform("__g", lambda x: F.struct(x["line"].alias("line"), x["g"].alias("g"), F.aggregate(F.filter(F.transform(x["g"], lambda g: F.try_element_at(weights, g)), lambda v: v.isNotNull()), F.expr(zero), lambda a, v: F.zip_with(a, v, lambda p, q: p + q)).alias("z")))

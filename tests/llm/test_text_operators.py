@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -267,6 +268,20 @@ def test_license_scan(spark, prose):
     assert licenses.scan(df.limit(0), licenses.train(df.limit(0))).count() == 0
 
 
+def test_license_gate_passes_what_scores_reach(spark, prose):
+    """Templates without any one or two of their words, and words beside other signs: as found without a gate."""
+    texts = []
+    for ts in licenses.TEMPLATES.values():
+        for t in ts:
+            w = t.split()
+            texts += [" ".join(x for k, x in enumerate(w) if k not in (i, i + d)) for i in range(len(w)) for d in (1, 3)]
+    texts += ["Released under the_MIT_License", "éMIT license", "Licensed under CC BY 4.0license", "apache license 2.0the", prose(40, 3)]
+    lines = spark.createDataFrame([(0, "\n".join(texts))], "doc_id long, text string")
+    model = licenses.train(documents(spark, [prose(30, k) for k in range(50)]))
+    found = [licenses.scan(lines, m).first()["found"] for m in (model, replace(model, gate=""))]
+    assert found[0] == found[1] and len(found[0]) > 500
+
+
 def test_quote_linking(spark):
     rows = [
         (1, 0, "u", "Where is the Cat?\nI do not know."),
