@@ -59,6 +59,34 @@ def test_repeats_equal_brute_force(spark, prose, length):
     assert [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got] == brute_spans(texts, length)
 
 
+def test_texts_made_to_collide(spark):
+    """Words of equal polynomial hash modulo 2**64 for a known base, and words of a Thue-Morse sequence, repeat nothing."""
+    ending = "".join(chr(97 + k * k % 23) + chr(97 + k % 19) for k in range(88))
+    pair = [w + ending for w in ("lklllmmolmnmknnmomlnlmmm", "mnnmnmlknmllnlklkmnlnllm")]
+    morse = ["".join("ab"[(bin(k).count("1") + swap) % 2] for k in range(128)) + "x" * 72 for swap in (0, 1)]
+    got = sufdedup.dedup(documents(spark, [*pair, *morse]), digests=True).orderBy("doc_id").collect()
+    assert [r["n_removed"] for r in got] == [0] * 4
+    long = "".join("ab"[bin(k).count("1") % 2] for k in range(5000))
+    for length in (30, 1024):
+        texts = [long, long[700:2900] + "z", "z" + long[3000:]]
+        got = sufdedup.dedup(documents(spark, texts), length=length, digests=True).orderBy("doc_id").collect()
+        assert [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got] == brute_spans(texts, length)
+
+
+def test_many_identical_rows(spark, prose):
+    rows = [(1, prose(50, 1))] * 3000 + [(2, prose(60, 2))]
+    got = sufdedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("doc_id", (F.col("n_bytes") == F.col("n_removed")).alias("all")).count().collect()
+    assert {tuple(r) for r in got} == {(1, True, 3000), (2, False, 1)}
+
+
+def test_repeats_of_near_copies_equal_brute_force(spark, prose):
+    """Edited copies, passages at many offsets, and overlapping repeats in one text."""
+    base, passage = prose(300, 11), prose(70, 12)
+    texts = [base, *(edited(base, 1 + k, k) for k in range(12)), *(prose(k, 50 + k) + passage + prose(9, 70 + k) for k in range(30)), (passage + " ") * 7, "ab" * 700, passage[:-1], passage[1:]]
+    got = sufdedup.dedup(documents(spark, texts), digests=True).orderBy("doc_id").collect()
+    assert [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got] == brute_spans(texts, 200)
+
+
 def test_repeated_rows_and_empty_table(spark, prose):
     t = prose(60, 1)
     df = spark.createDataFrame([(1, t, 7), (1, t, 7)], "doc_id long, text string, n_bytes long")
@@ -316,6 +344,8 @@ def test_helpers():
     assert bytes(data) == "abé".encode() and off.tolist() == [0, 2, 2, 2, 4]
     assert list(common.slices(col, 2)) == [(0, 3), (3, 4)]
     h = common.RangeHash(np.frombuffer(b"xabcyabc", np.uint8))
+    arrays = [np.array([1, 5]), np.empty(0, np.int64), np.array([2**32 - 1])]
+    assert [a.tolist() for a in sufdedup.load(sufdedup.save(arrays))] == [a.tolist() for a in arrays]
     assert h(np.array([1]), np.array([4])) == h(np.array([5]), np.array([8]))
     packed = np.array([5, 6, 1 << 40, (1 << 63) + 7], np.uint64)
     assert (sufdedup.unpack(sufdedup.pack(packed)) == packed).all() and math.isclose(common.sigmoid(np.array(0.0)), 0.5)
