@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 import numpy as np
@@ -28,20 +29,39 @@ ship_by_value()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; set here only where it is unset."""
+    """A fresh folder under ``spark.checkpoint.dir``, or the checkpoint folder set in the context; in local mode alone one is made."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = current.get() if current.isDefined() else "/tmp/checkpoints"
+        if current.isDefined():
+            root = current.get()
+        elif spark.sparkContext.master.split("[")[0] == "local":  # one machine, one disk
+            root = tempfile.mkdtemp(prefix="fluvial-")
+            spark.sparkContext.setCheckpointDir(f"file://{root}")
+            root = f"file://{root}"
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{root}/fluvial-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str = "part") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = shared_dir(spark)
+    df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
+    back = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+    back._fluvial_folder = folder
+    return back
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Removes what ``materialise`` wrote for tables that nothing reads any more."""
+    for table in tables:
+        folder = getattr(table, "_fluvial_folder", None)
+        if folder:
+            spark = table.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def extended(schema: StructType, ddl: str) -> StructType:
@@ -124,6 +144,22 @@ class RangeHash:
         return (self.sums[stop] - self.sums[start]) * self.inv[start]
 
 
+def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges, eight bytes at a time; each step is a bijection, so two words of up to eight bytes never clash."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    groups = np.ndarray((len(data) + 1,), np.uint64, padded, strides=(1,))
+    size = end - begin
+    masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    h = size.astype(np.uint64)
+    left = np.arange(len(size))
+    for at in range(0, int(size.max(initial=0)), 8):
+        if at:
+            left = left[size[left] > at]
+        h[left] = mixed((h[left] * np.uint64(0xD6E8FEB86659FD93)) ^ (groups[begin[left] + at] & masks[np.minimum(size[left] - at, 8)]))
+    return h
+
+
 def distinct(a: np.ndarray) -> np.ndarray:
     """Sorted distinct values."""
     a = np.sort(a)

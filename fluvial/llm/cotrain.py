@@ -4,10 +4,12 @@ Two logistic classifiers see different views of a document: what its text
 looks like, and its metadata (host, language, length). Over some rounds each
 one labels the unlabelled rows it is sure of, for the other to learn from. Both
 are then calibrated on rows kept back, and their log-odds are combined by
-weights fitted there, so a view that says nothing gets no weight.
+weights fitted on other rows kept back, so a view that says nothing gets no
+weight.
 
-Edge cases: null and empty texts have zero features; null metadata is a value
-of its own; with labels of one kind only, or none, every score is that label's
+Edge cases: null and empty texts have no features but a mark that they are
+empty; a score depends on its own row alone; null metadata is a value of its
+own; clashing columns give way to the operator's, if kept at all; with labels of one kind only, or none, every score is that label's
 rate (0.5 if there is none). Repeated label rows count once, by their mean.
 """
 
@@ -41,6 +43,8 @@ def text_view(col: pa.Array) -> np.ndarray:
     kind = CLASSES[data]
     pair = kind * KINDS
     pair[:-1] += kind[1:]
+    ends = off[1:][size > 0] - 1
+    pair[ends] = kind[ends] * KINDS  # a text's last byte has no follower: the next text's first byte is none
     x = np.bincount(row * KINDS**2 + pair, minlength=rows * KINDS**2).reshape(rows, -1).astype(np.float32)
     x = np.sqrt(x / np.maximum(size, 1)[:, None])
     space = (data == 32) | ((data >= 9) & (data <= 13))
@@ -132,12 +136,12 @@ class Model:
 
 
 def fit(views: list[np.ndarray], y: np.ndarray, rounds: int = 5, share: float = 0.05, sure: float = 0.95) -> Model:
-    """Co-trains on rows with y of 0 or 1 (nan: unlabelled); every third labelled row calibrates."""
+    """Co-trains on rows with y of 0 or 1 (nan: unlabelled); of every six labelled rows one calibrates the views and another weighs them."""
     known = np.flatnonzero(~np.isnan(y))
     if len(known) < 30 or len(set(y[known])) < 2:
         return Model(float(y[known].mean()) if len(known) else 0.5)
-    cal, base = known[::3], np.setdiff1d(known, known[::3])
-    if len(set(y[cal])) < 2 or len(set(y[base])) < 2:
+    cal, blend, base = known[::6], known[3::6], np.setdiff1d(known, known[::3])
+    if any(len(set(y[part])) < 2 for part in (cal, blend, base)):
         return Model(float(y[known].mean()))
     pool = np.flatnonzero(np.isnan(y))
     pseudo = [np.full(len(y), np.nan), np.full(len(y), np.nan)]  # labels that a view got from the other one
@@ -156,8 +160,8 @@ def fit(views: list[np.ndarray], y: np.ndarray, rounds: int = 5, share: float =
             good, bad = np.argsort(-p, kind="stable")[:most], np.argsort(p, kind="stable")[:most]
             pseudo[1 - k][pool[good[p[good] >= sure]]] = 1.0
             pseudo[1 - k][pool[bad[p[bad] <= 1 - sure]]] = 0.0
-    odds = np.stack([v.log_odds(x[cal]) for v, x in zip(trained, views, strict=True)], 1)
-    mix, bias = logistic(odds, y[cal], 1e-3)
+    odds = np.stack([v.log_odds(x[blend]) for v, x in zip(trained, views, strict=True)], 1)
+    mix, bias = logistic(odds, y[blend], 1e-3)
     return Model(float(y[known].mean()), trained, np.maximum(mix, 0), float(bias))
 
 

@@ -135,14 +135,15 @@ def _few(col: pa.Array):
             yield z, min(y, z + 1024)
 
 
-def train(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 600, most_languages: int = 200) -> Model:
-    """Fits on a bounded sample: about ``per_language`` rows of each language, by hash of the id; the ``most_languages`` most frequent ones."""
+def train(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 600, most_rows: int = 24_000) -> Model:
+    """Fits on a bounded sample by hash of the id: about ``per_language`` rows of each language, fewer where all languages together would have more than ``most_rows`` (of 8 KB)."""
     rows = docs.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = rows.groupBy(F.col(lang).alias("l")).count().orderBy(F.desc("count"), "l").limit(most_languages).collect()
+    counts = rows.groupBy(F.col(lang).alias("l")).count().collect()  # one row a language
     if not counts:
         return fit(np.zeros((0, BUCKETS), np.float32), [])
     spark = docs.sparkSession
-    share = spark.createDataFrame([(r["l"], min(1.0, per_language / r["count"])) for r in counts], "l string, share double")
+    each = min(per_language, max(1, most_rows // len(counts)))
+    share = spark.createDataFrame([(r["l"], min(1.0, each / r["count"])) for r in counts], "l string, share double")
     chosen = rows.join(F.broadcast(share), rows[lang] == share.l).where(fraction_key(F.col(key), 1) < F.col("share")).select(F.col(text).alias("t"), "l", F.xxhash64(F.col(key).cast("string")).alias("k"))
 
     def run(batches):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, flat_utf8, materialise, mixed, partitions, slices
+from .common import discard, flat_utf8, materialise, mixed, partitions, slices, word_hashes
 
 #: Trees, minwise values of each tree in a sketch, those that make a node, and the classes of a node that are one block.
 TREES, LEVELS, FIRST, BLOCK = 8, 12, 2, 1024
@@ -57,7 +57,7 @@ def shingles(col: pa.Array, size: int = 3) -> tuple[np.ndarray, np.ndarray]:
     begin = np.flatnonzero(word & (edge[:-1] | np.concatenate([[True], gap[:-1]])))
     end = np.flatnonzero(word & (edge[1:] | np.concatenate([gap[1:], [True]]))) + 1
     row = np.searchsorted(off, begin, "right") - 1
-    h = mixed(RangeHash(data)(begin, end))
+    h = word_hashes(data, begin, end)
     counts = np.bincount(row, minlength=rows)
     start = np.concatenate([[0], np.cumsum(counts)])
     n = np.maximum(counts - size + 1, counts > 0)  # shingles of each row

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, distinct, extended, flat_utf8, fraction_key, mixed, sigmoid, slices, tallied
+from .common import RangeHash, distinct, extended, flat_utf8, fraction_key, input_bytes, mixed, sigmoid, slices, tallied
 
 #: Bits of a feature's hash, and lengths in bytes of the word beginnings used.
 BITS = 32
@@ -109,8 +109,8 @@ def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, most: int =
     return Model(chosen.astype(np.int64), w.astype(np.float64), float(b), prior)
 
 
-def train(docs: DataFrame, labels: DataFrame, usable, text: str = "text", key: str = "doc_id", label: str = "toxic", positives: int = 2500, unlabelled: int = 7500, prior: float | None = None) -> Model:
-    """Fits on a bounded sample by hash of the id: about ``positives`` confirmed and ``unlabelled`` other rows.
+def train(docs: DataFrame, labels: DataFrame, usable, text: str = "text", key: str = "doc_id", label: str = "toxic", positives: int = 2500, unlabelled: int = 7500, prior: float | None = None, most_bytes: int = 256 << 20) -> Model:
+    """Fits on a bounded sample by hash of the id: about ``positives`` confirmed and ``unlabelled`` other rows, fewer where rows of the table's mean size would have more than ``most_bytes``.
 
     ``usable`` (id column -> condition) says whose labels may be read. ``prior`` is
     the share of toxic texts; by default the share among usable labels.
@@ -121,6 +121,8 @@ def train(docs: DataFrame, labels: DataFrame, usable, text: str = "text", key: s
     if not n_pos:
         return fit([], [], 0.0)
     total = docs.count()
+    fit_in = most_bytes / max((positives + unlabelled) * (input_bytes(docs) or 0) / max(total, 1), 1)
+    positives, unlabelled = (int(max(100, k * min(1.0, fit_in))) for k in (positives, unlabelled))
     share = min(1.0, positives / n_pos)
     ids = [r["k"] for r in own.where((F.col("y") == 1) & (fraction_key(F.col("k"), 2) < share)).select("k").collect()]  # about ``positives`` ids
     wanted = spark.createDataFrame([(k,) for k in ids], own.select("k").schema)
