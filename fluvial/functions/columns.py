@@ -84,6 +84,17 @@ def f_two_sided(f: Column, dfn: Column, dfd: Column) -> Column:
     return run(f, dfn, dfd)
 
 
+def f_upper(f: Column, dfn: Column, dfd: Column) -> Column:
+    """Upper tail of a variance ratio."""
+
+    @F.pandas_udf("double")
+    def run(f: pd.Series, n: pd.Series, d: pd.Series) -> pd.Series:
+        x, a, b = f.to_numpy(float), n.to_numpy(float), d.to_numpy(float)
+        return pd.Series(special.beta_i(b / 2, a / 2, b / (b + a * x)))
+
+    return run(f, dfn.cast("double"), dfd.cast("double"))
+
+
 def box_cox(x: Column, lam: float) -> Column:
     return F.ln(x) if lam == 0 else (F.pow(x, F.lit(lam)) - 1) / lam
 

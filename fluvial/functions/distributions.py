@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import columns as C
 from . import special as S
 
 EULER = 0.5772156649015329
@@ -199,27 +200,61 @@ FAMILIES: dict[str, Family] = {
 
 
 def evaluate(name: str, what: str, x, params: Sequence[float]) -> np.ndarray:
-    """pdf, log_pdf, cdf, ccdf, hazard or quantile of one distribution."""
+    """pdf, log_pdf, cdf, log_cdf, ccdf, log_ccdf, hazard or quantile of one distribution."""
     f = FAMILIES[name]
     x = np.asarray(x, float)
     p = [float(v) for v in params]
+    safe_log = lambda y: np.where(y > 0, np.log(np.maximum(y, 1e-300)), -np.inf)
     with np.errstate(all="ignore"):
         if what == "cdf":
             return f.cdf(x, *p)
+        if what == "log_cdf":
+            return safe_log(f.cdf(x, *p))
         if what == "quantile":
             return f.quantile(x, *p)
-        pdf = (f.pdf or _numeric_pdf(f.cdf))
-        if what == "pdf":
-            return pdf(x, *p)
-        if what == "log_pdf":
-            y = pdf(x, *p)
-            return np.where(y > 0, np.log(np.maximum(y, 1e-300)), -np.inf)
-        survive = 1 - f.cdf(x, *p)
-        return survive if what == "ccdf" else pdf(x, *p) / survive
+        if what in ("ccdf", "log_ccdf"):
+            survive = 1 - f.cdf(x, *p)
+            return survive if what == "ccdf" else safe_log(survive)
+        y = (f.pdf or _numeric_pdf(f.cdf))(x, *p)
+        return y if what == "pdf" else safe_log(y) if what == "log_pdf" else y / (1 - f.cdf(x, *p))
+
+
+#: Closed families as expressions: density, probability and quantile of a column, from parameter columns.
+EXPRESSIONS: dict[str, dict[str, Callable]] = {
+    "normal": {"pdf": lambda x, m, s: C.normal_pdf((x - m) / s) / s, "cdf": lambda x, m, s: C.normal_cdf((x - m) / s), "quantile": lambda p, m, s: m + s * C.normal_quantile(p)},
+    "exponential": {"pdf": lambda x, a, b: F.when(x >= a, F.exp(-(x - a) / b) / b).otherwise(0.0), "cdf": lambda x, a, b: F.when(x > a, -F.expm1(-(x - a) / b)).otherwise(0.0), "quantile": lambda p, a, b: a - b * F.log1p(-p)},
+    "gumbel": {"pdf": lambda x, a, b: F.exp(-(x - a) / b - F.exp(-(x - a) / b)) / b, "cdf": lambda x, a, b: F.exp(-F.exp(-(x - a) / b)), "quantile": lambda p, a, b: a - b * F.ln(-F.ln(p))},
+    "logistic": {"pdf": lambda x, a, b: F.exp(-F.abs(x - a) / b) / (b * F.pow(1 + F.exp(-F.abs(x - a) / b), F.lit(2))), "cdf": lambda x, a, b: 1 / (1 + F.exp(-(x - a) / b)), "quantile": lambda p, a, b: a + b * F.ln(p / (1 - p))},
+    "weibull": {"pdf": lambda x, b, k: F.when(x > 0, k / b * F.pow(x / b, k - 1) * F.exp(-F.pow(x / b, k))).otherwise(0.0), "cdf": lambda x, b, k: F.when(x > 0, -F.expm1(-F.pow(x / b, k))).otherwise(0.0), "quantile": lambda p, b, k: b * F.pow(-F.log1p(-p), 1 / k)},
+    "uniform": {"pdf": lambda x, a, b: F.when((x >= a) & (x <= b), 1 / (b - a)).otherwise(0.0), "cdf": lambda x, a, b: F.least(F.greatest((x - a) / (b - a), F.lit(0.0)), F.lit(1.0)), "quantile": lambda p, a, b: a + p * (b - a)},
+    "pareto": {"pdf": lambda x, m, a: F.when(x >= m, a * F.pow(m, a) / F.pow(x, a + 1)).otherwise(0.0), "cdf": lambda x, m, a: F.when(x > m, 1 - F.pow(m / x, a)).otherwise(0.0), "quantile": lambda p, m, a: m * F.pow(1 - p, -1 / a)},
+    "cauchy": {"pdf": lambda x, a, b: 1 / (math.pi * b * (1 + F.pow((x - a) / b, F.lit(2)))), "cdf": lambda x, a, b: F.atan((x - a) / b) / math.pi + 0.5, "quantile": lambda p, a, b: a + b * F.tan(math.pi * (p - 0.5))},
+    "rayleigh": {"pdf": lambda x, s: F.when(x > 0, x / (s * s) * F.exp(-x * x / (2 * s * s))).otherwise(0.0), "cdf": lambda x, s: F.when(x > 0, -F.expm1(-x * x / (2 * s * s))).otherwise(0.0), "quantile": lambda p, s: s * F.sqrt(-2 * F.log1p(-p))},
+}
+
+
+def express(what: str, x: Column, name: str, params: Column | Sequence[float]) -> Column | None:
+    """``what`` at x as built-in expressions, for the closed families; none for others."""
+    forms = EXPRESSIONS.get(name)
+    if not forms:
+        return None
+    n = len(FAMILIES[name].names)
+    p = [F.element_at(params, i + 1) for i in range(n)] if isinstance(params, Column) else [F.lit(float(v)) for v in params]
+    if what in forms:
+        return forms[what](x, *p)
+    survive = 1 - forms["cdf"](x, *p)
+    log = lambda y: F.when(y > 0, F.ln(y)).otherwise(F.lit(-math.inf))
+    return {"log_pdf": lambda: log(forms["pdf"](x, *p)), "log_cdf": lambda: log(forms["cdf"](x, *p)), "ccdf": lambda: survive, "log_ccdf": lambda: log(survive), "hazard": lambda: forms["pdf"](x, *p) / survive}[what]()
 
 
 def apply(what: str, x: Column, name: str | Column, params: Sequence[float] | Column) -> Column:
-    """A column of ``what`` at x: one distribution for all rows, or a name and an array of parameters for each."""
+    """A column of ``what`` at x: one distribution for all rows, or a name and an array of parameters for each. Closed families given by name stay in built-in expressions."""
+    if isinstance(name, str):
+        built_in = express(what, x, name, params)
+        if built_in is not None:
+            return built_in
+        if isinstance(params, Column):
+            name = F.lit(name)
     if isinstance(name, str):
         fixed = [float(v) for v in params]
 
@@ -403,3 +438,221 @@ def moments(name: str, params: Sequence[float], points: int = 4000) -> tuple[flo
     x = evaluate(name, "quantile", (np.arange(points) + 0.5) / points, params)
     m, s = x.mean(), x.std()
     return float(m), float(s), float(((x - m) ** 3).mean() / s**3), float(((x - m) ** 4).mean() / s**4)
+
+
+def log_likelihood(name: str, params: Sequence[float], exact=(), left=(), right=(), between=()) -> float:
+    """Of exact values, values known to be below or above a limit, and values between two limits; minus infinity where undefined."""
+    total = 0.0
+    for what, values in (("log_pdf", exact), ("log_cdf", left), ("log_ccdf", right)):
+        if len(values):
+            total += float(np.sum(evaluate(name, what, values, params)))
+    if len(between):
+        lo, hi = np.asarray(between, float).T
+        mass = evaluate(name, "cdf", hi, params) - evaluate(name, "cdf", lo, params)
+        with np.errstate(divide="ignore"):
+            total += float(np.sum(np.log(np.maximum(mass, 0))))
+    return total if math.isfinite(total) else -math.inf
+
+
+def censored_log_likelihood(df: DataFrame, v: str, kind: str, name: str, params: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """Log-likelihood by key; ``kind`` is a column of exact, left or right."""
+    x, k = F.col(v).cast("double"), F.col(kind)
+    ll = F.when(k == "left", apply("log_cdf", x, name, params)).when(k == "right", apply("log_ccdf", x, name, params)).otherwise(apply("log_pdf", x, name, params))
+    return df.groupBy(*keys).agg(F.sum(ll).alias("loglik"))
+
+
+def validate(name: str, params: Sequence[float]) -> str:
+    """What is wrong with the parameters; empty if nothing is."""
+    if name not in FAMILIES:
+        return f"no distribution {name}"
+    names = FAMILIES[name].names
+    if len(params) != len(names):
+        return f"{name} takes {', '.join(names)}"
+    p = dict(zip(names, map(float, params), strict=True))
+    if not all(math.isfinite(v) for v in p.values()):
+        return "all parameters must be finite"
+    for k in ("sigma", "alpha", "theta", "kappa", "beta", "nu", "lambda", "xm"):
+        shape = k == "kappa" and name in ("gev", "generalized_logistic", "generalized_pareto", "generalized_normal", "kappa4")
+        if k in p and not shape and p[k] <= 0:
+            return f"{k} must be positive"
+    if {"min", "max"} <= p.keys() and p["min"] >= p["max"]:
+        return "min must be below max"
+    if "mode" in p and not p["min"] <= p["mode"] <= p["max"]:
+        return "the mode must lie between min and max"
+    if "p" in p and not 0 <= p["p"] <= 1:
+        return "p must lie between 0 and 1"
+    return ""
+
+
+def create(name: str, params: Sequence[float]) -> tuple[str, list[float]]:
+    """A distribution by its tag; raises ValueError for parameters out of range."""
+    problem = validate(name, params)
+    if problem:
+        raise ValueError(problem)
+    return name, [float(v) for v in params]
+
+
+def graph(name: str, params: Sequence[float], what: str = "cdf", points: int = 1000, lo: float = 0.0005, hi: float = 0.9995) -> np.ndarray:
+    """Rows (x, value) between two quantiles; for what = quantile, (probability, x)."""
+    p = np.linspace(lo, hi, points)
+    if what == "quantile":
+        return np.column_stack([p, evaluate(name, "quantile", p, params)])
+    ends = evaluate(name, "quantile", [lo, hi], params)
+    x = np.linspace(ends[0], ends[1], points)
+    return np.column_stack([x, evaluate(name, what, x, params)])
+
+
+def conditional_moments(name: str, params: Sequence[float], lo: float, hi: float, points: int = 200) -> tuple[float, float, float, float]:
+    """Mean, deviation, skewness and kurtosis given that the value lies between two limits, by Gauss's rule over its probability."""
+    a, b = evaluate(name, "cdf", [lo, hi], params)
+    nodes, w = np.polynomial.legendre.leggauss(points)
+    x = evaluate(name, "quantile", a + (b - a) * (nodes + 1) / 2, params)
+    w = w / 2
+    m = float((w * x).sum())
+    s = math.sqrt(float((w * (x - m) ** 2).sum()))
+    return m, s, float((w * (x - m) ** 3).sum()) / s**3, float((w * (x - m) ** 4).sum()) / s**4
+
+
+def expected_shortfall(name: str, params: Sequence[float], p: float) -> float:
+    """Mean of the values beyond the quantile of p."""
+    nodes, w = np.polynomial.legendre.leggauss(200)
+    t = (nodes + 1) / 2
+    u = np.minimum(1 - (1 - p) * (1 - t) ** 4, 1 - 1e-15)  # denser towards the tail
+    return float((w / 2 * evaluate(name, "quantile", u, params) * 4 * (1 - t) ** 3).sum())
+
+
+def empirical_quantile(p, points: Sequence[float], probs: Sequence[float]) -> np.ndarray:
+    return np.interp(p, probs, points)
+
+
+def empirical_pdf(x, points: Sequence[float], probs: Sequence[float]) -> np.ndarray:
+    """Slope of the tabulated probability; 0 outside."""
+    x, v, p = (np.asarray(a, float) for a in (x, points, probs))
+    i = np.clip(np.searchsorted(v, x, "right") - 1, 0, len(v) - 2)
+    return np.where((x >= v[0]) & (x <= v[-1]), (p[i + 1] - p[i]) / (v[i + 1] - v[i]), 0.0)
+
+
+def mixture_pdf(x, weights: Sequence[float], parts: Sequence[tuple[str, Sequence[float]]]) -> np.ndarray:
+    return sum(w * evaluate(n, "pdf", x, p) for w, (n, p) in zip(weights, parts, strict=True))
+
+
+def _ends(parts: Sequence[tuple[str, Sequence[float]]]) -> tuple[float, float]:
+    q = np.concatenate([evaluate(n, "quantile", [1e-12, 1 - 1e-12], p) for n, p in parts])
+    return float(q.min()), float(q.max())
+
+
+def mixture_quantile(p, weights: Sequence[float], parts: Sequence[tuple[str, Sequence[float]]]) -> np.ndarray:
+    p = np.asarray(p, float)
+    lo, hi = _ends(parts)
+    return S.bisect(lambda x: mixture_cdf(x, weights, parts) - p, np.full(p.shape, lo), np.full(p.shape, hi))
+
+
+def fit_normal_mixture(x, k: int, seed: int = 1) -> tuple[list[float], list[tuple[str, list[float]]]]:
+    """Weights and normal parts by expectation and maximisation."""
+    from ..operators.learning import gaussian_mixture
+
+    w, means, cov, _ = gaussian_mixture(np.asarray(x, float), k, seed)
+    order = np.argsort(means[:, 0], kind="stable")
+    return w[order].tolist(), [("normal", [float(means[i, 0]), float(math.sqrt(cov[i, 0, 0]))]) for i in order]
+
+
+def fit_mixture(x, parts: Sequence[tuple[str, Sequence[float]]], weights: Sequence[float]) -> tuple[list[float], list[tuple[str, list[float]]]]:
+    """Maximum likelihood of weights and parts together, from given ones."""
+    return _fit_parts(x, parts, weights, lambda v, w, parts: mixture_pdf(v, w, parts))
+
+
+def competing_risks_pdf(x, parts: Sequence[tuple[str, Sequence[float]]], largest: bool = False) -> np.ndarray:
+    """Density of the smallest (or largest) of independent risks."""
+    f = np.stack([evaluate(n, "cdf", x, p) for n, p in parts])
+    d = np.stack([evaluate(n, "pdf", x, p) for n, p in parts])
+    other = f if largest else 1 - f
+    return sum(d[i] * np.delete(other, i, 0).prod(0) for i in range(len(parts)))
+
+
+def competing_risks_quantile(p, parts: Sequence[tuple[str, Sequence[float]]], largest: bool = False) -> np.ndarray:
+    p = np.asarray(p, float)
+    lo, hi = _ends(parts)
+    return S.bisect(lambda x: competing_risks_cdf(x, parts, largest) - p, np.full(p.shape, lo), np.full(p.shape, hi))
+
+
+def competing_risks_dependent_cdf(x: float, parts: Sequence[tuple[str, Sequence[float]]], corr, largest: bool = False) -> float:
+    """The same for risks that are normal scores with a correlation; 1 or -1 instead of a matrix stands for full dependence."""
+    from ..operators.probability import multivariate_normal_cdf
+
+    f = np.array([float(evaluate(n, "cdf", [x], p)[0]) for n, p in parts])
+    if np.ndim(corr) == 0:
+        if corr > 0:
+            return float(f.min() if largest else f.max())
+        return float(max(0.0, f.sum() - len(f) + 1) if largest else min(1.0, f.sum()))
+    z = S.normal_quantile(np.clip(f, 1e-12, 1 - 1e-12))
+    return multivariate_normal_cdf(z, np.asarray(corr)) if largest else 1 - multivariate_normal_cdf(-z, np.asarray(corr))
+
+
+def fit_competing_risks(x, parts: Sequence[tuple[str, Sequence[float]]], largest: bool = False) -> list[tuple[str, list[float]]]:
+    """Maximum likelihood of all risks' parameters, from given ones."""
+    return _fit_parts(x, parts, None, lambda v, w, parts: competing_risks_pdf(v, parts, largest))[1]
+
+
+def _fit_parts(x, parts, weights, density) -> tuple[list[float], list[tuple[str, list[float]]]]:
+    from .optimize import nelder_mead
+
+    x = np.asarray(x, float)
+    sizes = [len(p) for _, p in parts]
+    k = len(parts) - 1 if weights is not None else 0
+
+    def unpacked(t):
+        e = np.exp(np.append(t[:k], 0.0) - max(0.0, *t[:k])) if k else np.ones(len(parts))
+        cut = np.split(t[k:], np.cumsum(sizes)[:-1])
+        return (e / e.sum()).tolist(), [(n, c.tolist()) for (n, _), c in zip(parts, cut, strict=True)]
+
+    def cost(t):
+        w, own = unpacked(t)
+        if any(validate(n, p) for n, p in own):
+            return 1e300
+        with np.errstate(all="ignore"):
+            ll = float(np.log(np.maximum(density(x, w, own), 1e-300)).sum())
+        return -ll if math.isfinite(ll) else 1e300
+
+    start = np.concatenate([np.log(np.asarray(weights[:-1], float) / weights[-1]) if k else np.empty(0), *(np.asarray(p, float) for _, p in parts)])
+    return unpacked(nelder_mead(cost, start, 0.1 * np.maximum(np.abs(start), 0.1), most=8000).x)
+
+
+def truncated_pdf(x, name: str, params: Sequence[float], lo: float, hi: float) -> np.ndarray:
+    x = np.asarray(x, float)
+    a, b = evaluate(name, "cdf", [lo, hi], params)
+    return np.where((x >= lo) & (x <= hi), evaluate(name, "pdf", x, params) / (b - a), 0.0)
+
+
+def truncated_quantile(p, name: str, params: Sequence[float], lo: float, hi: float) -> np.ndarray:
+    a, b = evaluate(name, "cdf", [lo, hi], params)
+    return evaluate(name, "quantile", a + np.asarray(p, float) * (b - a), params)
+
+
+def pert_from_percentiles(low: float, middle: float, high: float) -> list[float]:
+    """Min, mode and max of the PERT distribution whose 5, 50 and 95 % quantiles are given, by simplex search on their probabilities."""
+    from .optimize import nelder_mead
+
+    goal, span = np.array([low, middle, high], float), high - low
+
+    def shaped(t):  # steps below, at and above the middle, so the order always holds
+        a, c = low - span * math.exp(t[0]), low + span / (1 + math.exp(-t[1]))
+        return [a, c, max(high, c) + span * math.exp(t[2])]
+
+    def cost(t):
+        f = evaluate("pert", "cdf", goal, shaped(np.clip(t, -8, 8)))
+        return float(((f - np.array([0.05, 0.5, 0.95])) ** 2).sum())
+
+    best = min((nelder_mead(cost, np.array([-1.5, s, -1.5]), 0.5, 1e-14) for s in (-1.0, 0.0, 1.0)), key=lambda r: r.fun)
+    return [float(v) for v in shaped(np.clip(best.x, -8, 8))]
+
+
+def pert_percentile(what: str, x, low: float, middle: float, high: float, normal_scores: bool = False) -> np.ndarray:
+    """pdf, cdf or quantile of the PERT of three percentiles; with ``normal_scores`` these are probabilities, and the PERT is of their normal quantiles."""
+    if not normal_scores:
+        return evaluate("pert", what, x, pert_from_percentiles(low, middle, high))
+    params = pert_from_percentiles(*S.normal_quantile(np.array([low, middle, high])).tolist())
+    if what == "quantile":
+        return S.normal_cdf(evaluate("pert", "quantile", x, params))
+    z = S.normal_quantile(np.asarray(x, float))
+    f = evaluate("pert", what, z, params)
+    return f if what == "cdf" else f / S.normal_pdf(z)

@@ -93,7 +93,7 @@ def gamma_p(a, x):
             c = np.where(np.abs(b + an / c) < 1e-300, 1e-300, b + an / c)
             step = d * c
             h = h * step
-            if (np.abs(step - 1) < 1e-16).all():
+            if (np.abs(step - 1) < 4e-16).all():
                 break
         out[high] = 1 - front[high] * h
     return out.reshape(shape)
@@ -124,7 +124,7 @@ def beta_i(a, b, x):
                 c = 1 + an / c
                 c = np.where(np.abs(c) < 1e-300, 1e-300, c)
                 h = h * d * c
-            if (np.abs(d * c - 1) < 1e-16).all():
+            if (np.abs(d * c - 1) < 4e-16).all():
                 break
         value = front * h
         out[inside] = np.where(swap, 1 - value, value)

@@ -15,25 +15,18 @@ from ..functions import columns as C
 TRANSFORMS = {"none": (lambda c: c, lambda c: c), "log": (lambda c: F.log10(F.greatest(c, F.lit(1e-16))), lambda c: F.pow(F.lit(10.0), c)), "normal_z": (C.normal_quantile, C.normal_cdf)}
 
 
-def lookup(df: DataFrame, q: str, curve: DataFrame, x: str = "x", y: str = "y", out: str = "value", x_transform: str = "none", y_transform: str = "none", most_points: int = 100_000) -> DataFrame:
+def lookup(df: DataFrame, q: str, curve: DataFrame, x: str = "x", y: str = "y", out: str = "value", x_transform: str = "none", y_transform: str = "none", most_points: int = 256) -> DataFrame:
     """Linear interpolation of ``curve`` at column ``q``, on transformed axes, clamped at its ends.
 
     A curve of at most ``most_points`` points is sorted on the driver and becomes
-    two array literals, searched in Arrow batches; a longer one is joined as-of
-    by sorting both sides together.
+    nested conditions, one for each halving of the points; a longer one is joined
+    by brackets.
     """
     fx, fy, back = TRANSFORMS[x_transform][0], TRANSFORMS[y_transform][0], TRANSFORMS[y_transform][1]
     points = curve.select(fx(F.col(x)).cast("double").alias("x"), fy(F.col(y)).cast("double").alias("y"))
     got = sorted((r["x"], r["y"]) for r in points.limit(most_points + 1).collect() if r["x"] is not None)
     if len(got) <= most_points:
-        xs, ys = np.array([g[0] for g in got]), np.array([g[1] for g in got])
-
-        @F.pandas_udf("double")
-        def at(v: pd.Series) -> pd.Series:
-            a = v.to_numpy(float)
-            return pd.Series(np.where(np.isnan(a), np.nan, np.interp(a, xs, ys)))
-
-        return df.withColumn(out, back(at(fx(F.col(q).cast("double")))))
+        return df.withColumn(out, back(_bracket(fx(F.col(q).cast("double")), got)))
     # the curve's points and the queries in one range-partitioned order would do without a window over everything;
     # brackets are joined by a bucket of x instead, so no task holds the whole curve
     s = points.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n")).first()
@@ -53,6 +46,23 @@ def lookup(df: DataFrame, q: str, curve: DataFrame, x: str = "x", y: str = "y",
     return joined.select(*df.columns, back(value).alias(out))
 
 
+def _bracket(v: Column, points: list[tuple[float, float]]) -> Column:
+    """Interpolation by a tree of comparisons over sorted points, clamped; null for null and NaN. Of equal x the last point counts."""
+    xs = [p[0] for p in points]
+    if not points:
+        return F.lit(None).cast("double")
+
+    def part(a: int, b: int) -> Column:
+        if b - a == 1:
+            (x0, y0), (x1, y1) = points[a], points[b]
+            return F.lit(y1) if x1 == x0 else F.lit(y0) + (v - x0) * ((y1 - y0) / (x1 - x0))
+        m = (a + b) // 2
+        return F.when(v < xs[m], part(a, m)).otherwise(part(m, b))
+
+    inner = part(0, len(points) - 1) if len(points) > 1 else F.lit(points[0][1])
+    return F.when(v.isNull() | F.isnan(v), None).when(v <= xs[0], points[0][1]).when(v >= xs[-1], points[-1][1]).otherwise(inner)
+
+
 def area(curve: DataFrame, key: str = "curve_id", x: str = "x", y: str = "y") -> DataFrame:
     """Trapezoid areas along x and along y, by curve."""
     w = Window.partitionBy(key).orderBy(x)
@@ -185,3 +195,58 @@ def convolve(p: Sequence[tuple[float, float]], q: Sequence[tuple[float, float]],
     ga, gb = (np.arange(t[0, 0], t[-1, 0] + step / 2, step) for t in (a, b))
     f = np.convolve(np.interp(ga, *a.T), np.interp(gb, *b.T)) * step
     return a[0, 0] + b[0, 0] + step * np.arange(len(f)), f
+
+
+def neville_error(x: Sequence[float], y: Sequence[float], q: float, order: int = 3) -> tuple[float, float]:
+    """The polynomial's value, and its difference to the one of an order less."""
+    value = neville(x, y, q, order)
+    return value, value - neville(x, y, q, order - 1) if order > 0 else 0.0
+
+
+def search_index(q: Column, values: Sequence[float], descending: bool = False) -> Column:
+    """Index (from 0) of the last value at or before q; -1 before the first one, N behind the last, N - 1 at it."""
+    n = len(values)
+    v = F.array(*(F.lit(float(a)) for a in values))
+    first, last = F.lit(float(values[0])), F.lit(float(values[-1]))
+    passed = F.size(F.filter(v, lambda a: a >= q if descending else a <= q)) - 1
+    outside = (q < last) if descending else (q > last)
+    return F.when(outside, n).when(q == last, n - 1).otherwise(passed)
+
+
+def curve_sample(curve: DataFrame, p: float | None = None, x: str = "x", dist: str = "dist", params: str = "params") -> DataFrame:
+    """A curve of uncertain ordinates (each a distribution) at a probability; without one, at the means."""
+    from ..functions import distributions as D
+
+    if p is not None:
+        return curve.select(*(c for c in curve.columns if c not in (dist, params)), D.apply("quantile", F.lit(float(p)), F.col(dist), F.col(params)).alias("y"))
+
+    @F.pandas_udf("double")
+    def mean(d: pd.Series, v: pd.Series) -> pd.Series:
+        return pd.Series([D.moments(n, list(a))[0] for n, a in zip(d, v, strict=True)])
+
+    return curve.select(*(c for c in curve.columns if c not in (dist, params)), mean(dist, params).alias("y"))
+
+
+def uncertain_errors(curve: DataFrame, key: str = "curve_id", order: str = "idx", x: str = "x", dist: str = "dist", params: str = "params", at: Sequence[float] = (0.05, 0.5, 0.95)) -> DataFrame:
+    """Rows that break the rising order of x, or of the distributions' quantiles at any of some probabilities, or whose parameters are invalid."""
+    from ..functions import distributions as D
+
+    @F.pandas_udf("string")
+    def problem(d: pd.Series, v: pd.Series) -> pd.Series:
+        return pd.Series([D.validate(n, list(a)) for n, a in zip(d, v, strict=True)])
+
+    w = Window.partitionBy(key).orderBy(order)
+    rows = curve.withColumn("problem", problem(dist, params)).withColumn("bad_x", F.coalesce(F.col(x) <= F.lag(x).over(w), F.lit(False)))
+    q = rows.withColumn("__q", F.when(F.col("problem") == "", F.array(*(D.apply("quantile", F.lit(float(p)), F.col(dist), F.col(params)) for p in at))))
+    falls = F.exists(F.zip_with("__q", F.lag("__q").over(w), lambda a, b: a < b), lambda t: t)
+    return q.withColumn("bad_y", F.coalesce(falls, F.lit(False))).drop("__q").where("bad_x or bad_y or problem <> ''")
+
+
+def uncertain_lookup(df: DataFrame, q: str, curve: DataFrame, p: float | None = None, out: str = "value", **options) -> DataFrame:
+    """``lookup`` in a curve of uncertain ordinates at a probability."""
+    return lookup(df, q, curve_sample(curve, p), out=out, **options)
+
+
+def without(curve: DataFrame, rows: DataFrame, on: Sequence[str]) -> DataFrame:
+    """The curve without some ordinates."""
+    return curve.join(rows.select(*on).distinct(), list(on), "left_anti")

@@ -30,6 +30,35 @@ class Linear:
     adjusted: float
     sigma: float
     n: int
+    covariance: np.ndarray | None = None
+    link: str = "identity"
+
+    def predict(self, df: DataFrame, out: str = "predicted") -> DataFrame:
+        """The model's mean as one expression."""
+        return df.withColumn(out, self._inverse(self._line()))
+
+    def intervals(self, df: DataFrame, level: float = 0.9, row: bool = True) -> DataFrame:
+        """Adds predicted, lower and upper: of a new row (linear models, by Student's t), or else of the mean (generalised ones: limits of the linear predictor, by the normal distribution, turned back)."""
+        b = [F.lit(1.0), *(F.col(x).cast("double") for x in self.names[1:])]
+        k = len(b)
+        lever = sum((float(self.covariance[i, j]) * b[i] * b[j] for i in range(k) for j in range(k)), F.lit(0.0))
+        linear = not math.isnan(self.r2)
+        q = float(S.t_quantile(np.array((1 + level) / 2), float(self.n - k)) if linear else S.normal_quantile((1 + level) / 2))
+        half = q * F.sqrt(lever + (self.sigma**2 if linear and row else 0.0))
+        e = self._line()
+        return df.withColumn("predicted", self._inverse(e)).withColumn("lower", self._inverse(e - half)).withColumn("upper", self._inverse(e + half))
+
+    def summary(self) -> list[tuple[str, float, float, float, float]]:
+        """(term, coefficient, error, t, p) of each term."""
+        return [(n, *map(float, v)) for n, v in zip(self.names, zip(self.coefficients, self.errors, self.t, self.p, strict=True), strict=True)]
+
+    def _line(self):
+        return sum((float(c) * F.col(x).cast("double") for x, c in zip(self.names[1:], self.coefficients[1:], strict=True)), F.lit(float(self.coefficients[0])))
+
+    def _inverse(self, e):
+        from ..functions.columns import LINKS
+
+        return LINKS[self.link][1](e)
 
 
 def linear(df: DataFrame, y: str, xs: Sequence[str]) -> Linear:
@@ -49,7 +78,7 @@ def linear(df: DataFrame, y: str, xs: Sequence[str]) -> Linear:
     sigma = math.sqrt(sse / df_e)
     se = sigma * np.sqrt(np.diag(inv))
     t = b / se
-    return Linear(["(intercept)", *xs], b, se, t, S.t_two_sided(t, np.full(len(t), float(df_e))), 1 - sse / sst, 1 - sse / df_e / (sst / (n - 1)), sigma, n)
+    return Linear(["(intercept)", *xs], b, se, t, S.t_two_sided(t, np.full(len(t), float(df_e))), 1 - sse / sst, 1 - sse / df_e / (sst / (n - 1)), sigma, n, sigma**2 * inv)
 
 
 #: Inverse links with derivative, and variance functions, of generalised linear models.
@@ -63,7 +92,8 @@ _DEFAULT = {"gaussian": "identity", "poisson": "log", "binomial": "logit"}
 
 def glm(df: DataFrame, y: str, xs: Sequence[str], family: str = "binomial", link: str | None = None, rounds: int = 50, tol: float = 1e-10) -> Linear:
     """Maximum likelihood by reweighted least squares: each round is one pass of partial sums."""
-    inverse, slope = _INVERSE[link or _DEFAULT[family]]
+    link_name = link or _DEFAULT[family]
+    inverse, slope = _INVERSE[link_name]
     variance = _VARIANCE[family]
     k = len(xs) + 1
     data = df.select(*(F.col(x).cast("double").alias(f"x{i}") for i, x in enumerate(xs)), F.col(y).cast("double").alias("y")).dropna()
@@ -80,7 +110,7 @@ def glm(df: DataFrame, y: str, xs: Sequence[str], family: str = "binomial", link
             total, count, dev = np.zeros((k, k + 1)), 0, 0.0
             for pdf in batches:
                 x = np.column_stack([np.ones(len(pdf)), pdf.drop(columns="y").to_numpy()])
-                e = np.clip(x @ b, -30, 30)
+                e = x @ b if link_name == "identity" else np.clip(x @ b, -30, 30)  # far out all other means are at their limits
                 mu, d = inverse(e), np.maximum(slope(e), 1e-12)
                 v = np.maximum(variance(mu), 1e-12)
                 w = d * d / v
@@ -98,9 +128,10 @@ def glm(df: DataFrame, y: str, xs: Sequence[str], family: str = "binomial", link
         if done:
             break
     phi = got["dev"] / (n - k) if family == "gaussian" else 1.0
-    se = np.sqrt(np.diag(np.linalg.inv(sums)) * phi)
+    cov = np.linalg.inv(sums) * phi
+    se = np.sqrt(np.diag(cov))
     z = b / se
-    return Linear(["(intercept)", *xs], b, se, z, 2 * (1 - S.normal_cdf(np.abs(z))), math.nan, math.nan, math.sqrt(phi), n)
+    return Linear(["(intercept)", *xs], b, se, z, 2 * (1 - S.normal_cdf(np.abs(z))), math.nan, math.nan, math.sqrt(phi), n, cov, link_name)
 
 
 def naive_bayes(df: DataFrame, label: str, xs: Sequence[str]) -> dict:
@@ -288,3 +319,18 @@ def knn_predict(x: np.ndarray, y: np.ndarray, test: np.ndarray, k: int, classify
     w = np.take_along_axis(d, at, 1)
     w = np.where(w == 0, 1.0, 1 / np.maximum(w, 1e-300) ** 2)
     return (w * y[at]).sum(1) / w.sum(1)
+
+
+def knn_intervals(x: np.ndarray, y: np.ndarray, test: np.ndarray, k: int, replicates: int = 1000, level: float = 0.9, seed: int = 1) -> np.ndarray:
+    """Rows (lower, median, upper, mean) of predictions from resampled training rows."""
+    rng = np.random.default_rng(seed)
+    got = np.array([knn_predict(x[at], y[at], test, k) for at in (rng.integers(0, len(x), len(x)) for _ in range(replicates))])
+    a = (1 - level) / 2
+    return np.column_stack([*np.quantile(got, [a, 0.5, 1 - a], 0), got.mean(0)])
+
+
+def break_clusters(df: DataFrame, v: str, ends: Sequence[float]) -> DataFrame:
+    """Count, sum, min, max and squared deviations of each class of natural breaks (upper limits included)."""
+    x = F.col(v).cast("double")
+    cluster = sum(((x > float(e)).cast("int") for e in ends[:-1]), F.lit(0))
+    return df.where(x.isNotNull()).groupBy(cluster.alias("cluster")).agg(F.count("*").alias("n"), F.sum(x).alias("total"), F.min(x).alias("lo"), F.max(x).alias("hi"), (F.var_pop(x) * F.count("*")).alias("ssd"))

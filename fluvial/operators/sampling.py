@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import special as S
-from ..functions.distributions import evaluate, l_moment_parameters, maximum_likelihood
+from ..functions.distributions import apply, evaluate, l_moment_parameters, maximum_likelihood
 
 
 def latin_hypercube(n: int, d: int, seed: int = 1, median: bool = False) -> np.ndarray:
@@ -138,56 +138,185 @@ def estimate(name: str, x: np.ndarray, method: str = "lmom") -> list[float]:
     return l_moment_parameters(name, l1, l2, t3)
 
 
-def bootstrap(spark: SparkSession, dist: str, params: Sequence[float], n: int, replicates: int, probabilities: Sequence[float], method: str = "lmom", seed: int = 1, tries: int = 20) -> DataFrame:
-    """Parametric bootstrap: rows (replicate, params, quantiles) of refitted samples; a replicate that cannot be fitted is drawn again."""
+def _refit(dist: str, params: Sequence[float], n: int, at: np.ndarray, method: str, seed: Sequence[int], tries: int) -> tuple[list[float], np.ndarray, np.ndarray]:
+    """Parameters, quantiles and the sample of a refitted draw; a draw that cannot be fitted is made again."""
+    for t in range(tries):
+        x = evaluate(dist, "quantile", np.random.default_rng([*seed, t]).random(n), params)
+        try:
+            fit = estimate(dist, x, method)
+            q = evaluate(dist, "quantile", at, fit)
+        except (ValueError, ZeroDivisionError, OverflowError):
+            continue
+        if np.isfinite(q).all():
+            return fit, q, x
+    raise ValueError(f"no fit of {dist} in {tries} draws")
+
+
+def bootstrap(spark: SparkSession, dist: str, params: Sequence[float], n: int, replicates: int, probabilities: Sequence[float], method: str = "lmom", seed: int = 1, tries: int = 20, inner: int = 0) -> DataFrame:
+    """Parametric bootstrap: rows (replicate, params, quantiles, moments, inner_mean, inner_sd) of refitted samples.
+
+    A replicate that cannot be fitted is drawn again; one that fails ``tries``
+    times is an error. With ``inner`` > 0 each replicate is itself resampled so
+    often, for double bootstrap and studentised limits: the last two columns
+    are the mean and deviation of the inner quantiles.
+    """
     p, at = [float(v) for v in params], np.asarray(probabilities, float)
 
     def run(batches):
         for pdf in batches:
             rows = []
             for r in pdf.id:
-                for t in range(tries):
-                    x = evaluate(dist, "quantile", np.random.default_rng([seed, int(r), t]).random(n), p)
-                    try:
-                        fit = estimate(dist, x, method)
-                        q = evaluate(dist, "quantile", at, fit)
-                    except (ValueError, ZeroDivisionError, OverflowError):
-                        continue
-                    if np.isfinite(q).all():
-                        rows.append((int(r), fit, q.tolist()))
-                        break
-            yield pd.DataFrame(rows, columns=["replicate", "params", "quantiles"])
-
-    return spark.range(0, replicates, 1, min(replicates, 64)).mapInPandas(run, "replicate long, params array<double>, quantiles array<double>")
-
-
-def percentile_intervals(replicates: DataFrame, probabilities: Sequence[float], level: float = 0.9, estimates: Sequence[float] | None = None, how: str = "percentile") -> DataFrame:
-    """Lower and upper limits of each quantile: percentile, bias_corrected or normal (on cube roots)."""
-    rows = replicates.select(F.posexplode("quantiles").alias("k", "q"))
+                fit, q, x = _refit(dist, p, n, at, method, [seed, int(r)], tries)
+                sd = x.std(ddof=1)
+                moments = [float(x.mean()), float(sd), float(((x - x.mean()) ** 3).mean() / x.std() ** 3), float(((x - x.mean()) ** 4).mean() / x.std() ** 4)]
+                sub = np.array([_refit(dist, fit, n, at, method, [seed, int(r), k + 1], tries)[1] for k in range(inner)])
+                rows.append((int(r), fit, q.tolist(), moments, sub.mean(0).tolist() if inner else None, sub.std(0, ddof=1).tolist() if inner > 1 else None))
+            yield pd.DataFrame(rows, columns=["replicate", "params", "quantiles", "moments", "inner_mean", "inner_sd"])
+
+    schema = "replicate long, params array<double>, quantiles array<double>, moments array<double>, inner_mean array<double>, inner_sd array<double>"
+    return spark.range(0, replicates, 1, min(replicates, 64)).mapInPandas(run, schema)
+
+
+def double_bootstrap(replicates: DataFrame, probabilities: Sequence[float]) -> DataFrame:
+    """Quantiles corrected for bias: twice each replicate's own less the mean of its inner ones, averaged over replicates (which need ``inner``)."""
+    rows = replicates.select(F.posexplode(F.zip_with("quantiles", "inner_mean", lambda q, m: 2 * q - m)).alias("k", "q"))
+    return rows.groupBy("k").agg(F.avg("q").alias("corrected")).select(F.element_at(F.array(*(F.lit(float(p)) for p in probabilities)), F.col("k") + 1).alias("p"), "corrected")
+
+
+def acceleration(dist: str, x: np.ndarray, probabilities: Sequence[float], method: str = "lmom") -> list[float]:
+    """Skewness of the jackknife's quantiles, for limits by BCa."""
+    x, at = np.asarray(x, float), np.asarray(probabilities, float)
+    q = np.array([evaluate(dist, "quantile", at, estimate(dist, np.delete(x, i), method)) for i in range(len(x))])
+    d = q.mean(0) - q
+    return ((d**3).sum(0) / (6 * np.maximum((d**2).sum(0), 1e-300) ** 1.5)).tolist()
+
+
+def percentile_intervals(replicates: DataFrame, probabilities: Sequence[float], level: float = 0.9, estimates: Sequence[float] | None = None, how: str = "percentile", accelerations: Sequence[float] | None = None, errors: Sequence[float] | None = None) -> DataFrame:
+    """Lower and upper limits of each quantile.
+
+    percentile; normal (on cube roots), bias_corrected, pivotal (2 estimate - q) and
+    bca (with ``accelerations``) need the ``estimates`` of the sample itself, student
+    also its ``errors`` and replicates with ``inner``.
+    """
+    if how != "percentile" and estimates is None:
+        raise ValueError(f"{how} limits need the estimates of the sample")
+    if how == "bca" and accelerations is None or how == "student" and errors is None:
+        raise ValueError(f"{how} limits need accelerations or errors")
     a = (1 - level) / 2
-    ps = F.array(*(F.lit(float(p)) for p in probabilities))
-    est = F.array(*(F.lit(float(e)) for e in (estimates if estimates is not None else probabilities)))
-    k = F.col("k") + 1
+    array = lambda v: F.array(*(F.lit(float(x)) for x in v))
+    ps, k = array(probabilities), F.col("k") + 1
+    both = F.array(F.lit(a), F.lit(1 - a))
+    rows = replicates.select(F.posexplode("quantiles").alias("k", "q"))
+    low, high = F.element_at("c", 1), F.element_at("c", 2)
+    if how == "percentile":
+        return rows.groupBy("k").agg(F.percentile("q", both).alias("c")).select(F.element_at(ps, k).alias("p"), low.alias("lower"), high.alias("upper"))
+    own = F.element_at(array(estimates), k)
     if how == "normal":
         c = F.signum("q") * F.pow(F.abs("q"), F.lit(1 / 3))
         got = rows.groupBy("k").agg(F.stddev_samp(c).alias("s"))
         z = float(S.normal_quantile(1 - a))
-        root = F.signum(F.element_at(est, k)) * F.pow(F.abs(F.element_at(est, k)), F.lit(1 / 3))
+        root = F.signum(own) * F.pow(F.abs(own), F.lit(1 / 3))
         cube = lambda x: x * x * x
         return got.select(F.element_at(ps, k).alias("p"), cube(root - z * F.col("s")).alias("lower"), cube(root + z * F.col("s")).alias("upper"))
-    if how == "percentile":
-        got = rows.groupBy("k").agg(F.percentile("q", F.array(F.lit(a), F.lit(1 - a))).alias("c"))
-        return got.select(F.element_at(ps, k).alias("p"), F.element_at("c", 1).alias("lower"), F.element_at("c", 2).alias("upper"))
-    share = rows.groupBy("k").agg(F.avg((F.col("q") <= F.element_at(est, k)).cast("double")).alias("f"), F.sort_array(F.collect_list("q")).alias("all"))
+    if how == "pivotal":
+        got = rows.groupBy("k").agg(F.percentile("q", both).alias("c"))
+        return got.select(F.element_at(ps, k).alias("p"), (2 * own - high).alias("lower"), (2 * own - low).alias("upper"))
+    if how == "student":
+        pairs = replicates.select(F.posexplode(F.arrays_zip("quantiles", "inner_sd")).alias("k", "x")).select("k", F.try_divide(F.col("x.quantiles") - own, F.col("x.inner_sd")).alias("t"))
+        got = pairs.groupBy("k").agg(F.percentile("t", both).alias("c"))
+        error = F.element_at(array(errors), k)
+        return got.select(F.element_at(ps, k).alias("p"), (own - high * error).alias("lower"), (own - low * error).alias("upper"))
+    share = rows.groupBy("k").agg(F.avg((F.col("q") <= own).cast("double")).alias("f"), F.sort_array(F.collect_list("q")).alias("all"))
+    speed = F.element_at(array(accelerations if how == "bca" else [0.0] * len(probabilities)), k)
 
     @F.pandas_udf("array<double>")
-    def corrected(f: pd.Series, all_q: pd.Series) -> pd.Series:
+    def corrected(f: pd.Series, all_q: pd.Series, speed: pd.Series) -> pd.Series:
         z0 = S.normal_quantile(np.clip(f.to_numpy(float), 1e-6, 1 - 1e-6))
-        za = float(S.normal_quantile(a))
-        return pd.Series([np.quantile(q, [float(S.normal_cdf(2 * z + za)), float(S.normal_cdf(2 * z - za))]).tolist() for z, q in zip(z0, all_q, strict=True)])
+        ends = S.normal_quantile(np.array([a, 1 - a]))
+        return pd.Series([np.quantile(q, S.normal_cdf(z + (z + ends) / (1 - s * (z + ends)))).tolist() for z, q, s in zip(z0, all_q, speed, strict=True)])
+
+    got = share.select("k", corrected("f", "all", speed).alias("c"))
+    return got.select(F.element_at(ps, k).alias("p"), low.alias("lower"), high.alias("upper"))
+
+
+def pivotal_replicates(replicates: DataFrame, estimates: Sequence[float], links: Sequence[str] = ()) -> DataFrame:
+    """Replicated parameters mirrored at the sample's own, in link space (a link's name for each parameter, identity beyond the list)."""
+    from ..functions import scalars
+
+    d = len(estimates)
+    control = scalars.LinkController(list(links) + ["identity"] * (d - len(links)))
+    own = control.forward(F.array(*(F.lit(float(e)) for e in estimates)), d)
+    rows = replicates.select("replicate", control.forward(F.col("params"), d).alias("t"))
+    turned = F.zip_with(own, F.col("t"), lambda e, t: 2 * e - t)
+    return rows.select("replicate", control.inverse(turned, d).alias("params"))
+
+
+def expected_curve(replicates: DataFrame, dist: str, points: Sequence[float]) -> DataFrame:
+    """Mean, lower and upper probability (5, 95 %) of each point over the replicates' or a posterior's distributions: rows (x, expected, lower, upper)."""
+    rows = replicates.select("params", F.explode(F.array(*(F.lit(float(x)) for x in points))).alias("x"))
+    rows = rows.withColumn("f", apply("cdf", F.col("x"), F.lit(dist), F.col("params")))
+    got = rows.groupBy("x").agg(F.avg("f").alias("expected"), F.percentile("f", F.array(F.lit(0.05), F.lit(0.95))).alias("c"))
+    return got.select("x", "expected", F.element_at("c", 1).alias("lower"), F.element_at("c", 2).alias("upper"))
+
+
+def mode_curve(dist: str, params: Sequence[float], probabilities: Sequence[float]) -> list[tuple[float, float]]:
+    """Quantiles of the most likely distribution."""
+    return list(zip(map(float, probabilities), evaluate(dist, "quantile", probabilities, params).tolist(), strict=True))
+
+
+def log_grid(lo: float, hi: float, points: int = 100) -> np.ndarray:
+    """Values that are equally spaced in logarithms, shifted where the range is not positive."""
+    shift = 0.0 if lo > 0 else 1 - lo
+    return np.geomspace(lo + shift, hi + shift, points) - shift
+
+
+def minimum_size(q: float = 0.025, r: float = 0.005, s: float = 0.95) -> int:
+    """Draws needed to know a quantile's probability within r, with probability s (Raftery and Lewis)."""
+    z = float(S.normal_quantile((1 + s) / 2))
+    return math.ceil(q * (1 - q) * (z / r) ** 2)
+
+
+def multivariate_strata(bins: Sequence[Sequence[tuple[float, float, float]]], corr, seed: int = 1) -> np.ndarray:
+    """One bin of each axis a row, without replacement, in an order whose normal scores have a correlation."""
+    n = len(bins[0])
+    z = np.random.default_rng(seed).normal(size=(n, len(bins))) @ np.linalg.cholesky(np.asarray(corr, float)).T
+    return np.argsort(np.argsort(z, 0, kind="stable"), 0, kind="stable")
+
+
+def bins_to_probability(bins: Sequence[tuple[float, float, float]], dist: str, params: Sequence[float], exceedance: bool = False) -> list[tuple[float, float, float]]:
+    """Value bins as probability bins (or exceedance bins, in falling order of value) with their mass."""
+    e = evaluate(dist, "cdf", [b[0] for b in bins] + [bins[-1][1]], params)
+    e = 1 - e if exceedance else e
+    return [(float(a), float(b), float(abs(b - a))) for a, b in zip(e[:-1], e[1:], strict=True)]
+
+
+def strata_xml(bins: Sequence[tuple[float, float, float]]) -> str:
+    """Bins as XML elements with lower, upper and weight."""
+    return "<StratificationBins>" + "".join(f'<Bin LowerBound="{a!r}" UpperBound="{b!r}" Weight="{w!r}"/>' for a, b, w in bins) + "</StratificationBins>"
+
+
+def strata_from_xml(text: str) -> list[tuple[float, float, float]]:
+    from xml.etree import ElementTree
+
+    return [tuple(float(e.get(k)) for k in ("LowerBound", "UpperBound", "Weight")) for e in ElementTree.fromstring(text)]
+
+
+def strata_errors(lo: float, hi: float, bins: int, probability: bool = False) -> list[str]:
+    """What is wrong with the options of a stratification."""
+    found = []
+    if not lo < hi:
+        found.append("the lower bound must be below the upper one")
+    if bins < 1:
+        found.append("there must be a bin at least")
+    if probability and not (0 <= lo and hi <= 1):
+        found.append("probabilities must lie between 0 and 1")
+    return found
+
 
-    got = share.select("k", corrected("f", "all").alias("c"))
-    return got.select(F.element_at(ps, k).alias("p"), F.element_at("c", 1).alias("lower"), F.element_at("c", 2).alias("upper"))
+def random_subset(df: DataFrame, n: int, seed: int = 1, key: str | None = None) -> DataFrame:
+    """n rows without replacement; with a key the draw depends on keys alone, and so not on partitions."""
+    order = F.rand(seed) if key is None else F.xxhash64(F.col(key), F.lit(seed))
+    return df.orderBy(order, *([key] if key else [])).limit(n)
 
 
 def jackknife(x: np.ndarray, statistic: Callable) -> tuple[float, np.ndarray]:

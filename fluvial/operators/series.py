@@ -7,11 +7,15 @@ first, so sums, averages and windows skip them. Series are told apart by
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 #: Steps of regular series, as SQL intervals.
 STEPS = {
     "1min": "interval 1 minute", "5min": "interval 5 minutes", "15min": "interval 15 minutes", "30min": "interval 30 minutes", "1hour": "interval 1 hour", "6hour": "interval 6 hours", "12hour": "interval 12 hours",
@@ -27,6 +31,11 @@ def present(v: str | Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def seconds(ts: str) -> Column:
+    """Seconds since 1970 of a stamp without time zone, as a double; independent of the session's zone."""
+    return F.unix_date(F.to_date(ts)) * 86400.0 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.extract(F.lit("SECOND"), F.col(ts)).cast("double")
+
+
 def _over(keys: Sequence[str], ts: str = "ts"):
     return Window.partitionBy(*keys).orderBy(ts)
 
@@ -82,6 +91,39 @@ def shift(df: DataFrame, n: int, unit: str, ts: str = "ts") -> DataFrame:
     return df.withColumn(ts, F.expr(f"{ts} + interval {n} {unit}"))
 
 
+def shift_all(df: DataFrame, start: str, step: str | None, keys: Sequence[str] = (), ts: str = "ts") -> DataFrame:
+    """Stamps from a new start on in steps, each from the one before (a clipped month end stays clipped); without a step only the first stamp moves."""
+    w = _over(keys, ts)
+    at = F.expr(f"timestamp_ntz '{start}'")
+    i = F.row_number().over(w)
+    if step is None:
+        return df.withColumn("__i", i).withColumn(ts, F.when(F.col("__i") == 1, at).otherwise(F.col(ts))).drop("__i")
+    months = {"1month": 1, "1quarter": 3, "1year": 12}.get(step)
+    if months is None:
+        return df.withColumn("__i", i - 1).withColumn(ts, at + F.col("__i") * F.expr(STEPS[step])).drop("__i")
+    # a chain of month steps keeps the smallest day it has met: from the 31st, two steps reach the 28th or 29th for good
+    day, chain = F.dayofmonth(at), F.transform(F.sequence(F.lit(0), F.col("__i")), lambda k: F.dayofmonth(F.last_day(F.add_months(F.trunc(at, "month"), k.cast("int") * months))))
+    least = F.least(day, F.array_min(chain))
+    month = F.add_months(F.trunc(at, "month"), F.col("__i").cast("int") * months)
+    moved = F.expr("timestamp_ntz '1970-01-01'") + F.make_dt_interval(F.unix_date(month) + least - 1, F.hour(at), F.minute(at), F.extract(F.lit("SECOND"), at))
+    return df.withColumn("__i", i - 1).withColumn(ts, moved).drop("__i")
+
+
+def add_step(ts: Column, step: str | None, n: int = 1) -> Column:
+    """A stamp n steps on (or back); without a step it stays."""
+    if step is None:
+        return ts
+    return ts + F.expr(STEPS[step]) * n if n > 0 else ts - F.expr(STEPS[step]) * -n
+
+
+def denormalize(z: Column, lo: Column | float, hi: Column | float) -> Column:
+    return z * (F.lit(hi) - F.lit(lo)) + F.lit(lo) if not isinstance(lo, Column) else z * (hi - lo) + lo
+
+
+def destandardize(z: Column, mean: Column | float, sd: Column | float) -> Column:
+    return z * sd + mean
+
+
 def moving(df: DataFrame, period: int, how: str = "avg", keys: Sequence[str] = (), least: int | None = None, v: str = "v", ts: str = "ts", out: str = "m") -> DataFrame:
     """Trailing window of ``period`` rows, from row ``period`` on; null with fewer than ``least`` values (default: all)."""
     w = _over(keys, ts)
@@ -117,7 +159,7 @@ def block(df: DataFrame, unit: str = "month", how: str = "sum", keys: Sequence[s
 
 
 def water_year(df: DataFrame, start_month: int = 10, how: str = "max", keys: Sequence[str] = (), v: str = "v", ts: str = "ts", season: tuple[int, int] | None = None) -> DataFrame:
-    """Blocks of years that begin with ``start_month`` and are named by their end; ``season`` keeps months from..to, which may wrap."""
+    """Blocks of years that begin with ``start_month`` and are named by their end; ``season`` keeps months from..to, which may wrap. A block with a missing value has no sum or avg."""
     m = F.month(ts)
     if season:
         a, b = season
@@ -125,7 +167,8 @@ def water_year(df: DataFrame, start_month: int = 10, how: str = "max", keys: Seq
         start_month = a
     year = F.year(ts) + (F.when(m >= start_month, 1).otherwise(0) if start_month > 1 else F.lit(0))
     x = present(v)
-    value = {"min": F.min(x), "max": F.max(x), "sum": F.sum(x), "avg": F.avg(x)}[how]
+    whole = F.count(x) == F.count("*")
+    value = {"min": F.min(x), "max": F.max(x), "sum": F.when(whole, F.sum(x)), "avg": F.when(whole, F.avg(x))}[how]
     return df.groupBy(*keys, year.cast("int").alias("water_year")).agg(value.alias("b"), F.count(x).alias("n"))
 
 
@@ -137,16 +180,27 @@ def fill_dates(df: DataFrame, step: str, value: float = 0.0, keys: Sequence[str]
 
 
 def interpolate(df: DataFrame, most: int, keys: Sequence[str] = (), v: str = "v", ts: str = "ts", out: str = "filled") -> DataFrame:
-    """Linear in time between the values around a gap of at most ``most`` rows; wider and outer gaps stay null."""
+    """Linear in time between the values around a gap of at most ``most`` rows; wider gaps, and one at the start, stay null.
+
+    A gap at the end of at most ``most + 1`` rows goes on along the line of the
+    two rows before it, if those have values or were filled.
+    """
     x = present(v)
-    sec = F.expr(f"unix_micros(cast({ts} as timestamp))")
     w = _over(keys, ts)
-    df = df.withColumn("__i", F.row_number().over(w)).withColumn("__k", F.when(x.isNotNull(), F.struct(F.col("__i").alias("i"), sec.alias("s"), x.alias("v"))))
-    before = F.last("__k", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("__k", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    df = df.withColumn("__p", before).withColumn("__n", after)
-    line = F.col("__p.v") + (F.col("__n.v") - F.col("__p.v")) * (sec - F.col("__p.s")) / (F.col("__n.s") - F.col("__p.s"))
-    return df.withColumn(out, F.when(x.isNotNull(), x).when(F.col("__n.i") - F.col("__p.i") - 1 <= most, line)).drop("__i", "__k", "__p", "__n")
+    df = df.withColumn("__i", F.row_number().over(w)).withColumn("__s", seconds(ts)).withColumn("__n", F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    df = df.withColumn("__k", F.when(x.isNotNull(), F.struct(F.col("__i").alias("i"), F.col("__s").alias("s"), x.alias("v"))))
+    df = df.withColumn("__p", F.last("__k", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    df = df.withColumn("__q", F.first("__k", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    df = df.withColumn("__o", F.when(x.isNotNull(), F.last("__k", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))))
+    df = df.withColumn("__o", F.last("__o", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    s = F.col("__s")
+    slope = lambda a, b: F.try_divide(F.col(f"{b}.v") - F.col(f"{a}.v"), F.col(f"{b}.s") - F.col(f"{a}.s"))
+    inner = F.col("__p.v") + slope("__p", "__q") * (s - F.col("__p.s"))
+    outer = F.col("__p.v") + slope("__o", "__p") * (s - F.col("__p.s"))
+    whole = F.col("__q.i") - F.col("__p.i") - 1 <= most
+    last = F.col("__q.i").isNull() & (F.col("__n") - F.col("__p.i") <= most + 1) & (F.col("__p.i") - F.col("__o.i") - 1 <= most)
+    value = F.when(x.isNotNull(), x).when(whole, inner).when(last, outer)
+    return df.withColumn(out, value).drop("__i", "__s", "__n", "__k", "__p", "__q", "__o")
 
 
 def resample(df: DataFrame, rows: int, how: str = "avg", keys: Sequence[str] = (), v: str = "v", ts: str = "ts", out: str = "r") -> DataFrame:
@@ -156,6 +210,18 @@ def resample(df: DataFrame, rows: int, how: str = "avg", keys: Sequence[str] = (
     return df.groupBy(*keys, "__b").agg(F.min(ts).alias(ts), (F.avg(x) if how == "avg" else F.sum(x)).alias(out)).drop("__b")
 
 
+def refine(df: DataFrame, old: str, new: str, how: str = "avg", keys: Sequence[str] = (), v: str = "v", ts: str = "ts", out: str = "r") -> DataFrame:
+    """Finer steps of a regular series: avg interpolates linearly, sum splits each value over the new steps until the next ordinate."""
+    hours = HOURS[old], HOURS[new]
+    parts = int(round(hours[0] / hours[1]))
+    w = _over(keys, ts)
+    rows = df.withColumn("__v", present(v)).withColumn("__next", F.lead(present(v)).over(w)).withColumn("__last", F.lead(ts).over(w).isNull())
+    steps = F.when(F.col("__last"), F.lit(1)).otherwise(F.lit(parts))
+    rows = rows.select(*keys, F.col(ts).alias("__ts"), "__v", "__next", F.explode(F.sequence(F.lit(0), steps - 1)).alias("__k"))
+    value = F.when(F.col("__k") == 0, F.col("__v")).otherwise(F.col("__v") + (F.col("__next") - F.col("__v")) * F.col("__k") / parts) if how == "avg" else F.col("__v") / parts
+    return rows.select(*keys, (F.col("__ts") + F.col("__k") * F.expr(STEPS[new])).alias(ts), value.alias(out))
+
+
 def monthly_summary(df: DataFrame, keys: Sequence[str] = (), v: str = "v", ts: str = "ts") -> DataFrame:
     """Min, 5, 25, 50, 75, 95 %, max and mean by calendar month."""
     x = present(v)
@@ -168,19 +234,38 @@ def monthly_summary(df: DataFrame, keys: Sequence[str] = (), v: str = "v", ts: s
 def duration(df: DataFrame, keys: Sequence[str] = (), v: str = "v", tie: str = "ts") -> DataFrame:
     """Values in descending order with the percent of time they are exceeded."""
     n = df.where(present(v).isNotNull()).groupBy(*keys).agg(F.count("*").alias("__n"))
-    rows = df.where(present(v).isNotNull())
-    rows = rows.withColumn("__i", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(v), tie)))
+    rows = numbered(df.where(present(v).isNotNull()), [F.desc(v), tie], keys)
     joined = rows.join(n, list(keys)) if keys else rows.join(F.broadcast(n), F.lit(True))
     return joined.withColumn("exceedance", 100.0 * F.col("__i") / (F.col("__n") + 1)).drop("__i", "__n")
 
 
 def peaks_over(df: DataFrame, threshold: float, steps: int, keys: Sequence[str], v: str = "v", ts: str = "ts") -> DataFrame:
-    """Peaks above a threshold: exceedances fewer than ``steps`` rows apart form a cluster, which gives its last highest ordinate (gaps and islands)."""
-    w = _over(keys, ts)
-    over = df.withColumn("__i", F.row_number().over(w)).where(F.col(v) > threshold)
-    over = over.withColumn("__new", F.when(F.col("__i") - F.lag("__i").over(w) < steps, 0).otherwise(1))
-    over = over.withColumn("cluster", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return over.groupBy(*keys, "cluster").agg(F.max(v).alias("peak"), F.max_by(ts, F.struct(v, ts)).alias("at"), F.count("*").alias("n"))
+    """Peaks above a threshold: a cluster ends at the first row that is not above it and more than ``steps`` rows behind the highest row so far after the cluster's first (the last of equal ones; before there is one, the second row counts).
+
+    Only exceedances, with their row numbers, leave the window; they are walked
+    through by key, so a series has its exceedances in one task.
+    """
+    schema = ", ".join(f"`{k}` {t}" for k, t in df.select(*keys).dtypes) + f", cluster long, peak double, at {dict(df.dtypes)[ts]}, n long"
+    over = df.withColumn("__i", F.row_number().over(_over(keys, ts))).where(present(v) > threshold).select(*keys, ts, F.col(v).cast("double").alias(v), "__i")
+
+    def walk(key, pdf):
+        pdf = pdf.sort_values("__i")
+        found: list[list] = []
+        last = 0
+        for i, x, t in zip(pdf["__i"], pdf[v], pdf[ts], strict=True):
+            cur = found[-1] if found else None
+            if cur is None or (i > last + 1 and i - 1 - cur[5] > steps):
+                found.append([len(found) + 1, x, t, 1, -math.inf, i + 1])
+            else:
+                cur[3] += 1
+                if x >= cur[1]:
+                    cur[1], cur[2] = x, t
+                if x >= cur[4]:
+                    cur[4], cur[5] = x, i
+            last = i
+        return pd.DataFrame([[*key, *f[:4]] for f in found], columns=[*keys, "cluster", "peak", "at", "n"])
+
+    return over.groupBy(*keys).applyInPandas(walk, schema)
 
 
 def autocovariance(df: DataFrame, lags: int, keys: Sequence[str] = (), v: str = "v", ts: str = "ts") -> DataFrame:

@@ -6,12 +6,16 @@ built-in aggregates and windows; only p-values need ``fluvial.functions``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .numbering import average_ranks, numbered
 
 
 def describe(df: DataFrame, v: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -39,33 +43,60 @@ def percentiles(df: DataFrame, v: str, at: Sequence[float], keys: Sequence[str]
 def l_moments(df: DataFrame, v: str, keys: Sequence[str] = ()) -> DataFrame:
     """L-mean, L-scale, L-skewness and L-kurtosis from unbiased probability-weighted moments (n > 3)."""
     x = F.col(v).cast("double")
-    w = Window.partitionBy(*keys)
-    rows = df.where(x.isNotNull()).select(*keys, x.alias("x"), (F.row_number().over(w.orderBy(x)) - 1).cast("double").alias("i"), F.count("*").over(w).cast("double").alias("n"))
-    i, n = F.col("i"), F.col("n")
+    rows = numbered(df.where(x.isNotNull()).select(*keys, x.alias("x")), ["x"], keys)
+    count = rows.groupBy(*keys).agg(F.count("*").cast("double").alias("n"))
+    rows = rows.join(count, list(keys)) if keys else rows.join(F.broadcast(count), F.lit(True))
+    i, n = (F.col("__i") - 1).cast("double"), F.col("n")
     b = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("x").alias("b0"), F.avg(F.try_divide(i, n - 1) * F.col("x")).alias("b1"), F.avg(F.try_divide(i * (i - 1), (n - 1) * (n - 2)) * F.col("x")).alias("b2"), F.avg(F.try_divide(i * (i - 1) * (i - 2), (n - 1) * (n - 2) * (n - 3)) * F.col("x")).alias("b3"))
     l2 = 2 * F.col("b1") - F.col("b0")
     t3, t4 = 2 * (3 * F.col("b2") - F.col("b0")) / l2 - 3, 5 * (2 * (2 * F.col("b3") - 3 * F.col("b2")) + F.col("b0")) / l2 + 6
     return b.where("n > 3").select(*keys, "n", F.col("b0").alias("l1"), l2.alias("l2"), t3.alias("t3"), t4.alias("t4"))
 
 
-def average_rank(v: str, keys: Sequence[str] = ()) -> Column:
-    """Rank; ties share the mean of theirs."""
-    return F.rank().over(Window.partitionBy(*keys).orderBy(v)) + (F.count("*").over(Window.partitionBy(*keys, v)) - 1) / 2.0
-
-
 def correlations(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:
     """Pearson and Spearman correlation, and both covariances."""
-    ranked = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("__ra", average_rank(a, keys)).withColumn("__rb", average_rank(b, keys))
+    ranked = average_ranks(average_ranks(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()), a, keys, "__ra"), b, keys, "__rb")
     return ranked.groupBy(*keys).agg(F.corr(a, b).alias("pearson"), F.corr("__ra", "__rb").alias("spearman"), F.covar_samp(a, b).alias("cov"), F.covar_pop(a, b).alias("pop_cov"))
 
 
-def kendall(df: DataFrame, a: str, b: str, keys: Sequence[str], order: str) -> DataFrame:
-    """Kendall's tau-b of small groups (all pairs within a group are looked at)."""
-    x = df.select(*keys, F.col(order).alias("i"), F.col(a).alias("a1"), F.col(b).alias("b1"))
-    y = df.select(*keys, F.col(order).alias("j"), F.col(a).alias("a2"), F.col(b).alias("b2"))
-    p = x.join(y, list(keys)).where("i < j").withColumn("da", F.signum(F.col("a1") - F.col("a2"))).withColumn("db", F.signum(F.col("b1") - F.col("b2")))
-    s = p.groupBy(*keys).agg(F.sum(F.col("da") * F.col("db")).alias("s"), F.sum(F.abs("da")).alias("na"), F.sum(F.abs("db")).alias("nb"))
-    return s.select(*keys, F.try_divide("s", F.sqrt(F.col("na") * F.col("nb"))).alias("tau"))
+def inversions(y: np.ndarray) -> int:
+    """Pairs i < j with y[i] > y[j], by merging sorted blocks of doubling size: n log(n)**2 steps."""
+    r = np.unique(y, return_inverse=True)[1].astype(np.int64)
+    n, top, found, width = len(r), int(r.max(initial=0)) + 1, 0, 1
+    place = np.arange(n)
+    while width < n:
+        block = place // (2 * width)
+        left = place % (2 * width) < width
+        key = block * top + r  # blocks one behind another, each sorted by value
+        right = key[~left]
+        own = np.sort(key[left])
+        after = np.searchsorted(own, (block[~left] + 1) * top) - np.searchsorted(own, right, "right")
+        found += int(after.sum())
+        width *= 2
+    return found
+
+
+def concordance(x: np.ndarray, y: np.ndarray) -> tuple[int, int, int]:
+    """Concordant less discordant pairs, and the pairs without a tie in x and in y."""
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    tied = lambda a: int(sum(c * (c - 1) // 2 for c in np.unique(a, axis=0, return_counts=True)[1].tolist()))
+    n = len(x)
+    total, tx, ty, both = n * (n - 1) // 2, tied(x), tied(y), tied(np.stack([x, y], 1))
+    swapped = inversions(y)  # rows of one x are in order of y and count none
+    return total - tx - ty + both - 2 * swapped, total - tx, total - ty
+
+
+def kendall(df: DataFrame, a: str, b: str, keys: Sequence[str], order: str | None = None) -> DataFrame:
+    """Kendall's tau-b by key: inversions counted by merging, in n log(n)**2 steps; a key's pairs of numbers are in one task. Rows with a null are left out."""
+    schema = ", ".join(f"`{k}` {t}" for k, t in df.select(*keys).dtypes) + ", tau double"
+
+    def one(key, pdf):
+        s, na, nb = concordance(pdf["__a"].to_numpy(), pdf["__b"].to_numpy())
+        return pd.DataFrame([[*key, s / math.sqrt(na * nb) if na and nb else None]], columns=[*keys, "tau"])
+
+    rows = df.select(*keys, F.col(a).cast("double").alias("__a"), F.col(b).cast("double").alias("__b")).dropna(subset=["__a", "__b"])
+    return rows.groupBy(*keys).applyInPandas(one, schema)
 
 
 def histogram(df: DataFrame, v: str, bins: int | None = None) -> DataFrame:
@@ -82,6 +113,7 @@ def histogram(df: DataFrame, v: str, bins: int | None = None) -> DataFrame:
 def errors(df: DataFrame, obs: str, mod: str, keys: Sequence[str] = ()) -> DataFrame:
     """Goodness of fit of modelled to observed values."""
     o, m = F.col(obs).cast("double"), F.col(mod).cast("double")
+    df = df.where(o.isNotNull() & m.isNotNull())
     mean = df.groupBy(*keys).agg(F.avg(o).alias("__mo"))
     rows = df.join(mean, list(keys)) if keys else df.join(F.broadcast(mean), F.lit(True))
     mo = F.col("__mo")
@@ -120,7 +152,7 @@ POSITIONS = {"weibull": 0.0, "median": 0.3175, "blom": 0.375, "cunnane": 0.4, "g
 def plotting_positions(df: DataFrame, v: str, tie: str, keys: Sequence[str] = (), a: float = 0.0) -> DataFrame:
     """(i - a) / (n + 1 - 2a) of the ascending order."""
     n = df.groupBy(*keys).agg(F.count("*").alias("__n"))
-    rows = df.withColumn("__i", F.row_number().over(Window.partitionBy(*keys).orderBy(v, tie)))
+    rows = numbered(df, [v, tie], keys)
     joined = rows.join(n, list(keys)) if keys else rows.join(F.broadcast(n), F.lit(True))
     return joined.withColumn("pp", (F.col("__i") - a) / (F.col("__n") + 1 - 2 * a)).drop("__i", "__n")
 
@@ -152,7 +184,7 @@ def jarque_bera(df: DataFrame, v: str, keys: Sequence[str] = ()) -> DataFrame:
 
 def mann_whitney(df: DataFrame, v: str, first: Column, keys: Sequence[str] = ()) -> DataFrame:
     """U of the first sample, and a two-sided normal p."""
-    rows = df.where(F.col(v).isNotNull()).withColumn("__r", average_rank(v, keys)).withColumn("__f", first)
+    rows = average_ranks(df.where(F.col(v).isNotNull()).withColumn("__f", first), v, keys)
     s = rows.groupBy(*keys).agg(F.sum(F.when(F.col("__f"), F.col("__r"))).alias("r1"), F.count_if("__f").alias("n1"), F.count_if(~F.col("__f")).alias("n2"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     s = s.withColumn("u", F.col("r1") - n1 * (n1 + 1) / 2)
@@ -161,13 +193,19 @@ def mann_whitney(df: DataFrame, v: str, first: Column, keys: Sequence[str] = ())
 
 
 def mann_kendall(df: DataFrame, v: str, order: str, keys: Sequence[str]) -> DataFrame:
-    """S over all pairs of small groups, tie-corrected variance, z and p."""
-    a = df.select(*keys, F.col(order).alias("i"), F.col(v).alias("x"))
-    b = df.select(*keys, F.col(order).alias("j"), F.col(v).alias("y"))
-    s = a.join(b, list(keys)).where("i < j").groupBy(*keys).agg(F.sum(F.signum(F.col("y") - F.col("x"))).alias("s"))
+    """S (by merging, a key's numbers in one task), tie-corrected variance, z and p."""
+    schema = ", ".join(f"`{k}` {t}" for k, t in df.select(*keys).dtypes) + ", s double"
+
+    def one(key, pdf):
+        pdf = pdf.sort_values("__i", kind="stable")
+        y = pdf["__v"].to_numpy()
+        ties = sum(c * (c - 1) // 2 for c in np.unique(y, return_counts=True)[1].tolist())
+        return pd.DataFrame([[*key, float(len(y) * (len(y) - 1) // 2 - ties - 2 * inversions(y))]], columns=[*keys, "s"])
+
+    s = df.select(*keys, F.col(order).alias("__i"), F.col(v).cast("double").alias("__v")).dropna(subset=["__v"]).groupBy(*keys).applyInPandas(one, schema)
     t = df.groupBy(*keys, v).agg(F.count("*").cast("double").alias("t")).groupBy(*keys).agg(F.sum("t").alias("n"), F.sum(F.col("t") * (F.col("t") - 1) * (2 * F.col("t") + 5)).alias("c"))
     n = F.col("n")
-    r = s.join(t, list(keys)).withColumn("var_s", (n * (n - 1) * (2 * n + 5) - F.col("c")) / 18)
+    r = s.join(t, list(keys)).where("n > 1").withColumn("var_s", (n * (n - 1) * (2 * n + 5) - F.col("c")) / 18)
     z = F.try_divide(F.col("s") - F.signum("s"), F.sqrt("var_s"))
     return r.select(*keys, "s", "var_s", z.alias("z"), (2 * (1 - C.normal_cdf(F.abs(z)))).alias("p"))
 
@@ -189,16 +227,129 @@ def grubbs_beck(df: DataFrame, v: str, keys: Sequence[str] = ()) -> DataFrame:
     return m.select(*keys, "n", F.exp(F.col("m") - k * F.col("s")).alias("low"), F.exp(F.col("m") + k * F.col("s")).alias("high"))
 
 
-def ks_normal(df: DataFrame, v: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Kolmogorov-Smirnov and Anderson-Darling distances to the normal distribution with the sample's moments."""
-    s = df.groupBy(*keys).agg(F.avg(v).alias("__m"), F.stddev_samp(v).alias("__s"), F.count(v).alias("__n"))
-    rows = df.join(s, list(keys)) if keys else df.join(F.broadcast(s), F.lit(True))
-    z = (F.col(v) - F.col("__m")) / F.col("__s")
-    w = Window.partitionBy(*keys)
-    rows = rows.select(*keys, F.col("__n").cast("double").alias("n"), z.alias("z"), F.row_number().over(w.orderBy(v)).alias("i"))
-    f = C.normal_cdf(F.col("z"))
-    rows = rows.withColumn("f", f)
+def fit_distances(df: DataFrame, v: str, cdf, keys: Sequence[str] = ()) -> DataFrame:
+    """Kolmogorov-Smirnov and Anderson-Darling distances of a sample to a distribution; ``cdf`` maps the value's column to its probability."""
+    rows = df.where(F.col(v).isNotNull())
+    s = rows.groupBy(*keys).agg(F.count("*").cast("double").alias("__n"))
+    rows = numbered(rows, [v], keys)
+    rows = rows.join(s, list(keys)) if keys else rows.join(F.broadcast(s), F.lit(True))
+    rows = rows.select(*keys, F.col("__n").alias("n"), F.col("__i").alias("i"), cdf(F.col(v)).alias("f"))
     i, n = F.col("i"), F.col("n")
     # with ascending rank i, ln(1 - F(x)) has the weight of rank n + 1 - i
     term = (2 * i - 1) * F.ln(F.greatest("f", F.lit(1e-300))) + (2 * (n + 1 - i) - 1) * F.ln(F.greatest(1 - F.col("f"), F.lit(1e-300)))
     return rows.groupBy(*keys).agg(F.max(F.greatest(F.col("f") - (i - 1) / n, i / n - F.col("f"))).alias("ks"), (-F.first("n") - F.sum(term) / F.first("n")).alias("ad"))
+
+
+def ks_normal(df: DataFrame, v: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Distances to the normal distribution with the sample's moments."""
+    s = df.groupBy(*keys).agg(F.avg(v).alias("__m"), F.stddev_samp(v).alias("__s"))
+    rows = df.join(s, list(keys)) if keys else df.join(F.broadcast(s), F.lit(True))
+    return fit_distances(rows.withColumn("__z", (F.col(v) - F.col("__m")) / F.col("__s")), "__z", C.normal_cdf, keys)
+
+
+def chi_squared_fit(df: DataFrame, v: str, cdf, bins: int | None = None) -> DataFrame:
+    """Sum of (observed - expected)**2 / expected over the bins of a histogram (Rice's rule by default); ``cdf`` maps a column to its probability."""
+    h = histogram(df, v, bins)
+    n = h.agg(F.sum("freq").cast("double").alias("n"))
+    rows = h.join(F.broadcast(n), F.lit(True)).withColumn("e", F.col("n") * (cdf(F.col("upper")) - cdf(F.col("lower"))))
+    return rows.agg(F.sum(F.try_divide(F.pow(F.col("freq") - F.col("e"), F.lit(2)), F.col("e"))).alias("chi_squared"), F.count("*").alias("bins"))
+
+
+def histogram_statistics(bins: DataFrame) -> DataFrame:
+    """Mean, median, mode and population deviation from bin midpoints, and the count, of a table of ``histogram``."""
+    mid = (F.col("lower") + F.col("upper")) / 2
+    rows = bins.select("bin", mid.alias("m"), "freq")
+    s = rows.agg(F.sum("freq").alias("n"), (F.sum(F.col("m") * F.col("freq")) / F.sum("freq")).alias("mean"), F.max_by("m", F.struct("freq", -F.col("bin"))).alias("mode"))
+    w = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # one row a bin
+    half = rows.withColumn("c", F.sum("freq").over(w)).join(F.broadcast(s), F.lit(True)).where(F.col("c") >= F.floor(F.col("n") / 2))
+    median = half.agg(F.min_by("m", "bin").alias("median"))
+    spread = rows.join(F.broadcast(s), F.lit(True)).agg(F.sqrt(F.sum(F.col("freq") * F.pow(F.col("m") - F.col("mean"), F.lit(2))) / F.sum("freq")).alias("sd"))
+    return s.join(F.broadcast(median), F.lit(True)).join(F.broadcast(spread), F.lit(True))
+
+
+def bin_index(x: Column, lower: Column, width: Column, bins: int) -> Column:
+    """Left-closed bin of a value; values outside belong to the end bins."""
+    return F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor((x - lower) / width).cast("int")))
+
+
+def entropy(df: DataFrame, p: str | Column, keys: Sequence[str] = ()) -> DataFrame:
+    """-sum of p ln p of a column of densities or probabilities."""
+    c = F.col(p) if isinstance(p, str) else p
+    return df.groupBy(*keys).agg((-F.sum(F.when(c > 0, c * F.ln(c)).otherwise(0.0))).alias("entropy"))
+
+
+def masked(df: DataFrame, v: str, mask: Column, keys: Sequence[str] = ()) -> DataFrame:
+    """Count, sum, mean, product, min and max of the values where a mask holds, and of the others."""
+    parts = (("in", F.when(mask, F.col(v))), ("out", F.when(~mask, F.col(v))))
+    return df.groupBy(*keys).agg(*(f(c).alias(f"{name}_{side}") for side, c in parts for name, f in (("n", F.count), ("total", F.sum), ("mean", F.avg), ("product", F.product), ("lo", F.min), ("hi", F.max))))
+
+
+def extremes(df: DataFrame, v: str, order: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Smallest and largest value and the first places they stand at."""
+    return df.groupBy(*keys).agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.min_by(order, F.struct(v, order)).alias("arg_lo"), F.min_by(order, F.struct(-F.col(v), order)).alias("arg_hi"))
+
+
+def rmse_weights(df: DataFrame, rmse: str, out: str = "weight") -> DataFrame:
+    """Weights of models by the inverse of their mean squared error."""
+    inverse = 1 / (F.col(rmse) * F.col(rmse))
+    return df.join(F.broadcast(df.agg(F.sum(inverse).alias("__t"))), F.lit(True)).withColumn(out, inverse / F.col("__t")).drop("__t")
+
+
+def adjusted_errors(df: DataFrame, obs: str, mod: str, parameters: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Root of the squared error over n less the number of parameters, and the efficiency of logarithms (a hundredth of the mean is added to both sides)."""
+    o, m = F.col(obs).cast("double"), F.col(mod).cast("double")
+    df = df.where(o.isNotNull() & m.isNotNull())
+    mean = df.groupBy(*keys).agg((F.avg(o) / 100).alias("__e"))
+    rows = df.join(mean, list(keys)) if keys else df.join(F.broadcast(mean), F.lit(True))
+    lo, lm = F.ln(o + F.col("__e")), F.ln(m + F.col("__e"))
+    return rows.groupBy(*keys).agg(F.sqrt(F.try_divide(F.sum((o - m) * (o - m)), F.count("*") - parameters)).alias("rmse_adjusted"), (1 - F.try_divide(F.sum((lo - lm) * (lo - lm)), F.var_pop(lo) * F.count("*"))).alias("log_nse"))
+
+
+def nested_f(sse_small: Column, sse_full: Column, df_small: Column, df_full: Column) -> tuple[Column, Column]:
+    """F statistic of a model against one with more terms, and its upper tail; degrees of freedom are those of the errors."""
+    f = ((sse_small - sse_full) / (df_small - df_full)) / (sse_full / df_full)
+    return f, C.f_upper(f, df_small - df_full, df_full)
+
+
+def summary(df: DataFrame, v: str, keys: Sequence[str] = (), at: Sequence[float] = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) -> DataFrame:
+    """Long rows (statistic, value): length, missing, extremes, moments and percentiles of one pass."""
+    x = F.when(~F.isnan(F.col(v).cast("double")), F.col(v).cast("double"))
+    n = F.count(x)
+    names = {"length": F.count("*").cast("double"), "missing": (F.count("*") - n).cast("double"), "minimum": F.min(x), "maximum": F.max(x), "mean": F.avg(x), "sd": F.stddev_samp(x), "skew": F.when(n > 2, F.skewness(x) * F.sqrt(n * (n - 1)) / (n - 2)), "kurtosis": F.when(n > 3, ((n + 1) * F.kurtosis(x) + 6) * (n - 1) / ((n - 2) * (n - 3)))}
+    cuts = F.percentile(x, F.array(*(F.lit(float(a)) for a in at)))
+    wide = df.groupBy(*keys).agg(*(c.alias(f"__{k}") for k, c in names.items()), cuts.alias("__p"))
+    pairs = [F.struct(F.lit(k).alias("statistic"), F.col(f"__{k}").alias("value")) for k in names]
+    pairs += [F.struct(F.lit(f"p{100 * a:g}").alias("statistic"), F.element_at("__p", i + 1).alias("value")) for i, a in enumerate(at)]
+    return wide.select(*keys, F.explode(F.array(*pairs)).alias("s")).select(*keys, "s.statistic", "s.value")
+
+
+def low_outliers(df: DataFrame, v: str, keys: Sequence[str]) -> DataFrame:
+    """Number of low outliers of each key's sample by the multiple Grubbs-Beck test; a key's sample is in one task."""
+    from ..functions import outliers
+
+    schema = ", ".join(f"`{k}` {t}" for k, t in df.select(*keys).dtypes) + ", n long, n_low long"
+
+    def one(key, pdf):
+        x = pdf[v].to_numpy(float)
+        x = x[np.isfinite(x)]
+        return pd.DataFrame([[*key, len(x), outliers.multiple_grubbs_beck(x)]], columns=[*keys, "n", "n_low"])
+
+    return df.select(*keys, F.col(v).cast("double").alias(v)).groupBy(*keys).applyInPandas(one, schema)
+
+
+def unimodality(df: DataFrame, v: str, keys: Sequence[str], seed: int = 12345) -> DataFrame:
+    """Likelihood ratio of one against two normal components, with its chi-squared (3) p; a key's sample is in one task."""
+    from ..functions import special as S
+    from .learning import gaussian_mixture
+
+    schema = ", ".join(f"`{k}` {t}" for k, t in df.select(*keys).dtypes) + ", ratio double, p double"
+
+    def one(key, pdf):
+        x = pdf[v].to_numpy(float)
+        x = x[np.isfinite(x)]
+        if len(x) < 10:
+            return pd.DataFrame([[*key, None, None]], columns=[*keys, "ratio", "p"])
+        ratio = 2 * (gaussian_mixture(x, 2, seed)[3] - gaussian_mixture(x, 1, seed)[3])
+        return pd.DataFrame([[*key, ratio, float(S.gamma_q(1.5, max(ratio, 0.0) / 2))]], columns=[*keys, "ratio", "p"])
+
+    return df.select(*keys, F.col(v).cast("double").alias(v)).groupBy(*keys).applyInPandas(one, schema)

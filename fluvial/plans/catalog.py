@@ -2,32 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import curves, probability, relational, series, stats
+from .registry import ORACLES, QUERIES, query, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = "l_moments_by_priority"
-
-
-def table(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
-    df = spark.read.parquet(f"{d}/{name}.parquet")
-    return df.select(*columns) if columns else df
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
 
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+FLAGSHIP = "l_moments_by_priority"
 
 
 def orders(spark, d):
@@ -218,16 +202,15 @@ def lagged_difference(spark, d):
     return series.difference(hourly(spark, d), 2, 1, ["event_type"])
 
 
-@query("""with e as (select event_type, date_trunc('hour', ts) ts, sum(value) v from events where event_id % 3 = 0 group by 1, 2), b as (select event_type, min(ts) a, max(ts) z from e group by 1), g as (select event_type, unnest(generate_series(a, z, interval 1 hour)) ts from b)
+@query("""with e as (select event_type, date_trunc('hour', ts) ts, sum(value) v from events group by 1, 2), b as (select event_type, min(ts) a, max(ts) z from e group by 1), g as (select event_type, unnest(generate_series(a, z, interval 1 hour)) ts from b)
 select g.event_type, g.ts, coalesce(v, 0) v from g left join e on e.event_type = g.event_type and e.ts = g.ts""")
 def fill_missing_dates(spark, d):
-    e = table(spark, d, "events").where("event_id % 3 = 0").withColumn("ts", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
+    e = table(spark, d, "events").withColumn("ts", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
     return series.fill_dates(e.groupBy("event_type", "ts").agg(F.sum("value").alias("v")), "1hour", 0.0, ["event_type"])
 
 
 @query(_H + """, r as (select *, row_number() over (partition by event_type order by ts) i, epoch(ts) s from x), p as (select *, last_value(case when v is not null then i end ignore nulls) over a pi, last_value(case when v is not null then s end ignore nulls) over a ps, last_value(v ignore nulls) over a pv,
-first_value(case when v is not null then i end ignore nulls) over b ni, first_value(case when v is not null then s end ignore nulls) over b ns, first_value(v ignore nulls) over b nv from r window a as (partition by event_type order by ts rows between unbounded preceding and current row), b as (partition by event_type order by ts rows between current row and unbounded following))
-select event_type, ts, v, case when v is not null then v when ni - pi - 1 <= 3 then pv + (nv - pv) * (s - ps) / (ns - ps) end filled from p""")
+first_value(case when v is not null then i end ignore nulls) over b ni, first_value(case when v is not null then s end ignore nulls) over b ns, first_value(v ignore nulls) over b nv from r window a as (partition by event_type order by ts rows between unbounded preceding and current row), b as (partition by event_type order by ts rows between current row and unbounded following)), k as (select event_type, i ki, s ks, v kv, lag(i) over z oi, lag(s) over z os, lag(v) over z ov from r where v is not null window z as (partition by event_type order by i)), c as (select event_type, count(*) n from r group by 1) select p.event_type, ts, v, case when v is not null then v when ni - pi - 1 <= 3 then pv + (nv - pv) * (s - ps) / (ns - ps) when ni is null and n - pi <= 4 and pi - oi - 1 <= 3 then pv + (pv - ov) * (s - ps) / (ps - os) end filled from p join c on c.event_type = p.event_type left join k on k.event_type = p.event_type and k.ki = p.pi""")
 def interpolate_gaps(spark, d):
     return series.interpolate(hourly(spark, d), 3, ["event_type"])
 
@@ -247,8 +230,9 @@ def duration_curve(spark, d):
     return series.duration(orders(spark, d), ["o_orderpriority"], tie="o_orderkey").select("o_orderkey", "exceedance")
 
 
-@query("""with h as (select event_type, date_trunc('hour', ts) ts, sum(value) v from events group by 1, 2), r as (select *, row_number() over (partition by event_type order by ts) i from h), o as (select * from r where v > 250), n as (select *, case when i - lag(i) over (partition by event_type order by ts) < 3 then 0 else 1 end nw from o),
-c as (select *, sum(nw) over (partition by event_type order by ts) cluster from n) select event_type, cast(cluster as bigint) cluster, max(v) peak, arg_max(ts, (v, ts)) as at, count(*) n from c group by 1, 2""")
+@query("""with recursive h as (select event_type, date_trunc('hour', ts) ts, sum(value) v from events group by 1, 2), r as (select *, row_number() over (partition by event_type order by ts) i from h), o as (select *, row_number() over (partition by event_type order by i) j from r where v > 250),
+w(event_type, j, i, cluster, best, best_i) as (select event_type, j, i, 1, -1e300::double, i + 1 from o where j = 1 union all select event_type, j, i, cluster + k, case when k = 1 then -1e300 when v >= best then v else best end, case when k = 1 then i + 1 when v >= best then i else best_i end from (select o.event_type, o.j, o.i, o.v, w.cluster, w.best, w.best_i, case when o.i > w.i + 1 and o.i - 1 - w.best_i > 3 then 1 else 0 end k from w join o on o.event_type = w.event_type and o.j = w.j + 1)),
+f as (select w.*, o.v, o.ts from w join o on o.event_type = w.event_type and o.j = w.j) select event_type, cast(cluster as bigint) as cluster, max(v) peak, arg_max(ts, (v, ts)) as at, count(*) n from f group by 1, 2""")
 def peaks_over_threshold(spark, d):
     e = table(spark, d, "events").withColumn("ts", F.date_trunc("hour", "ts").cast("timestamp_ntz")).groupBy("event_type", "ts").agg(F.sum("value").alias("v"))
     return series.peaks_over(e, 250.0, 3, ["event_type"])
@@ -292,10 +276,10 @@ def shift_dates(spark, d):
 # --- transforms, links, curves, probability ---------------------------------
 
 
-@query("select o_orderkey, (o_totalprice ** 0.3 - 1) / 0.3 as bc, ((o_totalprice + 1) ** 0.3 - 1) / 0.3 as yj, ln(o_totalprice) lg, ln((o_totalprice / 1e6) / (1 - o_totalprice / 1e6)) lt, ln(-ln(1 - o_totalprice / 1e6)) cl, atanh(o_totalprice / 1e6) fz from orders where o_totalprice < 900000")
+@query("select o_orderkey, (o_totalprice ** 0.3 - 1) / 0.3 as bc, ((o_totalprice + 1) ** 0.3 - 1) / 0.3 as yj, ln(o_totalprice) lg, ln((least(o_totalprice / 1e6, 0.999)) / (1 - least(o_totalprice / 1e6, 0.999))) lt, ln(-ln(1 - least(o_totalprice / 1e6, 0.999))) cl, atanh(least(o_totalprice / 1e6, 0.999)) fz from orders")
 def transforms_and_links(spark, d):
-    o = table(spark, d, "orders").where("o_totalprice < 900000")
-    u = F.col("o_totalprice") / 1e6
+    o = table(spark, d, "orders")
+    u = F.least(F.col("o_totalprice") / 1e6, F.lit(0.999))
     return o.select("o_orderkey", C.box_cox(F.col("o_totalprice"), 0.3).alias("bc"), C.yeo_johnson(F.col("o_totalprice"), 0.3).alias("yj"), C.LINKS["log"][0](F.col("o_totalprice")).alias("lg"), C.LINKS["logit"][0](u).alias("lt"), C.LINKS["cloglog"][0](u).alias("cl"), C.LINKS["fisher_z"][0](u).alias("fz"))
 
 
@@ -326,10 +310,10 @@ def shortest_paths(spark, d):
     return relational.shortest_paths(e, 0)
 
 
-@query("""with a as (select vec_id, embedding e from embeddings where vec_id % 50 = 0), p as (select a.vec_id q, b.vec_id n, list_distance(a.e, b.embedding) dist from a join embeddings b on a.vec_id <> b.vec_id) select q, n, row_number() over (partition by q order by dist, n) rank from p qualify row_number() over (partition by q order by dist, n) <= 5""")
+@query("""with a as (select vec_id, embedding e from embeddings where vec_id % 20 = 0), p as (select a.vec_id q, b.vec_id n, list_distance(a.e, b.embedding) dist from a join embeddings b on a.vec_id <> b.vec_id) select q, n, row_number() over (partition by q order by dist, n) rank from p qualify row_number() over (partition by q order by dist, n) <= 5""")
 def nearest_neighbours(spark, d):
     v = table(spark, d, "embeddings")
-    return relational.nearest(v.where("vec_id % 50 = 0"), v, "vec_id", "embedding", 5).select("q", "n", "rank")
+    return relational.nearest(v.where("vec_id % 20 = 0"), v, "vec_id", "embedding", 5).select("q", "n", "rank")
 
 
 @query("select r_name, n_name, count(*) customers, sum(c_acctbal) balance from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by rollup (r_name, n_name)")
@@ -357,4 +341,4 @@ def set_operations(spark, d):
     return c.union(table(spark, d, "supplier").where("s_acctbal < 0").select("s_suppkey")).distinct()
 
 
-from . import models  # noqa: E402,F401  (adds the modelling queries)
+from . import frames, kernels, models  # noqa: E402,F401  (add their queries)

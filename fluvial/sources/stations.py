@@ -26,10 +26,10 @@ def daily_calendar(df: DataFrame) -> DataFrame:
     return days.join(df, ["site", "ts"], "left")
 
 
-def ghcn_daily(spark: SparkSession, path: str, element: str = "PRCP") -> DataFrame:
-    """Fixed-width daily files: station, year, month, element, then 31 values of 5 digits and 3 flags; -9999 is missing, tenths of millimetres become millimetres."""
+def ghcn_daily(spark: SparkSession, path: str, element: str = "PRCP", width: int = 5) -> DataFrame:
+    """Fixed-width daily files: station, year, month, element, then 31 values of ``width`` digits and 3 flags; -9999 is missing, tenths of millimetres become millimetres."""
     t = spark.read.text(path).select(F.substring("value", 1, 11).alias("site"), F.substring("value", 12, 4).cast("int").alias("y"), F.substring("value", 16, 2).cast("int").alias("m"), F.substring("value", 18, 4).alias("e"), "value")
-    days = F.transform(F.sequence(F.lit(1), F.lit(31)), lambda d: F.struct(d.alias("d"), F.substring("value", 22 + (d - 1) * 8, F.lit(5)).alias("s")))
+    days = F.transform(F.sequence(F.lit(1), F.lit(31)), lambda d: F.struct(d.alias("d"), F.substring("value", 22 + (d - 1) * (width + 3), F.lit(width)).alias("s")))
     rows = t.where(F.col("e") == element).select("site", "y", "m", F.explode(days).alias("x"))
     ts = F.expr("try_make_timestamp_ntz(y, m, x.d, 0, 0, 0)")
     v = F.expr("try_cast(trim(x.s) as double)")
@@ -61,3 +61,18 @@ def australian_json(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.schema("station_no string, data array<array<string>>").json(path, multiLine=True)
     rows = raw.select("station_no", F.explode("data").alias("d"))
     return rows.select(F.col("station_no").alias("site"), F.to_timestamp(F.element_at("d", 1)).cast("timestamp_ntz").alias("ts"), F.expr("try_cast(try_element_at(d, 2) as double)").alias("v"))
+
+
+def australian_series_ids(spark: SparkSession, path: str) -> DataFrame:
+    """The first of the two steps: lists of series (a header row, then one row a series) as (site, ts_id, ts_name)."""
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<array<string>>").alias("a"))
+    rows = raw.select(F.element_at("a", 1).alias("h"), F.explode(F.slice("a", 2, 1 << 30)).alias("r"))
+    at = lambda name: F.try_element_at("r", F.array_position("h", F.lit(name)).cast("int"))
+    return rows.select(at("station_no").alias("site"), at("ts_id").alias("ts_id"), at("ts_name").alias("ts_name"))
+
+
+def canadian_realtime(spark: SparkSession, path: str) -> DataFrame:
+    """Five-minute CSV files: identifier, stamp with zone, value and flags, by position below a header; stamps become UTC."""
+    raw = spark.read.csv(path, header=False).where(~F.col("_c0").rlike("(?i)^ ?id"))
+    ts = F.to_utc_timestamp(F.to_timestamp("_c1"), F.current_timezone()).cast("timestamp_ntz")
+    return raw.select(F.col("_c0").alias("site"), ts.alias("ts"), F.expr("try_cast(_c2 as double)").alias("v"))
