@@ -11,7 +11,10 @@ size: a node of more than ``BLOCK`` classes is split into blocks, and each pair
 of blocks is compared for itself, wherever it lies. Pairs that may be similar
 enough are confirmed on full sets: first a spanning forest of each node; then,
 with the groups found so far, the best pairs of each class that still join two
-groups; at last all such pairs.
+groups; at last all such pairs. Those are compared inside the node by the
+``HELD`` least hashes of both sets, which decide for sets of up to so many
+shingles and leave few pairs of larger ones to be confirmed, so that classes
+that are much alike, and not enough, make no rows.
 
 Edge cases: null, empty and wordless texts have an empty set and are linked
 with nothing; a text of fewer words than a shingle is one shingle; rows with a
@@ -32,7 +35,9 @@ from .common import discard, flat_utf8, materialise, mixed, partitions, slices,
 #: Trees, minwise values of each tree in a sketch, those that make a node, and the classes of a node that are one block.
 TREES, LEVELS, FIRST, BLOCK = 8, 12, 2, 1024
 #: Pairs of each class and node that are confirmed before all others are.
-SOME = 8
+SOME = 3
+#: Hashes of a set that are sent to its nodes in the last round.
+HELD = 512
 #: Sketches whose share of equal values is so many standard deviations under the threshold are left.
 DEVIATIONS = 5
 
@@ -167,19 +172,65 @@ def node_pairs(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, block: np
     return np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1)
 
 
+def node_links(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, block: np.ndarray, group: np.ndarray, held: list[bytes], percent: int) -> np.ndarray:
+    """(a, b, sure) of pairs between different groups: links that the held hashes prove, one of each two groups, and pairs that they leave open."""
+    pairs = node_pairs(ids, sizes, sketch, block, group, percent, len(ids))
+    if not len(pairs):
+        return np.empty((0, 3), np.int64)
+    lists = [np.frombuffer(h, np.uint64) for h in held]
+    off = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+    flat = np.unique(np.concatenate(lists), return_inverse=True)[1]
+    place = np.argsort(ids, kind="stable")
+    a, b = (place[np.searchsorted(ids[place], pairs[:, k])] for k in (0, 1))
+    out, joined = [], set()
+    mark = np.zeros(int(flat.max(initial=0)) + 1, np.int64)
+    order = np.argsort(a, kind="stable")
+    cuts = np.flatnonzero(np.diff(a[order])) + 1
+    for some in np.split(order, cuts):
+        i = int(a[some[0]])
+        own = flat[off[i] : off[i + 1]]
+        mark[own] = 1
+        common = np.add.reduceat(mark[flat], off[:-1])  # no list is empty
+        mark[own] = 0
+        for k in some.tolist():
+            j = int(b[k])
+            if sizes[i] <= len(lists[i]) and sizes[j] <= len(lists[j]):
+                two = (min(group[i], group[j]), max(group[i], group[j]))
+                if two not in joined and 100 * common[j] >= percent * (sizes[i] + sizes[j] - common[j]):
+                    joined.add(two)
+                    out.append((ids[i], ids[j], 1))
+                continue
+            # below the smaller of the last hashes both lists are whole: a sample of the union
+            top = min((x[-1] for x, n in ((lists[i], sizes[i]), (lists[j], sizes[j])) if n > len(x)))
+            x, y = lists[i][lists[i] <= top], lists[j][lists[j] <= top]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            seen = len(x) + len(y) - both
+            p = percent / 100
+            if both >= (p - DEVIATIONS * (p * (1 - p) / seen) ** 0.5) * seen:
+                out.append((ids[i], ids[j], 0))
+    return np.array(out, np.int64).reshape(-1, 3)
+
+
 def candidates(classes: DataFrame, percent: int, most: int | None = None) -> DataFrame:
-    """Pairs a < b of classes (key, n, sig, optionally grp) from all trees: every two classes of a node are compared."""
+    """Pairs a < b of classes (key, n, sig, optionally grp, held) from all trees: every two classes of a node are compared. With ``held`` there is a third column, ``sure``."""
     spark = classes.sparkSession
-    grouped = "grp" in classes.columns
-    names = ["key", "n", *(["grp"] if grouped else []), "sketch", "node"]
+    grouped, final = "grp" in classes.columns, "held" in classes.columns
+    names = ["key", "n", *(["grp"] if grouped else []), *(["held"] if final else []), "sketch", "node"]
     width = 4 * LEVELS
     nodes = F.expr(f"transform(sequence(0, {TREES - 1}), t -> xxhash64(t, substring(sig, t * {width} + 1, {4 * FIRST})))")
     low = F.expr(f"unhex(array_join(transform(sequence(0, {TREES * LEVELS - 1}), i -> hex(substring(sig, 4 * i + 4, 1))), ''))")
-    large = classes.select(F.explode(nodes).alias("node")).groupBy("node").count().where(F.col("count") > BLOCK)
+    placed = classes.select(F.explode(nodes).alias("node"), F.col("grp") if grouped else F.lit(0).alias("grp")).groupBy("node").agg(F.count("*").alias("count"), F.min("grp").alias("lo"), F.max("grp").alias("hi"))
+    if grouped:  # nodes of one group have nothing to join
+        placed = materialise(placed.where("lo <> hi"), "mixed")
+        wanted = placed.select(F.col("node").alias("__mixed"))
+        wanted = F.broadcast(wanted) if placed.count() <= 1_000_000 else wanted
+    large = placed.where(F.col("count") > BLOCK)
     large = materialise(large.select(F.col("node").alias("__node"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "large")
     if large.count() <= 1_000_000:
         large = F.broadcast(large)
     rows = classes.select(*names[:-2], low.alias("sketch"), nodes.alias("nodes")).select(*names[:-1], F.explode("nodes").alias("node"))
+    if grouped:
+        rows = rows.join(wanted, F.col("node") == F.col("__mixed"), "left_semi")
     rows = rows.join(large, F.col("node") == F.col("__node"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     rows = rows.select(*names, "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
@@ -187,31 +238,35 @@ def candidates(classes: DataFrame, percent: int, most: int | None = None) -> Dat
 
     def run(batches):
         def pairs(table: pa.Table, bounds: list[int]):
-            column = {c: table.column(c).to_numpy() for c in table.column_names if c != "sketch"}
+            column = {c: table.column(c).to_numpy() for c in table.column_names if c not in ("sketch", "held")}
+            held = table.column("held").to_pylist() if final else []
             sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, TREES * LEVELS)
             found = []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                if b - a > 1:
+                if b - a > 1 and final:
+                    found.append(node_links(column["key"][a:b], column["n"][a:b], sketch[a:b], column["own"][a:b], column["grp"][a:b], held[a:b], percent))
+                elif b - a > 1:
                     found.append(node_pairs(column["key"][a:b], column["n"][a:b], sketch[a:b], column["own"][a:b], column["grp"][a:b] if grouped else None, percent, most))
                 if found and (b == bounds[-1] or sum(map(len, found)) > 100_000):
                     got = np.concatenate(found)
                     found = []
-                    yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+                    low, high = np.minimum(got[:, 0], got[:, 1]), np.maximum(got[:, 0], got[:, 1])
+                    yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), *([pa.array(got[:, 2])] if final else [])], names=["a", "b", *(["sure"] if final else [])])
 
-        held: list[pa.RecordBatch] = []
+        waiting: list[pa.RecordBatch] = []
         for batch in batches:
-            held.append(batch)
-            table = pa.Table.from_batches(held).combine_chunks()
+            waiting.append(batch)
+            table = pa.Table.from_batches(waiting).combine_chunks()
             place = np.stack([table.column(c).to_numpy() for c in ("node", "x", "y")])
             cut = (np.flatnonzero((place[:, 1:] != place[:, :-1]).any(0)) + 1).tolist()
             if cut:  # rows of the last place wait for more
                 yield from pairs(table.slice(0, cut[-1]), [0, *cut])
-                held = table.slice(cut[-1]).to_batches()
-        if held:
-            table = pa.Table.from_batches(held).combine_chunks()
+                waiting = table.slice(cut[-1]).to_batches()
+        if waiting:
+            table = pa.Table.from_batches(waiting).combine_chunks()
             yield from pairs(table, [0, table.num_rows])
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long, sure long" if final else "a long, b long").distinct()
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -276,16 +331,21 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     tried = materialise(candidates(one, percent), "first")
     involved = materialise(tried.select(F.col("a").alias("key")).unionByName(tried.select(F.col("b").alias("key"))).distinct(), "involved")
     sets = full_sets(docs, involved, text, key, size)
-    sets = materialise(sets.groupBy("key").agg(F.min("items").alias("items")), "sets")
+    sets = materialise(sets.groupBy("key").agg(F.min(F.struct(F.length("items").alias("n"), "items")).alias("s")).select("key", "s.items"), "sets")
     groups = components(materialise(confirm(tried, sets, percent), "links"))
     for most in (SOME, None):
         again = one.join(involved, "key", "left_semi").join(groups.withColumnRenamed("v", "key"), "key", "left")
         again = again.select("key", "n", "sig", F.coalesce("root", "key").alias("grp"))
-        new = materialise(candidates(again, percent, most).join(tried, ["a", "b"], "left_anti"), "new")
-        more = materialise(confirm(new, sets, percent), "more")
+        if most is None:
+            again = again.join(sets.select("key", F.substring("items", 1, 8 * HELD).alias("held")), "key")
+        found = materialise(candidates(again, percent, most), "found")
+        proved = found.where("sure = 1").select("a", "b") if most is None else None
+        new = (found.where("sure = 0").select("a", "b") if most is None else found).join(tried, ["a", "b"], "left_anti")
+        more = confirm(new, sets, percent)
+        more = materialise(more if proved is None else more.unionByName(proved), "more")
         if more.count():
             groups = materialise(merged(groups, more), "groups")
-        tried = tried.unionByName(new)
+        tried = tried.unionByName(found.select("a", "b"))
     named = classes.join(groups, classes.key == groups.v, "left").select("s1", "s2", F.col("n").alias("cn"), F.coalesce("root", classes.key).alias("root"))
     rows = sig.select("key", "n", F.col("s1").alias("t1"), F.col("s2").alias("t2"))
     out = rows.join(named, (F.col("t1") == F.col("s1")) & (F.col("t2") == F.col("s2")) & (F.col("n") == F.col("cn")) & F.col("key").isNotNull(), "left")
