@@ -1,17 +1,22 @@
 """Benchmark decontamination with broadcast sets of normalised test n-grams.
 
 A benchmark item's windows are all runs of ``size`` of its words (one shorter
-window if it has fewer). Each window has an anchor, its longest word. A first
-scan of a document keeps only words that are anchors; around those, the hashes
-of all windows are looked up in the hash set; hits are compared word by word
-with the window itself. Both sets are literals of the plan when the benchmark
-has at most ``most_windows`` distinct windows; beyond that, window hashes of
-all documents are joined with a shuffle.
+window if it has fewer). A scan of each document looks its windows up in a set
+of window hashes; hits are compared with the windows themselves.
+
+A small benchmark (``most_windows`` distinct windows) puts exact sets into the
+plan, which Spark sends to each executor once: the windows' anchors (each
+window's longest word), which a first scan looks for, and hashes and texts. A
+larger one is a table of window hashes, broadcast while it has at most
+``most_hashes`` rows (about 50 bytes each) and shuffled beyond that: documents,
+written once with row numbers, give a row (number, start, length, hash) for each
+window, of which only those in the set go on, to be compared word by word.
 
 Edge cases: null or wordless texts have no words and no hits; an item without
 words has no window; an empty benchmark leaves every document clean; windows
 never cross documents. Repeated rows give repeated results; items with equal
-text are all reported.
+text are all reported. Items with a null id hit words and contaminate, count as
+one item together, and have no place in the list of ids.
 """
 
 from __future__ import annotations
@@ -21,6 +26,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: Characters that separate words: ASCII except letters and digits.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -32,13 +39,13 @@ def words(text: Column) -> Column:
 
 
 def windows(benchmark: DataFrame, size: int = 10, text: str = "text", item: str = "item_id") -> DataFrame:
-    """Distinct windows: ``win`` (words joined by spaces), ``len``, ``anchor`` and ``items`` (sorted ids as strings)."""
-    rows = benchmark.select(F.col(item).cast("string").alias("item"), words(F.col(text)).alias("w")).where("size(w) > 0 and item is not null")
+    """Distinct windows: ``win`` (words joined by spaces), ``len``, ``anchor``, ``items`` (sorted ids as strings) and ``unnamed`` (an item without id has it)."""
+    rows = benchmark.select(F.col(item).cast("string").alias("item"), words(F.col(text)).alias("w")).where("size(w) > 0")
     each = rows.select("item", "w", F.expr(f"explode(sequence(1, greatest(1, size(w) - {size - 1})))").alias("at"))
     each = each.select("item", F.expr(f"slice(w, at, {size})").alias("v"))
     anchor = F.expr("aggregate(v, '', (a, x) -> if(length(x) > length(a), x, a))")
     each = each.select("item", F.array_join("v", " ").alias("win"), F.size("v").alias("len"), anchor.alias("anchor"))
-    return each.groupBy("win", "len", "anchor").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return each.groupBy("win", "len", "anchor").agg(F.array_sort(F.collect_set("item")).alias("items"), F.bool_or(F.col("item").isNull()).alias("unnamed"))
 
 
 def _with_hits(rows: DataFrame, keep: list[str], found: list) -> DataFrame:
@@ -69,31 +76,55 @@ def _bounded(wins: DataFrame, most_windows: int) -> list | None:
     return some if len(some) <= most_windows else None
 
 
-def _all_spans(rows: DataFrame, keep: list[str], lengths: list[int]) -> DataFrame:
-    """The same rows for every window of every document."""
-    parts = [F.expr(f"if(size(w) >= {n}, transform(sequence(1, size(w) - {n - 1}), s -> struct(s as start, {n} as len, array_join(slice(w, s, {n}), ' ') as win)), cast(array() as array<struct<start:int,len:int,win:string>>))") for n in lengths]
-    return rows.select(*keep, F.size("w").alias("n_words"), F.explode_outer(F.concat(*parts)).alias("at"))
+def _hash(words_: Column) -> Column:
+    return F.xxhash64(words_)
+
+
+def _found_windows(rows: DataFrame, wins: DataFrame, most_hashes: int) -> DataFrame:
+    """(__row, start, len, win) of the windows of numbered rows (__row, w) whose hashes are in the set."""
+    lengths = sorted(r["len"] for r in wins.select("len").distinct().collect())  # at most ``size`` values
+    none = F.array().cast("array<struct<start:int,len:int,h:bigint>>")
+
+    def windows_of(n: int) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda s: F.struct(s.alias("start"), F.lit(n).alias("len"), _hash(F.slice("w", s, n)).alias("h")))
+        return F.when(F.size("w") >= n, each).otherwise(none)
+
+    parts = [windows_of(n) for n in lengths]
+    hashes = wins.select(_hash(F.split("win", " ")).alias("h")).distinct()
+    each = F.explode(F.concat(*parts)).alias("at")
+    text = F.array_join(F.slice("w", F.col("at.start"), F.col("at.len")), " ").alias("win")
+    if hashes.count() <= most_hashes:
+        near = rows.select("__row", "w", each).join(F.broadcast(hashes), F.col("at.h") == F.col("h"), "left_semi")
+        return near.select("__row", "at.start", "at.len", text)
+    near = rows.select("__row", each).select("__row", "at", F.col("at.h").alias("h")).join(hashes, "h", "left_semi").select(F.col("__row").alias("__r"), "at")
+    return rows.join(near, F.col("__row") == F.col("__r")).select("__row", "at.start", "at.len", text)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, size: int = 10, text: str = "text", item_text: str = "text", item: str = "item_id", keep: tuple[str, ...] = ("doc_id",), most_windows: int = 20_000) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, size: int = 10, text: str = "text", item_text: str = "text", item: str = "item_id", keep: tuple[str, ...] = ("doc_id",), most_windows: int = 20_000, most_hashes: int = 2_000_000) -> DataFrame:
     """One row a document: ``keep``, ``n_words``, ``n_hit``, ``n_items``, ``items`` (sorted strings), ``spans`` (array of start, len, from 1) and ``contaminated``."""
     wins = windows(benchmark, size, item_text, item)
     named = [f"__k{i}" for i in range(len(keep))]
-    rows = docs.select(*(F.col(k).alias(n) for k, n in zip(keep, named, strict=True)), F.monotonically_increasing_id().alias("__row"), words(F.col(text)).alias("w"))
+    rows = docs.select(*(F.col(k).alias(n) for k, n in zip(keep, named, strict=True)), F.monotonically_increasing_id().alias("__row"), F.col(text).alias("__text"))
     own = [*named, "__row"]
     some = _bounded(wins, most_windows)
-    sets = wins.select("win", "items")
+    sets = wins.select("win", "items", "unnamed")
+    together = [F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.max("unnamed").alias("unnamed")]
     if some is not None:
+        rows = rows.select(*own, words(F.col("__text")).alias("w"))
         spans = _with_hits(rows, own, some).select(*own, "n_words", F.explode_outer("ats").alias("at"))
-        sets = F.broadcast(sets)
+        joined = spans.join(F.broadcast(sets), spans["at.win"] == sets["win"], "left")
+        hits = joined.select(*own, "n_words", F.when(F.col("items").isNotNull(), F.struct(F.col("at.start"), F.col("at.len"))).alias("span"), "items", F.coalesce("unnamed", F.lit(False)).alias("unnamed"))
+        per = hits.groupBy("__row").agg(*(F.first(n).alias(n) for n in (*named, "n_words")), *together)
     else:
-        lengths = sorted(r["len"] for r in wins.select("len").distinct().collect())  # at most ``size`` values
-        spans = _all_spans(rows, own, lengths)
-    joined = spans.join(sets, spans["at.win"] == sets["win"], "left")
-    hits = joined.select(*own, "n_words", F.when(F.col("items").isNotNull(), F.struct(F.col("at.start"), F.col("at.len"))).alias("span"), "items")
-    per = hits.groupBy(*own, "n_words").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+        rows = materialise(rows, "numbered").withColumn("w", words(F.col("__text")))
+        hits = _found_windows(rows, wins, most_hashes).join(sets, "win").select("__row", F.struct("start", "len").alias("span"), "items", "unnamed")
+        hits = hits.groupBy(F.col("__row").alias("__hit")).agg(*together)
+        per = rows.select(*own, F.size("w").alias("n_words")).join(hits, F.col("__row") == F.col("__hit"), "left")
+        empty = {"spans": F.array().cast("array<struct<start:int,len:int>>"), "items": F.array().cast("array<string>"), "unnamed": F.lit(False)}
+        per = per.withColumns({c: F.coalesce(c, e) for c, e in empty.items()})
     n_hit = F.expr("aggregate(spans, named_struct('n', 0L, 'e', 0), (a, s) -> named_struct('n', a.n + greatest(0, s.start + s.len - greatest(a.e, s.start)), 'e', greatest(a.e, s.start + s.len)), a -> a.n)")
-    return per.select(*(F.col(n).alias(k) for k, n in zip(keep, named, strict=True)), F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans", (F.size("spans") > 0).alias("contaminated"))
+    n_items = F.size("items") + F.col("unnamed").cast("int")
+    return per.select(*(F.col(n).alias(k) for k, n in zip(keep, named, strict=True)), F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"), n_items.cast("long").alias("n_items"), "items", "spans", (F.size("spans") > 0).alias("contaminated"))
 
 
 def remove_spans(text: Column, spans: Column) -> Column:
@@ -110,16 +141,16 @@ def _cut(text: Column, spans: Column) -> Column:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", text: str = "text", size: int = 10, item_text: str = "text", item: str = "item_id", most_windows: int = 20_000) -> DataFrame:
     """The documents without contaminated ones (``documents``) or without their hit words (``spans``); same columns.
 
-    With a bounded benchmark this is one pass over the documents, without a shuffle.
+    With a small benchmark this is one pass over the documents, without a shuffle.
     """
     columns = docs.columns
     wins = windows(benchmark, size, item_text, item)
     some = _bounded(wins, most_windows)
     named = [f"__k{i}" for i in range(len(columns))]
-    if some is None:  # all windows are joined: the documents meet their spans again by a row number
-        rows = docs.select(*(F.col(k).alias(n) for k, n in zip(columns, named, strict=True)), F.struct(*columns).alias("__all"))
-        found = find(rows.withColumn("__text", F.col(f"__all.{text}")), benchmark, size, "__text", item_text, item, ("__all",), most_windows)
-        found = found.select(*(F.col(f"__all.{c}").alias(n) for c, n in zip(columns, named, strict=True)), "spans")
+    if some is None:  # written once, so that documents meet their spans again by a row number
+        rows = materialise(docs.select(*(F.col(k).alias(n) for k, n in zip(columns, named, strict=True)), F.monotonically_increasing_id().alias("__id")), "numbered")
+        found = find(rows, benchmark, size, named[columns.index(text)], item_text, item, ("__id",), most_windows).where("contaminated").select(F.col("__id").alias("__hit"), "spans")
+        found = rows.join(found, F.col("__id") == F.col("__hit"), "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,len:int>>")))
     else:
         rows = docs.select(*(F.col(k).alias(n) for k, n in zip(columns, named, strict=True)), words(F.col(text)).alias("w"))
         # the row number keeps the optimiser from moving the filter below, which would split a text again for each word
