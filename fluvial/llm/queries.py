@@ -26,7 +26,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = quotes.link(table(spark, sf_dir, "conversations"))
-    return linked.select("conv_id", "turn", "role", "parent_turn", "n_quoted", "n_linked", F.sha2("body", 256).alias("body_sha256"))
+    return linked.select("conv_id", "turn", "role", "parent_turn", "n_quoted", "n_linked", "position", F.sha2("body", 256).alias("body_sha256"))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

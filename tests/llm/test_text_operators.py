@@ -211,10 +211,27 @@ def test_decontamination(spark, prose):
         assert clean.columns == docs.columns and [r["doc_id"] for r in clean.orderBy("doc_id").collect()] == [0, 1, 2, 6]
         cut = {r["doc_id"]: r["text"] for r in decontam.decontaminate(docs, bench, "spans", most_windows=most).collect()}
         assert cut[3] == "x y" and cut[2] == texts[2] and cut[0] is None and cut[4] == "a "
+    unnamed = spark.createDataFrame([(None, item), (7, "short item"), (None, "short item")], "item_id long, text string")
+    for most in (20_000, 2):
+        got = decontam.find(docs, unnamed, most_windows=most).orderBy("doc_id").collect()
+        assert [(r["n_hit"], r["n_items"], r["items"]) for r in got[3:5]] == [(11, 1, []), (4, 2, ["7"])]
     assert decontam.find(docs, bench.limit(0)).where("contaminated").count() == 0
     assert decontam.find(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_of_a_large_benchmark(spark, prose):
+    """100,000 items, far more windows than go into a plan, against a dictionary of windows."""
+    items = spark.range(100_000).select(F.col("id").alias("item_id"), F.concat_ws(" ", *(F.concat(F.lit("w"), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(5000)).cast("string")) for k in range(12))).alias("text"))
+    some = {r["item_id"]: r["text"] for r in items.where("item_id % 9999 = 0").collect()}
+    texts = [prose(40, 1), None, *(prose(9, k) + " " + t + " " + prose(9, k + 1) for k, t in enumerate(some.values())), prose(12, 3) + " " + " ".join(some[9999].split()[1:11]), " ".join(some[9999].split()[:9])]
+    got = decontam.find(documents(spark, texts), items).orderBy("doc_id").collect()
+    assert [r["n_hit"] for r in got] == [0, 0] + [12] * len(some) + [10, 0]
+    assert [r["items"] for r in got[2:-2]] == [[str(k)] for k in some] and got[-2]["items"] == ["9999"]
+    assert decontam.find(documents(spark, texts), items, most_hashes=10).orderBy("doc_id").collect() == got
+    kept = decontam.decontaminate(documents(spark, texts), items).orderBy("doc_id").collect()
+    assert [r["doc_id"] for r in kept] == [0, 1, len(texts) - 1]
+
+
 # --- host rules ---------------------------------------------------------------
 
 
@@ -322,7 +339,7 @@ def test_quote_linking(spark):
         (1, 3, "a", ">> Where is the cat?\nStill there"),
     ]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("body", F.lit("clash"))
-    got = [(r["conv_id"], r["turn"], r["parent_turn"], r["n_quoted"], r["n_linked"], r["body"]) for r in quotes.link(df).collect()]
+    got = [(r["conv_id"], r["turn"], r["parent_turn"], r["n_quoted"], r["n_linked"], r["body"]) for r in quotes.link(df).orderBy("conv_id", "turn").collect()]
     assert got == [
         (None, 1, None, 0, 0, ""),
         (1, 0, None, 0, 0, "Where is the Cat?\nI do not know."),
@@ -336,6 +353,43 @@ def test_quote_linking(spark):
     assert quotes.link(df.limit(0)).count() == 0
 
 
+def test_quotes_are_linked_however_wrapped_and_replies_are_ordered(spark, prose):
+    said = "The first line of it goes on\nand on, to the second line.\n\nAnother paragraph\nof two lines."
+    rows = [
+        (1, 0, said),
+        (1, 1, "unrelated"),
+        (1, 2, "> The first line of it\n> goes on and on,\n> to the second line.\nI agree"),
+        (1, 3, "still unrelated"),
+        (1, 4, "> of two lines.\n> made up\nNo"),
+        (1, 5, "> I agree\nThanks"),
+        (1, 9, "after a gap"),
+        (2, 3, prose(30_000, 1) + "\n" * 3000),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string").withColumn("position", F.lit("clash"))
+    got = {(r["conv_id"], r["turn"]): (r["parent_turn"], r["n_quoted"], r["n_linked"], r["position"]) for r in quotes.link(df).collect()}
+    assert got == {(1, 0): (None, 0, 0, 1), (1, 1): (0, 0, 0, 2), (1, 2): (0, 3, 3, 3), (1, 3): (2, 0, 0, 4), (1, 4): (0, 2, 1, 6), (1, 5): (2, 1, 1, 5), (1, 9): (None, 0, 0, 7), (2, 3): (None, 0, 0, 1)}
+
+
+def test_reply_order_equals_a_walk(spark):
+    rng = random.Random(3)
+    parents = {(c, t): (None if t == 0 or rng.random() < 0.02 else rng.randrange(max(0, t - 9), t)) for c in range(4) for t in range((200, 40, 7, 1)[c])}
+    rows = [(k, c, t, p) for k, ((c, t), p) in enumerate(parents.items())]
+    got = {r["__row"]: r["position"] for r in quotes.reply_order(spark.createDataFrame(rows, "__row long, __conv long, __turn long, __parent long")).collect()}
+    want, ids = {}, {(c, t): k for k, c, t, _ in rows}
+    for c in range(4):
+        replies = {}
+        for (d, t), p in parents.items():
+            if d == c:
+                replies.setdefault(p, []).append(t)
+        todo, seen = sorted(replies[None], reverse=True), 0
+        while todo:
+            t = todo.pop()
+            seen += 1
+            want[ids[c, t]] = seen
+            todo += sorted(replies.get(t, []), reverse=True)
+    assert got == want
+
+
 def test_helpers():
     from fluvial.llm import common
 
