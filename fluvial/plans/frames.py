@@ -275,10 +275,10 @@ def power_likelihoods(spark, d):
     return both[0].unionByName(both[1])
 
 
-@query(f"select kind, round(arg_max(l, ll), 1) as lambda from ({_likelihoods(_PRICE, '(select k / 100.0 as l from (select unnest(range(-200, 300)) k))')}) group by kind")
+@query(f"select kind, round(arg_max(l, ll), 2) as lambda from ({_likelihoods(_PRICE, '(select k / 100.0 as l from (select unnest(range(-200, 300)) k))')}) group by kind")
 def fitted_powers(spark, d):
     o = table(spark, d, "orders").select((F.col("o_totalprice") / 1e5).alias("x"))
-    return spark.createDataFrame([(k, round(powers.fit_power(o, "x", k, tol=1e-3), 1)) for k in _LIKE], "kind string, lambda double")
+    return spark.createDataFrame([(k, round(powers.fit_power(o, "x", k, tol=1e-4), 2)) for k in _LIKE], "kind string, lambda double")
 
 
 # --- series --------------------------------------------------------------------------------
