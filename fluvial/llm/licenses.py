@@ -6,11 +6,14 @@ are no licences. Log-odds are calibrated by a temperature on altered copies
 kept back; a paragraph whose best family is not probable enough, or whose words
 do not cover a template of it, is ``unknown``. Scoring is one projection: lines
 that no family can win, whatever their other words are, are passed over by one
-pattern.
+pattern. Adjacent lines that are left, and that no family is sure of, are judged
+once more as one paragraph, so a notice wrapped over lines is found.
 
-Edge cases: null and empty texts have no paragraphs; a paragraph is a line; a
+Edge cases: null and empty texts have no paragraphs; a paragraph is a line, or
+adjacent lines (reported at the first) that are a licence only together; a
 document without licence paragraphs has empty arrays; ties go to the family
-that sorts first. Repeated rows give repeated results.
+that sorts first; very long lines are judged whole. Repeated rows give repeated
+results.
 """
 
 from __future__ import annotations
@@ -164,29 +167,24 @@ def _literal_map(model: Model) -> Column:
     return F.expr(f"map_from_arrays(array({quoted}), array({values}))")
 
 
-def scan(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), least: float = 0.5, cover: float = 0.6) -> DataFrame:
-    """One row a document: ``keep``, ``n_licences``, ``n_unknown``, ``families`` (sorted, without unknown) and ``found``: array of struct(line, family, probability, confirmed)."""
-    named = [f"__k{i}" for i in range(len(keep))]
-    rows = docs.select(*(F.col(k).alias(n) for k, n in zip(keep, named, strict=True)), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("__t"))
-    cand = F.filter(F.transform(F.split("__t", "\n"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("t"))), lambda x: x["t"].rlike(model.gate))
-    none = F.expr("cast(array() as array<struct<line:int,t:string>>)")
-    rows = rows.select(*named, F.when(F.col("__t").rlike(model.gate), cand).otherwise(none).alias("__c"))  # most texts end here
-    words = F.transform("__c", lambda x: F.struct(x["line"].alias("line"), F.regexp_extract_all(x["t"], F.lit(f"({WORD})")).alias("w")))
-    rows = rows.select(*named, F.size("__c").alias("__n"), words.alias("__w"))
+def _classified(rows: DataFrame, own: list[str], units: str, model: Model, least: float, cover: float) -> DataFrame:
+    """``own`` columns and ``__found``: families of the units (array of line, t) that are not "none"."""
+    words = F.transform(units, lambda x: F.struct(x["line"].alias("line"), F.regexp_extract_all(x["t"], F.lit(f"({WORD})")).alias("w")))
+    rows = rows.select(*own, F.size(units).alias("__n"), words.alias("__w"))
     pairs = F.expr("""transform(__w, x -> struct(x.line as line, array_distinct(concat(x.w, if(size(x.w) > 1, transform(sequence(1, size(x.w) - 1), i -> concat(element_at(x.w, i), ' ', element_at(x.w, i + 1))), cast(array() as array<string>)))) as g))""")
     known = F.expr("array(" + ",".join("'" + g + "'" for g in model.vocabulary) + ")")  # other 1-2-grams have no weight, and no template has them
-    rows = rows.select(*named, "__n", pairs.alias("__g"))
-    rows = rows.select(*named, "__n", F.transform("__g", lambda x: F.struct(x["line"].alias("line"), F.array_intersect(x["g"], known).alias("g"))).alias("__g"))
+    rows = rows.select(*own, "__n", pairs.alias("__g"))
+    rows = rows.select(*own, "__n", F.transform("__g", lambda x: F.struct(x["line"].alias("line"), F.array_intersect(x["g"], known).alias("g"))).alias("__g"))
     zero = "array(" + ",".join(f"{v:.6f}D" for v in model.bias) + ")"
     weights = _literal_map(model)
     logits = F.transform("__g", lambda x: F.struct(x["line"].alias("line"), x["g"].alias("g"), F.aggregate(F.filter(F.transform(x["g"], lambda g: F.try_element_at(weights, g)), lambda v: v.isNotNull()), F.expr(zero), lambda a, v: F.zip_with(a, v, lambda p, q: p + q)).alias("z")))
-    rows = rows.select(*named, F.when(F.col("__n") > 0, logits).otherwise(F.expr("cast(array() as array<struct<line:int,g:array<string>,z:array<double>>>)")).alias("__z"))
+    rows = rows.select(*own, F.when(F.col("__n") > 0, logits).otherwise(F.expr("cast(array() as array<struct<line:int,g:array<string>,z:array<double>>>)")).alias("__z"))
     t = model.temperature
     shares = F.transform("__z", lambda x: F.struct(x["line"].alias("line"), x["g"].alias("g"), F.transform(x["z"], lambda v: F.exp((v - F.array_max(x["z"])) / F.lit(t))).alias("e")))
-    rows = rows.select(*named, shares.alias("__e"))
+    rows = rows.select(*own, shares.alias("__e"))
     names = F.array(*(F.lit(f) for f in model.families))
     best = F.transform("__e", lambda x: F.struct(x["line"].alias("line"), x["g"].alias("g"), F.element_at(names, F.array_position(x["e"], F.array_max(x["e"])).cast("int")).alias("family"), (F.lit(1.0) / F.aggregate(x["e"], F.lit(0.0), lambda a, v: a + v)).alias("p")))
-    rows = rows.select(*named, F.filter(best, lambda x: x["family"] != "none").alias("__b"))
+    rows = rows.select(*own, F.filter(best, lambda x: x["family"] != "none").alias("__b"))
 
     def covers(x: Column) -> Column:
         """Whether the words cover most of one of the family's templates."""
@@ -194,15 +192,43 @@ def scan(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...
         for family, texts in TEMPLATES.items():
             inner = F.lit(False)
             for w in texts:
-                own = sorted(set(grams(normal_words(w))))
-                inner = inner | (F.size(F.array_intersect(x["g"], F.expr("array(" + ",".join("'" + g + "'" for g in own) + ")"))) >= F.lit(cover * len(own)))
+                ours = sorted(set(grams(normal_words(w))))
+                inner = inner | (F.size(F.array_intersect(x["g"], F.expr("array(" + ",".join("'" + g + "'" for g in ours) + ")"))) >= F.lit(cover * len(ours)))
             test = F.when(x["family"] == family, inner).otherwise(test)
         return test
 
     checked = F.transform("__b", lambda x: F.struct(x["line"].alias("line"), x["family"].alias("guess"), x["p"].alias("probability"), covers(x).alias("confirmed")))
-    rows = rows.select(*named, F.when(F.size("__b") > 0, checked).otherwise(F.expr("cast(array() as array<struct<line:int,guess:string,probability:double,confirmed:boolean>>)")).alias("__f"))
+    rows = rows.select(*own, F.when(F.size("__b") > 0, checked).otherwise(F.expr("cast(array() as array<struct<line:int,guess:string,probability:double,confirmed:boolean>>)")).alias("__f"))
     final = F.transform("__f", lambda x: F.struct(x["line"].alias("line"), F.when((x["probability"] >= least) & x["confirmed"], x["guess"]).otherwise("unknown").alias("family"), x["probability"].alias("probability"), x["confirmed"].alias("confirmed")))
-    rows = rows.select(*named, final.alias("found"))
+    return rows.select(*own, final.alias("__found"))
+
+
+def _runs() -> Column:
+    """Adjacent lines of ``__rest``, two or more of them, as one paragraph each: its first and last line, and its text."""
+    at = lambda i: F.element_at("__rest", i)["line"]
+    n = F.size("__rest")
+    starts = F.filter(F.sequence(F.lit(1), n), lambda i: F.when(i == 1, F.lit(True)).otherwise(at(F.greatest(i - 1, F.lit(1))) + 1 != at(i)))
+    ends = F.filter(F.sequence(F.lit(1), n), lambda i: F.when(i == n, F.lit(True)).otherwise(at(F.least(i + 1, n)) - 1 != at(i)))
+    pairs = F.filter(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda p: p["e"] > p["s"])
+    joined = F.transform(pairs, lambda p: F.struct(at(p["s"]).alias("line"), at(p["e"]).alias("last"), F.array_join(F.transform(F.slice("__rest", p["s"], p["e"] - p["s"] + 1), lambda x: x["t"]), " ").alias("t")))
+    return F.when(n > 1, joined).otherwise(F.expr("cast(array() as array<struct<line:int,last:int,t:string>>)"))
+
+
+def scan(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), least: float = 0.5, cover: float = 0.6) -> DataFrame:
+    """One row a document: ``keep``, ``n_licences``, ``n_unknown``, ``families`` (sorted, without unknown) and ``found``: array of struct(line, family, probability, confirmed)."""
+    named = [f"__k{i}" for i in range(len(keep))]
+    rows = docs.select(*(F.col(k).alias(n) for k, n in zip(keep, named, strict=True)), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("__t"))
+    cand = F.filter(F.transform(F.split("__t", "\n"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("t"))), lambda x: x["t"].rlike(model.gate))
+    none = F.expr("cast(array() as array<struct<line:int,t:string>>)")
+    rows = rows.select(*named, F.when(F.col("__t").rlike(model.gate), cand).otherwise(none).alias("__c"))  # most texts end here
+    rows = _classified(rows, [*named, "__c"], "__c", model, least, cover)
+    # lines that no family is sure of are judged together with their neighbours: a notice may be wrapped
+    rest = F.filter("__c", lambda c: ~F.exists("__found", lambda f: (f["line"] == c["line"]) & (f["family"] != "unknown")))
+    rows = rows.select(*named, F.col("__found").alias("__one"), F.when(F.size("__c") > 1, rest).otherwise(none).alias("__rest"))
+    rows = _classified(rows.select(*named, "__one", _runs().alias("__runs")), [*named, "__one", "__runs"], "__runs", model, least, cover)
+    rows = rows.select(*named, "__one", "__runs", F.filter("__found", lambda f: f["family"] != "unknown").alias("__whole"))
+    inside = lambda f: F.exists("__runs", lambda r: f["line"].between(r["line"], r["last"]) & F.exists("__whole", lambda w: w["line"] == r["line"]))
+    rows = rows.select(*named, F.when(F.size("__whole") > 0, F.array_sort(F.concat(F.filter("__one", lambda f: ~inside(f)), "__whole"))).otherwise(F.col("__one")).alias("found"))
     sure = F.filter("found", lambda x: x["family"] != "unknown")
     return rows.select(
         *(F.col(n).alias(k) for n, k in zip(named, keep, strict=True)),

@@ -3,6 +3,7 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fluvial.llm import neardup, queries
@@ -44,3 +45,26 @@ def test_pipeline_stages(spark):
     # what the second stage keeps has no near copies left
     kept = neardup.near_duplicates(left)
     assert kept.where("not kept").count() <= 2
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Repeated rows leave one; clashing columns keep names and values; nulls, empty and very long texts and ties pass; empty tables stay empty."""
+    labels = spark.read.parquet(f"{D}/labels.parquet")
+    assert labels.count() > 0
+    texts = {1: "one two three four five six seven " * 20 + "tail", 2: None, 3: "", 4: " ".join(f"w{k}" for k in range(30_000)), 5: "short text"}
+    rows = [(k, t, f"s{k}") for k, t in texts.items()] * 2 + [(6, "short text", "s6"), (None, "no id", "x"), (None, "no id", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    clash = ("score", "predicted", "n_bytes", "n_removed", "kept", "n_tokens", "key", "__text", "__row", "component_id", "n_words")
+    docs = docs.withColumns({c: F.concat(F.lit(c), F.coalesce("source", F.lit(""))) for c in clash})
+    left = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, left, D)
+        assert left.columns == docs.columns, name
+        left = spark.createDataFrame(left.collect(), docs.schema)
+        assert left.where(" or ".join(f"`{c}` <> concat('{c}', source)" for c in clash)).count() == 0, name
+        assert stage(spark, docs.limit(0), D).count() == 0, name
+    got = {r["doc_id"]: r["text"] for r in left.collect() if r["doc_id"] is not None and r["doc_id"] > 1}
+    assert got == {k: t for k, t in texts.items() if k > 1}
+    assert left.where("doc_id is null").count() == 1 and left.where("doc_id = 1").count() <= 1
+    last = corpus_pipeline.STAGES[-1][1](spark, left, D)
+    assert last.count() == left.count() and corpus_pipeline.STAGES[-1][1](spark, left.limit(0), D).count() == 0

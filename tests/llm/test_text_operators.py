@@ -303,6 +303,149 @@ def test_quality_cotraining(spark, prose):
     assert [r[0] for r in flat] == [0.5]
 
 
+def test_language_decoding_equals_plain_loops():
+    """Loss-weighted decoding of bits against the formula written out, and ties to the first language."""
+    rng = np.random.default_rng(4)
+    code = langid.codewords(5)
+    trust = rng.random(code.shape[1])
+    model = langid.Model(list("abcde"), code, np.zeros((1, code.shape[1])), np.zeros(code.shape[1]), trust / trust.sum())
+    bits = np.concatenate([rng.normal(size=(20, code.shape[1])) * 3, np.zeros((1, code.shape[1]))])
+    best, share, lead = langid.decode(model, bits)
+    for k, row in enumerate(bits):
+        loss = [sum(w * math.log1p(math.exp(-b * c)) for b, c, w in zip(row, word, model.trust, strict=True)) for word in code]
+        e = [math.exp(-4 * (x - min(loss))) for x in loss]
+        top = sorted((x / sum(e) for x in e), reverse=True)
+        assert math.isclose(loss[best[k]], min(loss), rel_tol=1e-12) and math.isclose(share[k], top[0]) and math.isclose(lead[k], top[0] - top[1], abs_tol=1e-12)
+    assert best[-1] == 0
+
+
+def test_language_bits_equal_plain_descent():
+    """One classifier a bit: the fitted weights against the same steps written without vectors over bits."""
+    rng = np.random.default_rng(5)
+    x = np.zeros((30, langid.BUCKETS), np.float32)
+    x[:, :6] = rng.random((30, 6))
+    lang = ["a", "b", "c"] * 10
+    model = langid.fit(x, lang, steps=15)
+    y = model.code[[ord(v) - 97 for v in lang]]
+    for bit in range(y.shape[1]):
+        w, b, mw, mb = np.zeros(6), 0.0, np.zeros(6), 0.0
+        for _ in range(15):
+            g = [-y[i, bit] / (1 + math.exp(y[i, bit] * (float(x[i, :6] @ w) + b))) / 30 for i in range(30)]
+            mw = 0.9 * mw + 40 * sum(gi * x[i, :6] for i, gi in enumerate(g)) + 1e-5 * w
+            mb = 0.9 * mb + sum(g)
+            w, b = w - 0.5 * mw, b - 0.5 * mb
+        assert np.allclose(model.weights[:6, bit], w, atol=2e-3) and abs(model.bias[bit] - b) < 2e-3
+
+
+def test_positive_unlabelled_risk_equals_plain_form():
+    """The first steps of training against Adam on numerical gradients of the non-negative risk."""
+    rng = np.random.default_rng(6)
+    pos = [np.unique(rng.choice([1, 2, 3, 4, 5, 6], 3)).astype(np.uint32) for _ in range(60)]
+    unl = [np.unique(rng.choice([4, 5, 6, 7, 8, 9, 10, 11], 3)).astype(np.uint32) for _ in range(150)]
+    prior = 0.2
+    model = toxicity.fit(pos, unl, prior, steps=6)
+    chosen = model.chosen.tolist()
+    assert chosen
+    dense = lambda sets: np.array([[float(c in s) for c in chosen] for s in sets])
+    xp, xu = dense(pos), dense(unl)
+
+    def risk(t):
+        fp, fu = xp @ t[:-1] + t[-1], xu @ t[:-1] + t[-1]
+        plus, minus = np.log1p(np.exp(-fp)).mean(), np.log1p(np.exp(fu)).mean() - prior * np.log1p(np.exp(fp)).mean()
+        return prior * plus + minus if minus >= 0 else -minus  # below 0 the step goes back
+
+    t, m, v = np.zeros(len(chosen) + 1), 0.0, 0.0
+    for k in range(1, 7):
+        g = np.array([(risk(t + h) - risk(t - h)) / 2e-6 for h in np.eye(len(t)) * 1e-6])
+        g[:-1] += 1e-4 * t[:-1]
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        t = t - 0.05 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+    assert np.allclose(model.weights, t[:-1], atol=2e-3) and abs(model.bias - t[-1]) < 2e-3
+
+
+def test_cotraining_equals_plain_rounds():
+    """Which rows each view labels for the other, round by round, against loops over rows."""
+    rng = np.random.default_rng(7)
+    truth = rng.integers(0, 2, 240)
+    a, b = (truth[:, None] * 1.5 + rng.normal(size=(240, 2)) for _ in range(2))
+    y = np.where(np.arange(240) < 90, truth, np.nan)
+    model = cotrain.fit([a, b], y, rounds=2, share=0.1, sure=0.8)
+    known, pool = list(range(90)), list(range(90, 240))
+    cal, blend, base = known[::6], known[3::6], [k for i, k in enumerate(known) if i % 3]
+    given = [{}, {}]
+    for turn in range(3):
+        views = []
+        for x, extra in zip((a, b), given, strict=True):
+            rows = [*base, *sorted(extra)]
+            views.append(cotrain.fit_view(x[rows], np.array([extra.get(r, y[r]) for r in rows]), x[cal], y[cal]))
+        if turn == 2:
+            break
+        for k, (view, x) in enumerate(zip(views, (a, b), strict=True)):
+            p = {r: 1 / (1 + math.exp(-float(view.log_odds(x[[r]])[0]))) for r in pool}
+            for r in sorted(pool, key=lambda r: -p[r])[:15]:
+                if p[r] >= 0.8:
+                    given[1 - k][r] = 1.0
+            for r in sorted(pool, key=lambda r: p[r])[:15]:
+                if p[r] <= 0.2:
+                    given[1 - k][r] = 0.0
+    for own, view in zip(model.views, views, strict=True):
+        assert np.allclose(own.weights, view.weights) and np.allclose([own.bias, own.slope, own.shift], [view.bias, view.slope, view.shift])
+    odds = np.stack([v.log_odds(x[blend]) for v, x in zip(views, (a, b), strict=True)], 1)
+    mix, bias = cotrain.logistic(odds, y[blend], 1e-3)
+    assert np.allclose(model.mix, np.maximum(mix, 0)) and math.isclose(model.bias, bias)
+    score, _ = model.score([a, b])
+    assert ((score >= 0.5) == truth)[90:].mean() > 0.85
+
+
+def test_scores_do_not_depend_on_neighbours(prose):
+    texts = pa.array([prose(9, 1), "Z!", None, "", "é" * 40, prose(30, 2), "A" * 100_000])
+    whole = cotrain.text_view(texts)
+    alone = np.concatenate([cotrain.text_view(texts.slice(i, 1)) for i in range(len(texts))])
+    back = cotrain.text_view(texts.take(pa.array(range(len(texts) - 1, -1, -1))))[::-1]
+    assert np.allclose(whole, alone) and np.allclose(whole, back)
+
+
+def test_learned_operators_on_odd_rows(spark, prose):
+    """Ties, very long, repeated and empty rows, empty tables and clashing columns: every row comes back, equal texts with equal scores."""
+    rows = [(i, prose(30, i) + (" vexing scoundrel" if i % 3 == 0 else "")) for i in range(120)]
+    rows += [(500, "vexing " * 60_000), (501, None), (502, ""), (503, prose(30, 3)), (503, prose(30, 3)), (None, "vexing scoundrel")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"score": F.lit("clash"), "predicted": F.lit("clash"), "source": F.lit("h"), "lang": F.lit("en"), "n_chars": F.length("text").cast("long")})
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), int(i % 3 > 0)) for i in range(120)] * 2, "doc_id long, toxic int, quality int")
+    toxic = toxicity.train(df, labels, lambda k: F.lit(True))
+    good = cotrain.train(df, labels, lambda k: F.lit(True))
+    for got in (toxicity.score(df, toxic, keep=("doc_id", "score", "lang")), cotrain.score(df, good, keep=("doc_id", "score", "lang"))):
+        out = got.collect()
+        assert len(out) == len(rows) and all(0 <= r["score"] <= 1 and r["lang"] == "en" for r in out)
+        assert len({r["score"] for r in out if r["doc_id"] == 503}) == 1
+    assert toxicity.score(df.limit(0), toxic).count() == cotrain.score(df.limit(0), good).count() == 0
+
+
+def test_license_regression_equals_plain_descent():
+    """Soft-max regression and its scores, on words of the templates, against loops; ties go to the first family."""
+    model = licenses.fit(["the cat sat on the mat"] * 4, steps=2, copies=2)
+    words = licenses.grams(licenses.normal_words("Released under the MIT License"))
+    z = model.bias + sum((model.vocabulary[g] for g in set(words) if g in model.vocabulary), np.zeros(len(model.families)))
+    assert len(z) == len(model.families) == len(licenses.TEMPLATES) + 1
+    p = np.exp((z - z.max()) / model.temperature)
+    assert math.isclose((p / p.sum()).sum(), 1.0)
+
+
+def test_license_scores_equal_plain_form(spark, prose):
+    """Families and probabilities of a scan against the model's weights applied in plain Python; long, repeated and tied lines."""
+    lines = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0", "All rights reserved.", prose(8000, 4) + " released under the mit license", "Released under the MIT License.", ""]
+    df = documents(spark, ["\n".join(lines), lines[0], lines[0]])
+    model = licenses.train(df)
+    got = licenses.scan(df, model).orderBy("doc_id").collect()
+    assert got[1]["found"] == got[2]["found"]
+    for f in got[0]["found"]:
+        known = {g for g in licenses.grams(licenses.normal_words(lines[f["line"] - 1])) if g in model.vocabulary}
+        z = np.round(model.bias, 6) + sum((np.round(model.vocabulary[g].astype(float), 6) for g in known), np.zeros(len(model.families)))
+        e = np.exp((z - z.max()) / model.temperature)
+        assert math.isclose(f["probability"], 1 / e.sum(), rel_tol=1e-6)
+        if f["family"] != "unknown":
+            assert f["family"] == model.families[int(np.argmax(z))]
+
+
 def test_license_scan(spark, prose):
     texts = [None, "", prose(50, 1), "Released under the MIT License.", "x\nLicensed under the Apache License, Version 2.0.\nAll rights reserved.", "She has a driving license and a library card.", "Licensed under the Foobar Commercial Terms License agreement 7"]
     df = documents(spark, texts)
@@ -313,6 +456,15 @@ def test_license_scan(spark, prose):
     assert licenses.scan(df.limit(0), licenses.train(df.limit(0))).count() == 0
 
 
+def test_license_over_several_lines(spark, prose):
+    whole = ["permission is hereby granted, free of charge, to any person", "obtaining a copy of this software", "and associated documentation files"]
+    texts = ["\n".join([prose(8, 1), *whole, prose(8, 2)]), "\n".join([whole[0], prose(8, 3), whole[2]]), "\n".join([*whole, "All rights reserved."])]
+    df = documents(spark, texts)
+    got = licenses.scan(df, licenses.train(documents(spark, [prose(30, k) for k in range(50)]))).orderBy("doc_id").collect()
+    assert [r["families"] for r in got] == [["mit"], [], ["mit", "proprietary"]]
+    assert [(f["line"], f["family"]) for f in got[0]["found"]] == [(2, "mit")] and [f["line"] for f in got[2]["found"]] == [1, 4]
+
+
 def test_license_gate_passes_what_scores_reach(spark, prose):
     """Templates without any one or two of their words, and words beside other signs: as found without a gate."""
     texts = []
@@ -321,10 +473,9 @@ def test_license_gate_passes_what_scores_reach(spark, prose):
             w = t.split()
             texts += [" ".join(x for k, x in enumerate(w) if k not in (i, i + d)) for i in range(len(w)) for d in (1, 3)]
     texts += ["Released under the_MIT_License", "éMIT license", "Licensed under CC BY 4.0license", "apache license 2.0the", prose(40, 3)]
-    lines = spark.createDataFrame([(0, "\n".join(texts))], "doc_id long, text string")
     model = licenses.train(documents(spark, [prose(30, k) for k in range(50)]))
-    found = [licenses.scan(lines, m).first()["found"] for m in (model, replace(model, gate=""))]
-    assert found[0] == found[1] and len(found[0]) > 500
+    found = [[r["found"] for r in licenses.scan(documents(spark, texts), m).orderBy("doc_id").collect()] for m in (model, replace(model, gate=""))]
+    assert found[0] == found[1] and sum(map(bool, found[0])) > 500
 
 
 def test_quote_linking(spark):
