@@ -22,6 +22,7 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -193,19 +194,17 @@ class Codec:
         return b"".join(self.tokens[np.frombuffer(packed, "<u4")].tolist())
 
 
-def blocks(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
+def blocks(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``most`` characters."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    total = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(total):
+        stop = min(len(total), int(np.searchsorted(total, (total[start - 1] if start else 0) + most)) + 1)
+        yield start, stop
+        start = stop
 
 
-def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), block_chars: int = 4_000_000, digests: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), block_chars: int = 1_000_000, digests: bool = False) -> DataFrame:
     """Adds each document's token ids and their decoding.
 
     Returns ``keep`` plus ``ids`` array<int> and ``decoded`` binary; with
@@ -221,7 +220,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, tex
         codec = Codec(table.value, pattern)
         for batch in batches:
             texts = batch.column("__text")
-            for x, y in blocks(texts.to_pylist(), block_chars):
+            for x, y in blocks(texts, block_chars):
                 part = texts.slice(x, y - x).to_pylist()
                 ids = codec.encode(part)
                 back = [codec.decode(i) for i in ids]

@@ -102,7 +102,7 @@ def flat_utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def slices(col: pa.Array, most: int = 1 << 20):
+def slices(col: pa.Array, most: int = 1 << 18):
     """(start, stop) row ranges of at most about ``most`` bytes (one row at least)."""
     size = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
     total = np.concatenate([[0], np.cumsum(size)])

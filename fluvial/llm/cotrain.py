@@ -171,7 +171,7 @@ def _views(batch: pa.RecordBatch, x: int, y: int) -> list[np.ndarray]:
 
 
 def _ranges(col: pa.Array):
-    for x, y in slices(col, 2 << 20):
+    for x, y in slices(col, 1 << 19):
         for z in range(x, y, 1024):
             yield z, min(y, z + 1024)
 

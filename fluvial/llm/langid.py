@@ -131,8 +131,8 @@ def score_bits(model: Model, col: pa.Array) -> np.ndarray:
 def _few(col: pa.Array):
     """Row ranges bounded in bytes and, for the histograms, in rows."""
     for x, y in slices(col):
-        for z in range(x, y, 1024):
-            yield z, min(y, z + 1024)
+        for z in range(x, y, 256):
+            yield z, min(y, z + 256)
 
 
 def train(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 600, most_rows: int = 24_000) -> Model:
