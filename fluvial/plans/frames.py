@@ -685,3 +685,66 @@ def clusters_of_planted_groups(spark, d):
     return spark.createDataFrame(rows, "what string, centred boolean, complete boolean, parts int")
 
 
+
+
+# --- further readers, curves and paths --------------------------------------------------------------
+
+
+@query("""select 'measured' kind, event_type site, cast(ts as timestamp) ts, value v from events where event_id < 200 union all select 'realtime', event_type, cast(ts as timestamp), value from events where event_id < 200 union all select 'listed', n_name, null, n_nationkey * 1.0 from nation""")
+def station_pages(spark, d):
+    """JSON pages of field measurements, five-minute CSV files with stamps of a zone, and lists of series, written and read again."""
+    e = table(spark, d, "events").where("event_id < 200").select(F.col("event_type").alias("site"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("at"), F.col("value").cast("string").alias("x"))
+    a, b, c = (tables.shared_path(spark) for _ in range(3))
+    feature = F.struct(F.struct(F.col("site").alias("monitoring_location_id"), F.col("at").alias("time"), F.col("x").alias("value")).alias("properties"))
+    e.agg(F.to_json(F.struct(F.collect_list(feature).alias("features"))).alias("value")).write.text(a)
+    e.select(F.col("site").alias("ID"), F.col("at").alias("Date"), F.col("x").alias("Value")).write.csv(b, header=True)
+    listed = F.concat(F.array(F.array(F.lit("ts_id"), F.lit("station_no"), F.lit("ts_name"))), F.collect_list(F.array(F.col("n_nationkey").cast("string"), F.col("n_name"), F.lit("daily"))))
+    table(spark, d, "nation").agg(F.to_json(listed).alias("value")).write.text(c)
+    ids = stations.australian_series_ids(spark, c).select("site", F.lit(None).cast("timestamp_ntz").alias("ts"), F.col("ts_id").cast("double").alias("v"))
+    parts = {"measured": stations.usgs_measurements(spark, a), "realtime": stations.canadian_realtime(spark, b), "listed": ids}
+    out = None
+    for kind, df in parts.items():
+        row = df.select(F.lit(kind).alias("kind"), "site", F.col("ts").cast("timestamp_ntz").alias("ts"), "v")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("with recursive e as (select n_nationkey src, (n_nationkey * 7 + 3) % 25 dst, (n_nationkey % 5 + 1) * 1.0 w from nation union all select n_nationkey, (n_nationkey + 1) % 25, 2.5 from nation), r(v, d, h) as (select 0, 0.0::double, 0 union select e.src, r.d + e.w, r.h + 1 from r join e on e.dst = r.v where r.h < 14) select v, min(d) distance from r group by v")
+def heap_paths(spark, d):
+    """Distances of a graph that fits the driver, by a heap."""
+    keys = [r[0] for r in table(spark, d, "nation", "n_nationkey").collect()]
+    edges = [(k, (k * 7 + 3) % 25, k % 5 + 1.0) for k in keys] + [(k, (k + 1) % 25, 2.5) for k in keys]
+    return spark.createDataFrame([(v, float(w)) for v, (w, _) in relational.dijkstra(edges, 0).items()], "v int, distance double")
+
+
+@query("select method, cast(r_regionkey as int) curve_id, x, abs(x - 10) * (r_regionkey + 1.0) as y from (select unnest(['peucker', 'visvalingam', 'lang']) as method), region, (select unnest([0.0, 10.0, 20.0]) x)")
+def simplified_polylines(spark, d):
+    """Curves of one bend each: only the ends and the bend are left."""
+    c = table(spark, d, "region").select(F.col("r_regionkey").cast("int").alias("curve_id"), F.explode(F.sequence(F.lit(0), F.lit(20))).alias("k"))
+    c = c.select("curve_id", F.col("k").cast("double").alias("x"), (F.abs(F.col("k") - 10) * (F.col("curve_id") + 1.0)).alias("y"))
+    out = None
+    for method, amount in (("peucker", 0.01), ("visvalingam", 3), ("lang", 0.01)):
+        row = curves.simplify(c, method, amount).select(F.lit(method).alias("method"), "curve_id", "x", "y")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("select k, round(case when k <= 10 then k / 50.0 else (20 - k) / 50.0 end, 2) density, round((exp(-0.5 * ((k / 5.0 - 1) / 0.5) ** 2) + exp(-0.5 * ((k / 5.0 - 2) / 0.5) ** 2) + exp(-0.5 * ((k / 5.0 - 4) / 0.5) ** 2)) / (3 * 0.5 * sqrt(2 * pi())), 8) kernel from (select unnest(range(0, 21)) k)")
+def summed_and_smoothed_densities(spark, d):
+    """Density of the sum of two uniforms on 0..5, at halves, and a normal kernel density of three values."""
+    x, f = curves.convolve([(0.0, 0.2), (5.0, 0.2)], [(0.0, 0.2), (5.0, 0.2)], 4001)
+    at = np.arange(21)
+    tri = np.interp(at / 2, x, f)
+    kernel = D.kernel_density(at / 5, np.array([1.0, 2.0, 4.0]), 0.5)
+    return spark.createDataFrame([(int(k), round(float(t) + 0.0, 2), round(float(g), 8)) for k, t, g in zip(at, tri, kernel, strict=True)], "k long, density double, kernel double")
+
+
+@query("select 'order' what, n_nationkey k, n_nationkey % 6 = 0 bad_x, n_nationkey % 10 = 0 bad_y from nation where n_nationkey > 0 and (n_nationkey % 6 = 0 or n_nationkey % 10 = 0) union all select 'inverted', n_nationkey, true, true from nation union all select 'list', n_nationkey, n_nationkey < 1 or n_nationkey = 12 or n_nationkey > 23, true from nation")
+def ordinate_checks(spark, d):
+    """Ordinates out of order on either axis, axes exchanged, and lists of probabilities that are no rising or falling ones in (0, 1)."""
+    k = F.col("n_nationkey")
+    c = table(spark, d, "nation").select(F.lit(1).alias("curve_id"), k.alias("idx"), F.when((k % 6 == 0) & (k > 0), k - 1.5).otherwise(k.cast("double")).alias("x"), F.when((k % 10 == 0) & (k > 0), k - 1.5).otherwise(k.cast("double")).alias("y"))
+    wrong = curves.order_errors(c).select(F.lit("order").alias("what"), F.col("idx").alias("k"), "bad_x", "bad_y")
+    turned = curves.invert(c).select(F.lit("inverted").alias("what"), F.col("idx").alias("k"), F.lit(True).alias("bad_x"), F.lit(True).alias("bad_y"))
+    lists = table(spark, d, "nation").select(F.lit("list").alias("what"), k.alias("k"), tables.probability_list_errors(F.array(k / 24.0, F.lit(0.5))).alias("bad_x"), F.lit(True).alias("bad_y"))
+    return wrong.unionByName(turned).unionByName(lists)

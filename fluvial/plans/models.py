@@ -49,7 +49,7 @@ def moment_fits(spark, d):
 def gumbel_by_row(spark, d):
     m = _fits(spark, d).select("o_orderpriority", D.from_l_moments("gumbel", F.col("l1"), F.col("l2"), F.col("t3")).alias("p"))
     j = table(spark, d, "orders", "o_orderkey", "o_orderpriority", "o_totalprice").join(m, "o_orderpriority")
-    x, n = F.col("o_totalprice"), F.lit("gumbel")
+    x, n = F.col("o_totalprice"), "gumbel"
     return j.select("o_orderkey", D.apply("pdf", x, n, F.col("p")).alias("density"), D.apply("cdf", x, n, F.col("p")).alias("probability"), D.apply("quantile", F.lit(0.99), n, F.col("p")).alias("q99"))
 
 
