@@ -26,10 +26,12 @@ long messages are split within their row. Columns named as the results give way.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, partitions
+from .common import materialise, partitions
 
 #: The marks at the start of a quoted line.
 MARKS = r"^(?:[ \t]*>)+"
@@ -105,13 +107,19 @@ def reply_order(links: DataFrame) -> DataFrame:
     enter, leave = lambda c: F.col(c) * 2, lambda c: F.col(c) * 2 + 1
     down = tree.select(enter("__row").alias("id"), F.coalesce(enter("__child"), leave("__row")).alias("next"), F.lit(1).cast("long").alias("w"))
     up = tree.select(leave("__row").alias("id"), F.coalesce(enter("__sibling"), F.when(F.col("__up") >= 0, leave("__up"))).alias("next"), F.lit(0).cast("long").alias("w"))
-    steps = materialise(down.unionByName(up), "steps")
-    while not steps.where("next is not null").isEmpty():  # w counts the messages from a step up to its link's end
-        ahead = steps.select(F.col("id").alias("to"), F.col("next").alias("far"), F.col("w").alias("more"))
-        longer = materialise(steps.join(ahead, F.col("next") == F.col("to"), "left").select("id", F.col("far").alias("next"), (F.col("w") + F.coalesce("more", F.lit(0))).alias("w")), "steps")
-        discard(steps)
-        steps = longer
-    rest = steps.where("id % 2 = 0").select((F.col("id") / 2).cast("long").alias("__id"), "w")
+    current = materialise(down.unionByName(up), "steps")
+    rounds = [current]
+
+    def ended() -> DataFrame:
+        """Steps whose links have reached the end of their list; they are not joined again."""
+        return reduce(DataFrame.unionByName, (r.where("next is null") for r in rounds))
+
+    while not current.where("next is not null").isEmpty():  # w counts the messages from a step up to its link's end
+        open_ = current.where("next is not null")
+        ahead = ended().unionByName(open_).select(F.col("id").alias("to"), F.col("next").alias("far"), F.col("w").alias("more"))
+        current = materialise(open_.join(ahead, F.col("next") == F.col("to")).select("id", F.col("far").alias("next"), (F.col("w") + F.col("more")).alias("w")), "steps")
+        rounds.append(current)
+    rest = ended().where("id % 2 = 0").select((F.col("id") / 2).cast("long").alias("__id"), "w")
     total = links.groupBy(F.col("__conv").alias("c")).agg(F.count("*").alias("n"))
     both = links.join(rest, F.col("__row") == F.col("__id")).join(total, F.col("__conv") == F.col("c"))
     return both.select("__row", (F.col("n") - F.col("w") + 1).alias("position"))
