@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cotrain, decontam, hostrules, langid, licenses, neardup, quotes, sufdedup, toxicity
+from . import bpe, centroids, cotrain, decontam, hostrules, langid, licenses, neardup, quotes, sufdedup, toxicity
 from .common import crc_bucket
 
 
@@ -69,13 +69,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotrain.score(docs.withColumn("held_out", held), model, keep=("doc_id", "held_out"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_suffix_dedup, op3_chat_quotes, op4_license_scan, op5_byte_bpe, op6_toxicity, op7_decontamination, op8_near_duplicates, op9_host_rules, op10_quality)
+    for f in (op1_language_id, op2_suffix_dedup, op3_chat_quotes, op4_license_scan, op5_byte_bpe, op6_toxicity, op7_decontamination, op8_near_duplicates, op9_host_rules, op10_quality, op11_centroids)
 }
 ORACLES: dict[str, str] = {
     "op3_chat_quotes": quotes.ORACLE_SQL,
     "op7_decontamination": decontam.ORACLE_SQL,
     "op8_near_duplicates": neardup.ORACLE_SQL,
     "op9_host_rules": hostrules.ORACLE_SQL,
+    "op11_centroids": centroids.ORACLE_SQL,
 }

@@ -14,7 +14,7 @@ D = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("documents", "labels", "benchmark", "conversations"):
+    for t in ("documents", "labels", "benchmark", "conversations", "embeddings"):
         con.execute(f"create view {t} as select * from '{D}/{t}.parquet'")
     return con
 
