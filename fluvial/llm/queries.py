@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, centroids, cotrain, decontam, hostrules, langid, licenses, neardup, quotes, sufdedup, toxicity
+from . import bpe, centroids, cotrain, decontam, hostrules, langid, licenses, neardup, quotes, simhash, sufdedup, toxicity
 from .common import crc_bucket
 
 
@@ -73,9 +73,13 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_suffix_dedup, op3_chat_quotes, op4_license_scan, op5_byte_bpe, op6_toxicity, op7_decontamination, op8_near_duplicates, op9_host_rules, op10_quality, op11_centroids)
+    for f in (op1_language_id, op2_suffix_dedup, op3_chat_quotes, op4_license_scan, op5_byte_bpe, op6_toxicity, op7_decontamination, op8_near_duplicates, op9_host_rules, op10_quality, op11_centroids, op12_simhash)
 }
 ORACLES: dict[str, str] = {
     "op3_chat_quotes": quotes.ORACLE_SQL,
