@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, centroids, cotrain, decontam, hostrules, langid, licenses, neardup, quotes, simhash, sufdedup, toxicity
+from . import bpe, centroids, cotrain, decontam, hostrules, langid, licenses, neardup, negatives, quotes, simhash, sufdedup, toxicity
 from .common import crc_bucket
 
 
@@ -77,9 +77,14 @@ def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.expr("case when vec_id % 7 = 0 then (label + 1) % 10 else label end")
+    return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.expr("vec_id % 100 = 0"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_suffix_dedup, op3_chat_quotes, op4_license_scan, op5_byte_bpe, op6_toxicity, op7_decontamination, op8_near_duplicates, op9_host_rules, op10_quality, op11_centroids, op12_simhash)
+    for f in (op1_language_id, op2_suffix_dedup, op3_chat_quotes, op4_license_scan, op5_byte_bpe, op6_toxicity, op7_decontamination, op8_near_duplicates, op9_host_rules, op10_quality, op11_centroids, op12_simhash, op13_hard_negatives)
 }
 ORACLES: dict[str, str] = {
     "op3_chat_quotes": quotes.ORACLE_SQL,
@@ -87,4 +92,5 @@ ORACLES: dict[str, str] = {
     "op8_near_duplicates": neardup.ORACLE_SQL,
     "op9_host_rules": hostrules.ORACLE_SQL,
     "op11_centroids": centroids.ORACLE_SQL,
+    "op13_hard_negatives": negatives.ORACLE_SQL,
 }

@@ -57,7 +57,7 @@ def nearest(x: np.ndarray, scale: int, centres: np.ndarray) -> tuple[np.ndarray,
     k = int(max((abs(v) for v in centres.ravel().tolist()), default=0))
     m = largest(y)
     with np.errstate(over="ignore"):
-        bound = width * (m + float(k)) ** 2 * (1 + 1e-12)
+        bound = width * (m + float(min(k, 1 << 1000))) ** 2 * (1 + 1e-12)
     label, dist = np.zeros(len(x), np.int32), np.zeros(len(x), object)
     fast = bound < EXACT
     if fast.any():
