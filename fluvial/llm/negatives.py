@@ -7,12 +7,12 @@ whose score lies between ``low`` and ``high`` percent of the positive's are
 returned.
 
 Both searches are one join (``best_in_bands``): of each anchor's bands of
-scores the k best rows. Vectors get one more component, sqrt(M^2 - |x|^2) with
-M the largest norm, and anchors zero there, so that a larger score is a smaller
-distance. Anchors are assigned to the nearest of some pivots (vectors of the
-table) and make groups of at most ``GROUP``; a group knows from the bands and
-the pivot distances of its anchors how near and how far from its pivot a useful
-row can lie. Rows meet the groups of their own cell first; what is found there
+scores the k best rows. Rows get one more component, sqrt(M^2 - |x|^2) with M the
+largest norm, and anchors and pivots zero there, so that a larger score is a
+smaller distance. Anchors and rows are assigned to the nearest of some pivots
+(vectors of the table); the anchors of a cell make groups of about ``GROUP``.
+A group knows from the bands and pivot distances of its anchors how near and
+how far from its pivot a useful row can lie, and what score it can have there. Rows meet the groups of their own cell first; what is found there
 narrows the bounds, and then rows are sent to the groups of other cells that
 they might serve. A group meets its rows in slices by hash, as many as the
 table needs, so neither a dense cell nor a group that all rows might serve is
@@ -83,20 +83,22 @@ def prepared(rows: DataFrame, vector: str, key: str, label: str, scale: int) ->
 
 
 class Cells:
-    """Pivots, and distances to them with the vectors' additional component."""
+    """Pivots, which like anchors have zero as their additional component, and distances to them."""
 
     def __init__(self, pivots: np.ndarray, top: float):
         self.p, self.top = pivots.astype(np.float64), top
         self.norm = (self.p**2).sum(1)
-        self.more = np.sqrt(np.maximum(top - self.norm, 0))
 
-    def distances(self, y: np.ndarray, anchors: bool = False) -> np.ndarray:
-        """Of each row to each pivot; anchors have zero as their additional component."""
+    def of_anchors(self, y: np.ndarray) -> np.ndarray:
+        """The distance of each anchor to each pivot."""
         x = y.astype(np.float64)
-        norm = (x**2).sum(1)
-        more = np.zeros(len(x)) if anchors else np.sqrt(np.maximum(self.top - norm, 0))
-        flat = norm[:, None] - 2 * (x @ self.p.T) + self.norm
-        return np.sqrt(np.maximum(flat, 0) + (more[:, None] - self.more) ** 2)
+        return np.sqrt(np.maximum((x**2).sum(1)[:, None] - 2 * (x @ self.p.T) + self.norm, 0))
+
+    def of_rows(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of rows with sqrt(M^2 - |x|^2) added: distances and inner products with each pivot, and the norms of the rows."""
+        x = y.astype(np.float64)
+        dot = x @ self.p.T
+        return np.sqrt(np.maximum(self.top + self.norm - 2 * dot, 0)), dot, np.sqrt((x**2).sum(1))
 
 
 def grouped(anchors: DataFrame, cells: Cells, width: int) -> DataFrame:
@@ -104,7 +106,7 @@ def grouped(anchors: DataFrame, cells: Cells, width: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            d = cells.distances(unpacked(batch.column("vec"), width), anchors=True)
+            d = cells.of_anchors(unpacked(batch.column("vec"), width))
             cell = d.argmin(1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(d[np.arange(len(d)), cell])], names=[*batch.schema.names, "cell", "u"])
 
@@ -115,30 +117,36 @@ def grouped(anchors: DataFrame, cells: Cells, width: int) -> DataFrame:
 
 
 def bounds(anchors: DataFrame, top: float) -> dict[str, np.ndarray]:
-    """Of each group its cell, and how near to and far from the pivot rows can lie that any of its bands has room for."""
+    """Of each group its cell, how near to and far from the pivot rows can lie that any of its bands has room for, the least and most score, and the largest distance of an anchor."""
     valid = "filter(arrays_zip(lo, hi), b -> b.lo <= b.hi)"
-    at = lambda which, edge: F.expr(f"sqrt(greatest(0D, {top!r}D + norm - 2D * {which}(transform({valid}, b -> b.{edge}))))")
     rows = anchors.where(F.expr(f"size({valid}) > 0"))
-    rows = rows.groupBy("group").agg(F.first("cell").alias("cell"), F.min(at("array_max", "hi") - F.col("u")).alias("near"), F.max(at("array_min", "lo") + F.col("u")).alias("far"))
-    found = rows.toPandas()  # a row for each group
-    return {c: found[c].to_numpy() for c in ("group", "cell", "near", "far")}
+    rows = rows.withColumns({"least": F.expr(f"cast(array_min({valid}.lo) as double)"), "most": F.expr(f"cast(array_max({valid}.hi) as double)")})
+    reach = lambda score: F.sqrt(F.greatest(F.lit(0.0), F.lit(top) + F.col("norm") - 2 * F.col(score)))
+    found = rows.groupBy("group").agg(F.first("cell").alias("cell"), F.min(reach("most") - F.col("u")).alias("near"), F.max(reach("least") + F.col("u")).alias("far"), F.min("least").alias("least"), F.max("most").alias("most"), F.max("u").alias("u"))
+    return {c: v.to_numpy() for c, v in found.toPandas().items()}  # a row for each group
 
 
 def spread(rows: DataFrame, cells: Cells, groups: dict[str, np.ndarray], width: int, slices: int, home: bool) -> DataFrame:
-    """Each row once for each group that it might serve, of its own cell or of all others."""
-    slack = SLACK * math.sqrt(cells.top) + 1e-9
+    """Each row once for each group that it might serve, of its own cell or of all others.
+
+    Two bounds hold for a row x that serves an anchor a near pivot p: its
+    distance to p is its distance to a give or take |a - p|, and x.a is x.p
+    give or take |x| |a - p|.
+    """
+    slack, more = SLACK * math.sqrt(cells.top) + 1e-9, SLACK * cells.top + 1e-9
     kind = rows.schema["label"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            d = cells.distances(unpacked(batch.column("vec"), width))
+            d, dot, norm = cells.of_rows(unpacked(batch.column("vec"), width))
             own = d.argmin(1)
             part = batch.select(["key", "label", "vec", "slice"])
             step = max(1, 100_000 // max(1, len(groups["group"])))
             for x in range(0, len(own), step):
-                here = d[x : x + step][:, groups["cell"]]
-                far = (here > groups["far"] + slack) | (here < groups["near"] - slack)
-                i, g = np.nonzero(((own[x : x + step, None] == groups["cell"]) == home) & ~far)
+                some = slice(x, x + step)
+                here, there, room = d[some][:, groups["cell"]], dot[some][:, groups["cell"]], norm[some, None] * groups["u"]
+                out = (here > groups["far"] + slack) | (here < groups["near"] - slack) | (there + room < groups["least"] - more) | (there - room > groups["most"] + more)
+                i, g = np.nonzero(((own[some, None] == groups["cell"]) == home) & ~out)
                 yield pa.RecordBatch.from_arrays([pa.array(groups["group"][g]), *part.take(pa.array(i + x)).columns], names=["group", "key", "label", "vec", "slice"])
 
     sliced = rows.select("key", "label", "vec", F.pmod(F.xxhash64("key", F.lit(7)), F.lit(slices)).alias("slice"))

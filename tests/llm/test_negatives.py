@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,7 +68,7 @@ def test_bounds_leave_rows_out(spark):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     kept = negatives.prepared(frame, "embedding", "vec_id", "label", 256)
     some = kept.where("key % 10 = 0").select("key", "label", "vec", "norm")
-    pivots = negatives.unpacked(__import__("pyarrow").array([bytes(r["vec"]) for r in kept.orderBy("key").limit(16).collect()]), 6)
+    pivots = negatives.unpacked(pa.array([bytes(r["vec"]) for r in kept.orderBy("key").limit(16).collect()]), 6)
     cells = negatives.Cells(pivots, kept.agg(F.max("norm")).first()[0])
     placed = negatives.grouped(some, cells, 6).withColumns({"lo": F.expr("array(cast(0.8 * norm as bigint))"), "hi": F.array(F.lit(LONGEST))})
     groups = negatives.bounds(placed, cells.top)
