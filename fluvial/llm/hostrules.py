@@ -22,8 +22,21 @@ from .common import materialise
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 
-#: Most words whose positions fit beside a 48-bit hash in one long.
-PACKED = 1 << 16
+
+#: Of each 3-word window its place in the low bits, as many as the text's places need, and its hash in the others; sorted.
+WINDOWS = "case when size(__w) >= 3 then sort_array(transform(sequence(1, size(__w) - 2), i -> (xxhash64(element_at(__w, i), element_at(__w, i + 1), element_at(__w, i + 2)) & shiftleft(-1L, __b)) | cast(i as bigint))) end"
+#: Places of two neighbours there with one hash.
+NEIGHBOURS = """transform(filter(sequence(1, greatest(size(__s) - 1, 1)), k -> k < size(__s) and shiftright(element_at(__s, k), __b) = shiftright(element_at(__s, k + 1), __b)),
+    k -> struct(cast(element_at(__s, k) & ~shiftleft(-1L, __b) as int) as a, cast(element_at(__s, k + 1) & ~shiftleft(-1L, __b) as int) as b))"""
+#: Two neighbours are other words with one hash: there may be equal windows beyond them.
+CLASH = "exists(__k, k -> element_at(__w, k.a) <> element_at(__w, k.b) or element_at(__w, k.a + 1) <> element_at(__w, k.b + 1) or element_at(__w, k.a + 2) <> element_at(__w, k.b + 2))"
+#: All windows of a text by hash and then by words, so that equal ones are neighbours whatever their hashes.
+BY_WORDS = "sort_array(transform(sequence(1, size(__w) - 2), i -> struct(xxhash64(element_at(__w, i), element_at(__w, i + 1), element_at(__w, i + 2)) as h, element_at(__w, i) as x, element_at(__w, i + 1) as y, element_at(__w, i + 2) as z, i as i)))"
+SAME = "element_at(t, k).h = element_at(t, k + 1).h and element_at(t, k).x = element_at(t, k + 1).x and element_at(t, k).y = element_at(t, k + 1).y and element_at(t, k).z = element_at(t, k + 1).z"
+#: Places of windows that are there twice or more, sorted. Neighbours by hash decide where all of them are equal; if any two are not, the text's windows are sorted by words.
+REPEATED = f"""sort_array(array_distinct(flatten(case when {CLASH}
+    then transform(transform(array({BY_WORDS}), t -> transform(filter(sequence(1, size(t) - 1), k -> {SAME}), k -> array(element_at(t, k).i, element_at(t, k + 1).i)))[0], p -> p)
+    else transform(__k, k -> array(k.a, k.b)) end)))"""
 
 
 def features(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
@@ -38,34 +51,15 @@ def features(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
         (F.length("__t") - F.length(F.translate("__t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         lines.alias("__l"),
         "__w",
-        _sorted_windows().alias("__s"),
+        F.expr("cast(ceil(log2(size(__w) + 1)) as int)").alias("__b"),
     )
-    rows = rows.select(*keep, "n_words", "word_chars", "n_symbols", (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"), _repeated().alias("__i"))
+    rows = rows.select(*keep, "n_words", "word_chars", "n_symbols", (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"), "__w", "__b", F.expr(WINDOWS).alias("__s"))
+    rows = rows.withColumn("__k", F.expr(NEIGHBOURS))
+    rows = rows.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", F.expr(REPEATED).alias("__i"))
     covered = F.expr("case when size(__i) > 0 then aggregate(sequence(1, size(__i)), 0L, (a, k) -> a + if(k = size(__i), 3, least(3, element_at(__i, k + 1) - element_at(__i, k)))) else 0L end")
     return rows.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"))
 
 
-def _sorted_windows() -> Column:
-    """Of each 3-word window hash and place, sorted; hash and place share one long where places are below PACKED."""
-    small = f"transform(sequence(1, size(__w) - 2), i -> (xxhash64(element_at(__w, i), element_at(__w, i + 1), element_at(__w, i + 2)) & {-PACKED}L) | cast(i as bigint))"
-    large = "transform(sequence(1, size(__w) - 2), i -> struct(xxhash64(element_at(__w, i), element_at(__w, i + 1), element_at(__w, i + 2)) as h, i as i))"
-    return F.expr(f"""named_struct(
-        'p', case when size(__w) >= 3 and size(__w) < {PACKED} then sort_array({small}) end,
-        'q', case when size(__w) >= {PACKED} then sort_array({large}) end)""")
-
-
-def _repeated() -> Column:
-    """Places of windows that are there twice or more, sorted; neighbours with equal hashes are compared word by word."""
-    same = "element_at(__w, {a}) = element_at(__w, {b}) and element_at(__w, {a} + 1) = element_at(__w, {b} + 1) and element_at(__w, {a} + 2) = element_at(__w, {b} + 2)"
-    a, b = f"cast(element_at(__s.p, k) & {PACKED - 1} as int)", f"cast(element_at(__s.p, k + 1) & {PACKED - 1} as int)"
-    small = f"filter(sequence(1, size(__s.p) - 1), k -> shiftright(element_at(__s.p, k), 16) = shiftright(element_at(__s.p, k + 1), 16) and {same.format(a=a, b=b)})"
-    small = f"transform({small}, k -> array({a}, {b}))"
-    a, b = "element_at(__s.q, k).i", "element_at(__s.q, k + 1).i"
-    large = f"filter(sequence(1, size(__s.q) - 1), k -> element_at(__s.q, k).h = element_at(__s.q, k + 1).h and {same.format(a=a, b=b)})"
-    large = f"transform({large}, k -> array({a}, {b}))"
-    return F.expr(f"sort_array(array_distinct(flatten(case when size(__s.p) > 1 then {small} when size(__s.q) > 1 then {large} end)))")
-
-
 def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 

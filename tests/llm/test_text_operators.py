@@ -554,3 +554,27 @@ def test_helpers():
     assert h(np.array([1]), np.array([4])) == h(np.array([5]), np.array([8]))
     packed = np.array([5, 6, 1 << 40, (1 << 63) + 7], np.uint64)
     assert (sufdedup.unpack(sufdedup.pack(packed)) == packed).all() and math.isclose(common.sigmoid(np.array(0.0)), 0.5)
+
+
+@pytest.mark.parametrize("more", [0, 66_000])
+def test_windows_of_one_hash_hide_no_repeat(spark, more):
+    """Two windows with the same leading bits of their hashes, one of them there twice: the repeat is found in short and in long texts."""
+    a, b = "a b w30697196", "a b w43741254"
+    filler = [f"f{k}" for k in range(180 + more)]
+    text = " ".join([a, *filler[:60], b, *filler[60:120], a, *filler[120:]])
+    got = {r["doc_id"]: r["n_repeat_words"] for r in hostrules.features(documents(spark, [text, text.replace(b, "x y z"), text.replace(a, "x y z", 1)]).withColumn("source", F.lit("s"))).collect()}
+    assert got == {0: 6, 1: 6, 2: 0}
+
+
+def test_windows_sorted_by_words(spark, monkeypatch):
+    """With hashes of one value for all windows, repeats are those of a count by words."""
+    monkeypatch.setattr(hostrules, "WINDOWS", hostrules.WINDOWS.replace("shiftleft(-1L, __b)) |", "0L) |"))
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices("abcdefgh", k=rng.randint(0, 40))) for _ in range(40)]
+    want = []
+    for t in texts:
+        w = t.split()
+        n = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        want.append(len({i + k for i in range(len(w) - 2) if n[tuple(w[i : i + 3])] > 1 for k in range(3)}))
+    got = hostrules.features(documents(spark, texts).withColumn("source", F.lit("s"))).orderBy("doc_id").collect()
+    assert [r["n_repeat_words"] for r in got] == want
