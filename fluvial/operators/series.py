@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .numbering import numbered
+from .ranges import Ranges
 
 #: Steps of regular series, as SQL intervals.
 STEPS = {
@@ -36,8 +37,25 @@ def seconds(ts: str) -> Column:
     return F.unix_date(F.to_date(ts)) * 86400.0 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.extract(F.lit("SECOND"), F.col(ts)).cast("double")
 
 
-def _over(keys: Sequence[str], ts: str = "ts"):
-    return Window.partitionBy(*keys).orderBy(ts)
+def _order(ts: str | Sequence[str]) -> list[str]:
+    return [ts] if isinstance(ts, str) else list(ts)
+
+
+def _over(keys: Sequence[str], ts: str | Sequence[str] = "ts"):
+    return Window.partitionBy(*keys).orderBy(*_order(ts))
+
+
+def framed(df: DataFrame, keys: Sequence[str], ts: str | Sequence[str], before: int = 0, after: int = 0):
+    """Rows with ``__i`` and ``__own``, and a window that sees ``before`` rows in front of each and ``after`` behind it: by key, or in ranges of all rows."""
+    if keys:
+        w = _over(keys, ts)
+        return df.withColumn("__i", F.row_number().over(w).cast("long")).withColumn("__own", F.lit(True)), w
+    ranges = Ranges(df, _order(ts))
+    return ranges.with_halo(before, after), ranges.window
+
+
+def _bare(rows: DataFrame) -> DataFrame:
+    return rows.drop("__i", "__own", "__part")
 
 
 def regular(spark, start: str, end: str, step: str, value: float | None = None) -> DataFrame:
@@ -124,28 +142,31 @@ def destandardize(z: Column, mean: Column | float, sd: Column | float) -> Column
     return z * sd + mean
 
 
-def moving(df: DataFrame, period: int, how: str = "avg", keys: Sequence[str] = (), least: int | None = None, v: str = "v", ts: str = "ts", out: str = "m") -> DataFrame:
+def moving(df: DataFrame, period: int, how: str = "avg", keys: Sequence[str] = (), least: int | None = None, v: str = "v", ts: str | Sequence[str] = "ts", out: str = "m") -> DataFrame:
     """Trailing window of ``period`` rows, from row ``period`` on; null with fewer than ``least`` values (default: all)."""
-    w = _over(keys, ts)
+    rows, w = framed(df, keys, ts, before=period - 1)
     frame = w.rowsBetween(-(period - 1), 0)
     x = present(v)
     value = {"avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max}[how](x).over(frame)
     gated = F.when(F.count(x).over(frame) >= (period if least is None else least), value)
-    return df.select("*", gated.alias(out), F.row_number().over(w).alias("__i")).where(F.col("__i") >= period).drop("__i")
+    return _bare(rows.select("*", gated.alias(out)).where((F.col("__i") >= period) & F.col("__own")))
 
 
-def cumulative(df: DataFrame, keys: Sequence[str] = (), v: str = "v", ts: str = "ts", out: str = "total") -> DataFrame:
+def cumulative(df: DataFrame, keys: Sequence[str] = (), v: str = "v", ts: str | Sequence[str] = "ts", out: str = "total") -> DataFrame:
     """Running sum; missing values carry the total on."""
-    return df.withColumn(out, F.sum(F.coalesce(present(v), F.lit(0.0))).over(_over(keys, ts).rowsBetween(Window.unboundedPreceding, 0)))
+    x = F.coalesce(present(v), F.lit(0.0))
+    if not keys:
+        return _bare(Ranges(df, _order(ts)).running_sum(x, out))
+    return df.withColumn(out, F.sum(x).over(_over(keys, ts).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def difference(df: DataFrame, lag: int = 1, times: int = 1, keys: Sequence[str] = (), v: str = "v", ts: str = "ts", out: str = "d") -> DataFrame:
+def difference(df: DataFrame, lag: int = 1, times: int = 1, keys: Sequence[str] = (), v: str = "v", ts: str | Sequence[str] = "ts", out: str = "d") -> DataFrame:
     """Lagged difference, ``times`` over; the first rows, without a partner, are left out."""
-    cur = df.withColumn(out, F.col(v))
+    rows, w = framed(df, keys, ts, before=lag * times)
+    rows = rows.withColumn(out, F.col(v))
     for _ in range(times):
-        w = _over(keys, ts)
-        cur = cur.withColumn("__i", F.row_number().over(w)).withColumn(out, F.col(out) - F.lag(out, lag).over(w)).where(F.col("__i") > lag).drop("__i")
-    return cur
+        rows = rows.withColumn(out, F.col(out) - F.lag(out, lag).over(w))
+    return _bare(rows.where((F.col("__i") > lag * times) & F.col("__own")))
 
 
 def block(df: DataFrame, unit: str = "month", how: str = "sum", keys: Sequence[str] = (), v: str = "v", ts: str = "ts", out: str = "b") -> DataFrame:
@@ -186,13 +207,18 @@ def interpolate(df: DataFrame, most: int, keys: Sequence[str] = (), v: str = "v"
     two rows before it, if those have values or were filled.
     """
     x = present(v)
-    w = _over(keys, ts)
-    df = df.withColumn("__i", F.row_number().over(w)).withColumn("__s", seconds(ts)).withColumn("__n", F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    df = df.withColumn("__k", F.when(x.isNotNull(), F.struct(F.col("__i").alias("i"), F.col("__s").alias("s"), x.alias("v"))))
-    df = df.withColumn("__p", F.last("__k", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    df = df.withColumn("__q", F.first("__k", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    df = df.withColumn("__o", F.when(x.isNotNull(), F.last("__k", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))))
-    df = df.withColumn("__o", F.last("__o", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    known = F.when(x.isNotNull(), F.struct(F.col("__i").alias("i"), F.col("__s").alias("s"), x.alias("v")))
+    df = df.withColumn("__s", seconds(ts))
+    if keys:
+        w = _over(keys, ts)
+        back = w.rowsBetween(Window.unboundedPreceding, 0)
+        df = df.withColumn("__i", F.row_number().over(w).cast("long")).withColumn("__n", F.count("*").over(Window.partitionBy(*keys))).withColumn("__k", known)
+        df = df.withColumns({"__p": F.last("__k", ignorenulls=True).over(back), "__q": F.first("__k", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+        df = df.withColumn("__o", F.when(x.isNotNull(), F.last("__k", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))))
+        df = df.withColumn("__o", F.last("__o", ignorenulls=True).over(back)).drop("__k")
+    else:
+        ranges = Ranges(df, [ts])
+        df = ranges.around(known, "__p", "__o", "__q").withColumn("__n", F.lit(ranges.total))
     s = F.col("__s")
     slope = lambda a, b: F.try_divide(F.col(f"{b}.v") - F.col(f"{a}.v"), F.col(f"{b}.s") - F.col(f"{a}.s"))
     inner = F.col("__p.v") + slope("__p", "__q") * (s - F.col("__p.s"))
@@ -200,13 +226,13 @@ def interpolate(df: DataFrame, most: int, keys: Sequence[str] = (), v: str = "v"
     whole = F.col("__q.i") - F.col("__p.i") - 1 <= most
     last = F.col("__q.i").isNull() & (F.col("__n") - F.col("__p.i") <= most + 1) & (F.col("__p.i") - F.col("__o.i") - 1 <= most)
     value = F.when(x.isNotNull(), x).when(whole, inner).when(last, outer)
-    return df.withColumn(out, value).drop("__i", "__s", "__n", "__k", "__p", "__q", "__o")
+    return _bare(df.withColumn(out, value).drop("__s", "__n", "__p", "__q", "__o"))
 
 
 def resample(df: DataFrame, rows: int, how: str = "avg", keys: Sequence[str] = (), v: str = "v", ts: str = "ts", out: str = "r") -> DataFrame:
     """Coarser steps: blocks of ``rows`` ordinates by position."""
     x = present(v)
-    df = df.withColumn("__b", F.floor((F.row_number().over(_over(keys, ts)) - 1) / rows))
+    df = framed(df, keys, ts)[0].withColumn("__b", F.floor((F.col("__i") - 1) / rows))
     return df.groupBy(*keys, "__b").agg(F.min(ts).alias(ts), (F.avg(x) if how == "avg" else F.sum(x)).alias(out)).drop("__b")
 
 
@@ -214,8 +240,8 @@ def refine(df: DataFrame, old: str, new: str, how: str = "avg", keys: Sequence[s
     """Finer steps of a regular series: avg interpolates linearly, sum splits each value over the new steps until the next ordinate."""
     hours = HOURS[old], HOURS[new]
     parts = int(round(hours[0] / hours[1]))
-    w = _over(keys, ts)
-    rows = df.withColumn("__v", present(v)).withColumn("__next", F.lead(present(v)).over(w)).withColumn("__last", F.lead(ts).over(w).isNull())
+    rows, w = framed(df, keys, ts, after=1)
+    rows = rows.withColumn("__v", present(v)).withColumn("__next", F.lead(present(v)).over(w)).withColumn("__last", F.lead(ts).over(w).isNull()).where("__own")
     steps = F.when(F.col("__last"), F.lit(1)).otherwise(F.lit(parts))
     rows = rows.select(*keys, F.col(ts).alias("__ts"), "__v", "__next", F.explode(F.sequence(F.lit(0), steps - 1)).alias("__k"))
     value = F.when(F.col("__k") == 0, F.col("__v")).otherwise(F.col("__v") + (F.col("__next") - F.col("__v")) * F.col("__k") / parts) if how == "avg" else F.col("__v") / parts
@@ -268,13 +294,19 @@ def peaks_over(df: DataFrame, threshold: float, steps: int, keys: Sequence[str],
     return over.groupBy(*keys).applyInPandas(walk, schema)
 
 
-def autocovariance(df: DataFrame, lags: int, keys: Sequence[str] = (), v: str = "v", ts: str = "ts") -> DataFrame:
+def autocovariance(df: DataFrame, lags: int, keys: Sequence[str] = (), v: str = "v", ts: str | Sequence[str] = "ts") -> DataFrame:
     """Lag, autocovariance (divided by n) and autocorrelation."""
-    stats = df.groupBy(*keys).agg(F.avg(v).alias("__m"), F.count(v).alias("__n"))
-    joined = df.join(stats, list(keys)) if keys else df.join(F.broadcast(stats), F.lit(True))
-    w = _over(keys, ts)
-    dev = joined.withColumn("__d", F.col(v) - F.col("__m"))
-    pairs = dev.select(*keys, "__n", "__d", *(F.lag("__d", k).over(w).alias(f"__l{k}") for k in range(1, lags + 1)))
-    sums = pairs.groupBy(*keys).agg(F.first("__n").alias("__n"), F.sum(F.col("__d") * F.col("__d")).alias("__s0"), *(F.sum(F.col("__d") * F.col(f"__l{k}")).alias(f"__s{k}") for k in range(1, lags + 1)))
-    stacked = sums.select(*keys, "__n", "__s0", F.posexplode(F.array(*(F.col(f"__s{k}") for k in range(lags + 1)))).alias("lag", "__s"))
-    return stacked.select(*keys, "lag", (F.col("__s") / F.col("__n")).alias("acvf"), (F.col("__s") / F.col("__s0")).alias("acf"))
+    rows, w = framed(df, keys, ts, before=lags)
+    if keys:
+        rows = rows.join(df.groupBy(*keys).agg(F.avg(v).alias("__m"), F.count(v).alias("__n")), list(keys))
+    else:
+        parts = rows.where("__own").groupBy("__part").agg(F.sum(v).alias("s"), F.count(v).alias("n")).collect()  # a row for each range
+        n = sum(r["n"] for r in parts)
+        rows = rows.withColumns({"__m": F.lit(sum(float(r["s"]) for r in parts if r["n"]) / n if n else None).cast("double"), "__n": F.lit(n)})
+    dev = rows.withColumn("__d", F.col(v) - F.col("__m"))
+    products = F.array(*(F.col("__d") * (F.lag("__d", k).over(w) if k else F.col("__d")) for k in range(lags + 1)))
+    pairs = dev.select(*keys, "__n", "__own", products.alias("__x")).where("__own").select(*keys, "__n", F.posexplode("__x").alias("lag", "__x"))
+    sums = pairs.groupBy(*keys, "lag").agg(F.first("__n").alias("__n"), F.sum("__x").alias("__s"))
+    whole = sums.where("lag = 0").select(*keys, F.col("__s").alias("__s0"))
+    both = sums.join(whole, list(keys)) if keys else sums.join(F.broadcast(whole), F.lit(True))  # one row
+    return both.select(*keys, "lag", (F.col("__s") / F.col("__n")).alias("acvf"), F.try_divide("__s", "__s0").alias("acf"))

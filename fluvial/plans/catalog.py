@@ -341,4 +341,4 @@ def set_operations(spark, d):
     return c.union(table(spark, d, "supplier").where("s_acctbal < 0").select("s_suppkey")).distinct()
 
 
-from . import frames, kernels, models  # noqa: E402,F401  (add their queries)
+from . import frames, kernels, large, models  # noqa: E402,F401  (add their queries)
