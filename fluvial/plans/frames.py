@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import distributions as D
 from ..functions import scalars as X
-from ..operators import curves, learning, numbering, powers, relational, sampling, sequences, series, stats
+from ..operators import curves, learning, numbering, powers, relational, sampling, sequences, series, stats, trees
 from ..sources import stations, tables
 from ..streaming import windows
 from .registry import query, rows_of, table
@@ -663,11 +663,10 @@ def natural_breaks_in_two(spark, d):
 
 @query("with g as (select p_size * 1.0 v, count(*) n, sum(p_retailprice) s, sum(p_retailprice ** 2) q from part group by 1)" + _SPLIT + ", w as (select (v + nv) / 2 cut, cs / cn low, (ts - cs) / (tn - cn) high from b order by loss limit 1) select p_partkey, round(case when p_size <= cut then low else high end, 4) predicted from part, w")
 def regression_stump(spark, d):
-    """A tree of one split; grown from all rows, which the driver collects."""
+    """A tree of one split of all rows."""
     part = table(spark, d, "part").where("p_size is not null and p_retailprice is not null")
-    a = part.orderBy("p_partkey").select(F.col("p_size").cast("double"), "p_retailprice").toPandas().to_numpy(float)
-    tree = learning.grow_tree(a[:, :1], a[:, 1], np.random.default_rng(1), depth=1)
-    return part.select("p_partkey", F.round(F.when(F.col("p_size") <= tree.cut, tree.left.value).otherwise(tree.right.value), 4).alias("predicted"))
+    tree = trees.grow(part, "p_retailprice", ["p_size"], ["p_partkey"], depth=1)
+    return part.select("p_partkey", F.round(tree.expression(), 4).alias("predicted"))
 
 
 @query("select 'kmeans' what, true as centred, true as complete, 3 as parts union all select 'mixture', true, true, 3 union all select 'tree', true, true, 3")

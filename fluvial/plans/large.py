@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import series
+from ..operators import series, trees
 from .registry import query, table
 
 # --- windows over all rows ----------------------------------------------------------
@@ -62,3 +62,30 @@ def interpolate_all_hours(spark, d):
 @query(_ALL_HOURS + "select ts0 ts, r from (select floor((i - 1) / 24) b, min(ts) ts0, sum(v) r from (select *, row_number() over (order by ts) i from x) group by 1)")
 def resample_all_hours(spark, d):
     return series.resample(hours(spark, d), 24, "sum")
+
+
+# --- trees --------------------------------------------------------------------------
+
+#: Features of a line's price, and the depth of its tree.
+FEATURES, DEPTH = ["l_quantity", "l_discount", "l_tax"], 3
+
+
+def _tree_sql() -> str:
+    """The tree grown a level at a time: of each node the threshold that leaves least squares."""
+    steps = [f"r0 as (select row_number() over () id, 0 node, l_extendedprice y, [{', '.join(FEATURES)}] x from lineitem)"]
+    for k in range(DEPTH):
+        steps += [
+            f"g{k} as (select node, f, x[f] v, count(*) n, sum(y) s from r{k}, range(1, {len(FEATURES) + 1}) t(f) group by all)",
+            f"c{k} as (select node, f, v, sum(n) over w n, sum(s) over w s, sum(n) over p tn, sum(s) over p ts, lead(v) over w nv from g{k} window w as (partition by node, f order by v), p as (partition by node, f))",
+            f"b{k} as (select node, arg_max((f, (v + nv) / 2), s * s / n + (ts - s) * (ts - s) / (tn - n)) b from c{k} where nv is not null group by node)",
+            f"r{k + 1} as materialized (select id, case when b.b is null then r.node when x[b.b[1]] <= b.b[2] then 2 * r.node + 1 else 2 * r.node + 2 end node, y, x from r{k} r left join b{k} b on b.node = r.node)",
+        ]
+    return "with " + ",\n".join(steps) + f"\nselect count(*) n, round(avg(y), 2) predicted from r{DEPTH} group by node"
+
+
+@query(_tree_sql())
+def regression_tree_of_lines(spark, d):
+    """A tree of three levels on all line items: rows of each leaf, and what it predicts."""
+    rows = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_extendedprice", *FEATURES)
+    tree = trees.grow(rows, "l_extendedprice", FEATURES, ["l_orderkey", "l_linenumber"], depth=DEPTH)
+    return rows.groupBy(F.round(tree.expression(), 2).alias("predicted")).agg(F.count("*").alias("n"))

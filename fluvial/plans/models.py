@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import distributions as D
-from ..operators import curves, learning, sampling, stats
+from ..operators import curves, learning, sampling, stats, trees
 from ..sources import tables
 from .kernels import _PHI
 from .registry import query, table
@@ -107,14 +107,10 @@ def natural_breaks_of_sizes(spark, d):
 
 @query()
 def random_forest_intervals(spark, d):
-    """Intervals of every part's price by its size; the forest is fitted on all rows, which the driver collects."""
+    """Intervals of every part's price by its size, from a forest fitted on all parts."""
     part = table(spark, d, "part", "p_partkey", "p_size", "p_retailprice")
-    p = part.where("p_size is not null and p_retailprice is not null").orderBy("p_partkey").select(F.col("p_size").cast("double"), F.col("p_retailprice").cast("double")).toPandas().to_numpy(float)
-    sizes = np.unique(p[:, 0])  # parts of one size share their intervals
-    found = learning.forest(spark, p[:, :1], p[:, 1], sizes[:, None])
-    names = spark.createDataFrame([(i, float(v)) for i, v in enumerate(sizes)], "row long, size double")
-    found = F.broadcast(found.join(F.broadcast(names), "row").drop("row"))
-    return part.join(found, F.col("p_size") == F.col("size"), "left").select("p_partkey", "p_size", "lower", "median", "upper", "mean", "mode")
+    forest = trees.grow(part, "p_retailprice", ["p_size"], ["p_partkey"], depth=6, trees=200, bag=1)
+    return trees.forest_intervals(part.withColumn("size", F.col("p_size")), forest, ["p_partkey", "size"]).withColumnRenamed("size", "p_size")
 
 
 @query()
