@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import series, trees
+from ..operators import likelihood, series, trees
 from .registry import query, table
 
 # --- windows over all rows ----------------------------------------------------------
@@ -89,3 +89,41 @@ def regression_tree_of_lines(spark, d):
     rows = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_extendedprice", *FEATURES)
     tree = trees.grow(rows, "l_extendedprice", FEATURES, ["l_orderkey", "l_linenumber"], depth=DEPTH)
     return rows.groupBy(F.round(tree.expression(), 2).alias("predicted")).agg(F.count("*").alias("n"))
+
+
+# --- likelihood ---------------------------------------------------------------------
+
+
+def _gumbel_sql(source: str, key: str, rounds: int = 12) -> str:
+    """Newton steps for the scale b of mean - b - sum(x w) / sum(w) = 0 with w = exp(-x / b)."""
+    steps = [f"x as (select {key} k, x from {source})", "m as (select k, count(*) n, avg(x) m, stddev_pop(x) * 0.78 b from x group by k)", "b0 as (select k, n, m, b from m)"]
+    for r in range(rounds):
+        steps.append(f"s{r} as (select k, any_value(n) n, any_value(m) m, any_value(b) b, sum(exp((m - x) / b)) s, sum(x * exp((m - x) / b)) sx, sum(x * x * exp((m - x) / b)) sxx from x join b{r} using (k) group by k)")
+        steps.append(f"b{r + 1} as materialized (select k, n, m, b - (b - m + sx / s) / (1 + (sxx / s - (sx / s) ** 2) / (b * b)) b from s{r})")
+    return "with " + ",\n".join(steps) + f"\nselect k {key}, round(m - ln(s / n) * b, 1) xi, round(b, 1) alpha, n, true as converged from (select k, any_value(n) n, any_value(m) m, any_value(b) b, sum(exp((m - x) / b)) s from x join b{rounds} using (k) group by k)"
+
+
+def _weibull_sql(source: str, rounds: int = 12) -> str:
+    """Newton steps for the shape c of sum(x^c ln x) / sum(x^c) - 1 / c = mean(ln x)."""
+    steps = [f"x as (select x, ln(x) l from {source})", "c0 as (select 1.2 c, avg(l) m from x)"]
+    for r in range(rounds):
+        steps.append(f"c{r + 1} as materialized (select c - (b / a - 1 / c - m) / (d / a - (b / a) ** 2 + 1 / (c * c)) c, m from (select any_value(c) c, any_value(m) m, sum(exp(c * (l - m))) a, sum(l * exp(c * (l - m))) b, sum(l * l * exp(c * (l - m))) d from x, c{r}))")
+    return "with " + ",\n".join(steps) + f"\nselect round(exp(m) * avg(exp(c * (l - m))) ** (1 / c), 0) as scale, round(c, 4) as shape, count(*) n, true as converged from x, c{rounds} group by c, m"
+
+
+@query(_gumbel_sql("(select c_mktsegment, c_acctbal + 2000 x from customer)", "c_mktsegment"))
+def gumbel_likelihood_by_segment(spark, d):
+    fits = likelihood.fit(table(spark, d, "customer", "c_mktsegment", (F.col("c_acctbal") + 2000).alias("v")), "v", ["c_mktsegment"], "gumbel")
+    return fits.select("c_mktsegment", F.round(F.col("params")[0], 1).alias("xi"), F.round(F.col("params")[1], 1).alias("alpha"), "n", "converged")
+
+
+@query(_weibull_sql("(select o_totalprice x from orders where o_totalprice > 0)"))
+def weibull_likelihood_of_all_orders(spark, d):
+    fits = likelihood.fit(table(spark, d, "orders", "o_totalprice").where("o_totalprice > 0"), "o_totalprice", [], "weibull")
+    return fits.select(F.round(F.col("params")[0], 0).alias("scale"), F.round(F.col("params")[1], 4).alias("shape"), "n", "converged")
+
+
+@query("select l_returnflag, round(min(l_extendedprice), 2) as start, round(avg(l_extendedprice) - min(l_extendedprice), 2) as scale, round(-count(*) * (ln(avg(l_extendedprice) - min(l_extendedprice)) + 1), 0) loglik, count(*) n from lineitem group by 1")
+def exponential_likelihood_by_flag(spark, d):
+    fits = likelihood.fit(table(spark, d, "lineitem", "l_returnflag", "l_extendedprice"), "l_extendedprice", ["l_returnflag"], "exponential")
+    return fits.select("l_returnflag", F.round(F.col("params")[0], 2).alias("start"), F.round(F.col("params")[1], 2).alias("scale"), F.round("loglik", 0).alias("loglik"), "n")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import distributions as D
-from ..operators import curves, learning, sampling, stats, trees
+from ..operators import curves, learning, likelihood, sampling, stats, trees
 from ..sources import tables
 from .kernels import _PHI
 from .registry import query, table
@@ -62,12 +62,12 @@ def normal_quantiles_round_trip(spark, d):
 @query()
 def maximum_likelihood_fits(spark, d):
     o = table(spark, d, "customer", "c_mktsegment", (F.col("c_acctbal") + 2000).alias("v"))
-    return D.fit_groups(o, "v", ["c_mktsegment"], "gumbel")
+    return likelihood.fit(o, "v", ["c_mktsegment"], "gumbel").drop("converged")
 
 
 @query("select c_mktsegment, round(avg(c_acctbal), 0) mu, round(stddev_pop(c_acctbal), 0) sigma, count(*) n from customer group by 1")
 def normal_likelihood_fits(spark, d):
-    fits = D.fit_groups(table(spark, d, "customer", "c_mktsegment", F.col("c_acctbal").alias("v")), "v", ["c_mktsegment"], "normal")
+    fits = likelihood.fit(table(spark, d, "customer", "c_mktsegment", F.col("c_acctbal").alias("v")), "v", ["c_mktsegment"], "normal")
     return fits.select("c_mktsegment", F.round(F.element_at("params", 1), 0).alias("mu"), F.round(F.element_at("params", 2), 0).alias("sigma"), "n")
 
 
