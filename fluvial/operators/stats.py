@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from . import pairs
 from .numbering import average_ranks, numbered
+from .pairs import inversions
 
 
 def describe(df: DataFrame, v: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -59,25 +61,8 @@ def correlations(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> Dat
     return ranked.groupBy(*keys).agg(F.corr(a, b).alias("pearson"), F.corr("__ra", "__rb").alias("spearman"), F.covar_samp(a, b).alias("cov"), F.covar_pop(a, b).alias("pop_cov"))
 
 
-def inversions(y: np.ndarray) -> int:
-    """Pairs i < j with y[i] > y[j], by merging sorted blocks of doubling size: n log(n)**2 steps."""
-    r = np.unique(y, return_inverse=True)[1].astype(np.int64)
-    n, top, found, width = len(r), int(r.max(initial=0)) + 1, 0, 1
-    place = np.arange(n)
-    while width < n:
-        block = place // (2 * width)
-        left = place % (2 * width) < width
-        key = block * top + r  # blocks one behind another, each sorted by value
-        right = key[~left]
-        own = np.sort(key[left])
-        after = np.searchsorted(own, (block[~left] + 1) * top) - np.searchsorted(own, right, "right")
-        found += int(after.sum())
-        width *= 2
-    return found
-
-
 def concordance(x: np.ndarray, y: np.ndarray) -> tuple[int, int, int]:
-    """Concordant less discordant pairs, and the pairs without a tie in x and in y."""
+    """Of two arrays the concordant less discordant pairs, and the pairs without a tie in x and in y."""
     order = np.lexsort((y, x))
     x, y = x[order], y[order]
     tied = lambda a: int(sum(c * (c - 1) // 2 for c in np.unique(a, axis=0, return_counts=True)[1].tolist()))
@@ -87,16 +72,25 @@ def concordance(x: np.ndarray, y: np.ndarray) -> tuple[int, int, int]:
     return total - tx - ty + both - 2 * swapped, total - tx, total - ty
 
 
-def kendall(df: DataFrame, a: str, b: str, keys: Sequence[str], order: str | None = None) -> DataFrame:
-    """Kendall's tau-b by key: inversions counted by merging, in n log(n)**2 steps; a key's pairs of numbers are in one task. Rows with a null are left out."""
-    schema = ", ".join(f"`{k}` {t}" for k, t in df.select(*keys).dtypes) + ", tau double"
+def _sums(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Tables of one figure a key side by side: an aggregate and no join, so null keys stay."""
+    names = [next(c for c in p.columns if c not in keys) for p in parts]
+    out = None
+    for part, own in zip(parts, names, strict=True):
+        row = part.select(*keys, *(F.col(c) if c == own else F.lit(None).cast("decimal(38, 0)").alias(c) for c in names))
+        out = row if out is None else out.unionByName(row)
+    return out.groupBy(*keys).agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(c) for c in names))
 
-    def one(key, pdf):
-        s, na, nb = concordance(pdf["__a"].to_numpy(), pdf["__b"].to_numpy())
-        return pd.DataFrame([[*key, s / math.sqrt(na * nb) if na and nb else None]], columns=[*keys, "tau"])
 
-    rows = df.select(*keys, F.col(a).cast("double").alias("__a"), F.col(b).cast("double").alias("__b")).dropna(subset=["__a", "__b"])
-    return rows.groupBy(*keys).applyInPandas(one, schema)
+def kendall(df: DataFrame, a: str, b: str, keys: Sequence[str] = (), order: str | None = None) -> DataFrame:
+    """Kendall's tau-b by key (or of all rows) from counts of swapped and of tied pairs; null where either column has one value only. Rows with a null or NaN are left out."""
+    keys = list(keys) or ["__all"]
+    rows = df.withColumn("__all", F.lit(0)) if keys == ["__all"] else df
+    rows = rows.select(*keys, F.col(a).cast("double").alias("__a"), F.col(b).cast("double").alias("__b")).dropna(subset=["__a", "__b"])
+    s = _sums([pairs.tied(rows, [], keys, "all"), pairs.tied(rows, ["__a"], keys, "ta"), pairs.tied(rows, ["__b"], keys, "tb"), pairs.tied(rows, ["__a", "__b"], keys, "both"), pairs.swapped(rows, ["__a"], "__b", keys)], keys)
+    c = F.col
+    tau = F.try_divide(c("all") - c("ta") - c("tb") + c("both") - 2 * c("swapped"), F.sqrt((c("all") - c("ta")) * (c("all") - c("tb"))))
+    return s.select(*(k for k in keys if k != "__all"), tau.alias("tau"))
 
 
 def histogram(df: DataFrame, v: str, bins: int | None = None) -> DataFrame:
@@ -192,22 +186,19 @@ def mann_whitney(df: DataFrame, v: str, first: Column, keys: Sequence[str] = ())
     return s.select(*keys, "n1", "n2", "u", z.alias("z"), (2 * (1 - C.normal_cdf(F.abs(z)))).alias("p"))
 
 
-def mann_kendall(df: DataFrame, v: str, order: str, keys: Sequence[str]) -> DataFrame:
-    """S (by merging, a key's numbers in one task), tie-corrected variance, z and p."""
-    schema = ", ".join(f"`{k}` {t}" for k, t in df.select(*keys).dtypes) + ", s double"
-
-    def one(key, pdf):
-        pdf = pdf.sort_values("__i", kind="stable")
-        y = pdf["__v"].to_numpy()
-        ties = sum(c * (c - 1) // 2 for c in np.unique(y, return_counts=True)[1].tolist())
-        return pd.DataFrame([[*key, float(len(y) * (len(y) - 1) // 2 - ties - 2 * inversions(y))]], columns=[*keys, "s"])
-
-    s = df.select(*keys, F.col(order).alias("__i"), F.col(v).cast("double").alias("__v")).dropna(subset=["__v"]).groupBy(*keys).applyInPandas(one, schema)
-    t = df.groupBy(*keys, v).agg(F.count("*").cast("double").alias("t")).groupBy(*keys).agg(F.sum("t").alias("n"), F.sum(F.col("t") * (F.col("t") - 1) * (2 * F.col("t") + 5)).alias("c"))
+def mann_kendall(df: DataFrame, v: str, order: str, keys: Sequence[str] = ()) -> DataFrame:
+    """S from the counts of swapped and of tied pairs, tie-corrected variance, z and p; by key or of all rows."""
+    keys = list(keys) or ["__all"]
+    rows = df.withColumn("__all", F.lit(0)) if keys == ["__all"] else df
+    rows = rows.select(*keys, F.col(order).alias("__o"), F.col(v).cast("double").alias("__v")).dropna(subset=["__v"])
+    t = F.col("t").cast("decimal(19, 0)")
+    ties = rows.groupBy(*keys, "__v").agg(F.count("*").alias("t"))
+    sums = [ties.groupBy(*keys).agg(F.sum(t).cast("decimal(38, 0)").alias("n")), ties.groupBy(*keys).agg(F.sum((F.col("t").cast("double") * (F.col("t") - 1) * (2 * F.col("t") + 5)).cast("decimal(38, 0)")).cast("decimal(38, 0)").alias("c"))]
+    s = _sums([*sums, pairs.tied(rows, [], keys, "all"), pairs.tied(rows, ["__v"], keys, "tied"), pairs.swapped(rows, ["__o"], "__v", keys)], keys)
     n = F.col("n")
-    r = s.join(t, list(keys)).where("n > 1").withColumn("var_s", (n * (n - 1) * (2 * n + 5) - F.col("c")) / 18)
+    r = s.where("n > 1").select(*(k for k in keys if k != "__all"), (F.col("all") - F.col("tied") - 2 * F.col("swapped")).alias("s"), ((n * (n - 1) * (2 * n + 5) - F.col("c")) / 18).alias("var_s"))
     z = F.try_divide(F.col("s") - F.signum("s"), F.sqrt("var_s"))
-    return r.select(*keys, "s", "var_s", z.alias("z"), (2 * (1 - C.normal_cdf(F.abs(z)))).alias("p"))
+    return r.withColumn("z", z).withColumn("p", 2 * (1 - C.normal_cdf(F.abs("z"))))
 
 
 def linear_trend(df: DataFrame, v: str, x: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import likelihood, series, trees
+from ..operators import likelihood, series, stats, trees
 from .registry import query, table
 
 # --- windows over all rows ----------------------------------------------------------
@@ -127,3 +127,19 @@ def weibull_likelihood_of_all_orders(spark, d):
 def exponential_likelihood_by_flag(spark, d):
     fits = likelihood.fit(table(spark, d, "lineitem", "l_returnflag", "l_extendedprice"), "l_extendedprice", ["l_returnflag"], "exponential")
     return fits.select("l_returnflag", F.round(F.col("params")[0], 2).alias("start"), F.round(F.col("params")[1], 2).alias("scale"), F.round("loglik", 0).alias("loglik"), "n")
+
+
+# --- counts over pairs ----------------------------------------------------------------
+
+
+@query("""with p as (select sign(a.o_totalprice - b.o_totalprice) x, sign(a.o_custkey - b.o_custkey) y from orders a join orders b on a.o_orderkey < b.o_orderkey)
+select round(sum(x * y) / sqrt(sum(abs(x)) * sum(abs(y))), 9) tau from p""")
+def kendall_of_all_orders(spark, d):
+    return stats.kendall(table(spark, d, "orders", "o_totalprice", "o_custkey"), "o_totalprice", "o_custkey").select(F.round("tau", 9).alias("tau"))
+
+
+@query("""with x as (select o_orderkey i, floor(o_totalprice / 1000) v from orders), s as (select sum(sign(b.v - a.v)) s from x a join x b on a.i < b.i), t as (select sum(t) n, sum(t * (t - 1) * (2 * t + 5)) c from (select v, count(*) t from x group by 1))
+select s, (n * (n - 1) * (2 * n + 5) - c) / 18.0 var_s, (s - sign(s)) / sqrt((n * (n - 1) * (2 * n + 5) - c) / 18.0) z from s, t""")
+def mann_kendall_of_all_orders(spark, d):
+    o = table(spark, d, "orders", "o_orderkey", F.floor(F.col("o_totalprice") / 1000).alias("v"))
+    return stats.mann_kendall(o, "v", "o_orderkey").drop("p")
