@@ -4,19 +4,26 @@ A document is the set of its distinct word shingles; documents whose sets have
 a Jaccard similarity of at least ``percent`` / 100 are linked, and groups are
 the connected components of links.
 
-Documents with equal sets form one class, and one of each class goes on. Each
-of ``TREES`` independent trees puts a class in the node of its first ``FIRST``
-minwise tokens. All classes of a node are compared by sketches, whatever its
-size: a node of more than ``BLOCK`` classes is split into blocks, and each pair
-of blocks is compared for itself, wherever it lies. Pairs that may be similar
-enough are confirmed on full sets: first a spanning forest of each node; then,
-with the groups found so far, the best pairs of each class that still join two
-groups; at last all such pairs. Those are compared inside the node by the
-``HELD`` least hashes of both sets, which decide for sets of up to so many
+Documents with equal sets form one class, and one of each class goes on. In
+each of ``TREES`` independent trees a class goes down from the root: at each
+level it chooses ``CHOSEN`` minwise tokens of its set and enters the child of
+each, so a pair of similarity s stays together with a chance of 1 - (1 - s)^2
+a level. A node is branched on while it has more than ``SMALL`` classes and
+keeps shrinking; boilerplate that many documents share thins out this way. All
+classes of a small node are compared by sketches. A node that no longer shrinks
+(``STAYS``) holds near copies: it is cut into blocks of ``BLOCK`` classes, each
+compared inside itself and with ``HEADS`` representatives of the node, which
+joins what is alike at a cost that grows with its size and not with its
+square. Pairs that may be similar enough are confirmed on full sets: first a
+spanning forest of each node or block; then, with the groups found so far,
+pairs that still join two groups of a node: the best of each class, and at last
+all. In those rounds the classes of a node's largest group are compared with
+the others only, and nodes of one group not at all. The last round compares by
+the ``HELD`` least hashes of both sets, which decide for sets of up to so many
 shingles and leave few pairs of larger ones to be confirmed, so that classes
 that are much alike, and not enough, make no rows.
 
-Edge cases: null, empty and wordless texts have an empty set and are linked
+Ids are whole numbers. Edge cases: null, empty and wordless texts have an empty set and are linked
 with nothing; a text of fewer words than a shingle is one shingle; rows with a
 null id are linked with nothing, have no component and are kept. Repeated rows
 with one id share its component; different texts under one id count as one
@@ -32,8 +39,12 @@ from pyspark.sql import functions as F
 
 from .common import discard, flat_utf8, materialise, mixed, partitions, slices, word_hashes
 
-#: Trees, minwise values of each tree in a sketch, those that make a node, and the classes of a node that are one block.
-TREES, LEVELS, FIRST, BLOCK = 8, 12, 2, 1024
+#: Trees, levels of each, and tokens that a class chooses at each level. A pair at 0.80 that goes down all levels is together at the end of one of the trees with a chance of 1 - (1 - 0.96^8)^5 = 0.998, one that stops after three with 0.99998.
+TREES, LEVELS, CHOSEN = 5, 8, 2
+#: Minwise values of a sketch, in order of tree, level and choice.
+VALUES = TREES * LEVELS * CHOSEN
+#: Classes of a node that is not branched on, the share of its parent from which on a node no longer shrinks, the classes of one block, and the representatives of a node of several.
+SMALL, STAYS, BLOCK, HEADS = 64, 0.7, 1024, 64
 #: Pairs of each class and node that are confirmed before all others are.
 SOME = 3
 #: Hashes of a set that are sent to its nodes in the last round.
@@ -42,8 +53,8 @@ HELD = 512
 DEVIATIONS = 5
 
 _rng = np.random.default_rng(20)
-SEEDS = _rng.integers(0, 1 << 63, TREES * LEVELS, dtype=np.uint64)
-MULTIPLIERS = _rng.integers(0, 1 << 63, TREES * LEVELS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SEEDS = _rng.integers(0, 1 << 63, VALUES, dtype=np.uint64)
+MULTIPLIERS = _rng.integers(0, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(col: pa.Array, size: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -94,11 +105,11 @@ def signatures(docs: DataFrame, text: str = "text", key: str = "doc_id", size: i
                 full = np.flatnonzero(n)
                 at = off[:-1][full]
                 sums = np.zeros((2, y - x), np.uint64)
-                sig = np.zeros((y - x, TREES * LEVELS), ">u4")
+                sig = np.zeros((y - x, VALUES), ">u4")
                 if len(full):
                     sums[0, full] = np.add.reduceat(s, at)
                     sums[1, full] = np.add.reduceat(mixed(s), at)
-                    for f in range(TREES * LEVELS):
+                    for f in range(VALUES):
                         sig[full, f] = np.minimum.reduceat(((s ^ SEEDS[f]) * MULTIPLIERS[f] >> np.uint64(32)).astype(np.uint32), at)
                 yield pa.RecordBatch.from_arrays([batch.column("key").slice(x, y - x), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array([v.tobytes() for v in sig], pa.binary())], names=["key", "n", "s1", "s2", "sig"])
 
@@ -120,10 +131,10 @@ def full_sets(docs: DataFrame, wanted: DataFrame, text: str, key: str, size: int
     return rows.mapInArrow(run, "key long, items binary")
 
 
-def least_share(percent: int) -> float:
-    """The share of equal sketch values below which a pair is left."""
+def least_share(percent: int, deviations: float | None) -> float:
+    """The share of equal sketch values below which a pair is left; 0 without deviations."""
     p = percent / 100
-    return p - DEVIATIONS * (p * (1 - p) / (TREES * LEVELS)) ** 0.5
+    return p - deviations * (p * (1 - p) / VALUES) ** 0.5 if deviations is not None else 0.0
 
 
 def alike(sketch: np.ndarray) -> np.ndarray:
@@ -138,11 +149,11 @@ def alike(sketch: np.ndarray) -> np.ndarray:
     return same.astype(np.int16)
 
 
-def node_pairs(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, block: np.ndarray, group: np.ndarray | None, percent: int, most: int | None = None) -> np.ndarray:
+def node_pairs(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, block: np.ndarray, group: np.ndarray | None, percent: int, most: int | None = None, deviations: float | None = DEVIATIONS) -> np.ndarray:
     """Pairs of one node, or of two of its blocks, that may be similar enough: a spanning forest, or with groups the ``most`` best of each row (or all) between different ones."""
     same = alike(sketch)
     small, large = np.minimum(sizes[:, None], sizes[None, :]), np.maximum(sizes[:, None], sizes[None, :])
-    fit = (same >= least_share(percent) * sketch.shape[1]) & (100 * small >= percent * large) & (ids[:, None] != ids[None, :])
+    fit = (same >= least_share(percent, deviations) * sketch.shape[1]) & (100 * small >= percent * large) & (ids[:, None] != ids[None, :])
     if block[0] != block[-1]:
         fit &= block[:, None] != block[None, :]  # pairs inside a block have their own place
     if group is not None:
@@ -172,9 +183,9 @@ def node_pairs(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, block: np
     return np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1)
 
 
-def node_links(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, block: np.ndarray, group: np.ndarray, held: list[bytes], percent: int) -> np.ndarray:
+def node_links(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, block: np.ndarray, group: np.ndarray, held: list[bytes], percent: int, deviations: float | None = DEVIATIONS) -> np.ndarray:
     """(a, b, sure) of pairs between different groups: links that the held hashes prove, one of each two groups, and pairs that they leave open."""
-    pairs = node_pairs(ids, sizes, sketch, block, group, percent, len(ids))
+    pairs = node_pairs(ids, sizes, sketch, block, group, percent, len(ids), deviations)
     if not len(pairs):
         return np.empty((0, 3), np.int64)
     lists = [np.frombuffer(h, np.uint64) for h in held]
@@ -206,47 +217,80 @@ def node_links(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, block: np
             both = len(np.intersect1d(x, y, assume_unique=True))
             seen = len(x) + len(y) - both
             p = percent / 100
-            if both >= (p - DEVIATIONS * (p * (1 - p) / seen) ** 0.5) * seen:
+            if deviations is None or both >= (p - deviations * (p * (1 - p) / seen) ** 0.5) * seen:
                 out.append((ids[i], ids[j], 0))
     return np.array(out, np.int64).reshape(-1, 3)
 
 
-def candidates(classes: DataFrame, percent: int, most: int | None = None) -> DataFrame:
-    """Pairs a < b of classes (key, n, sig, optionally grp, held) from all trees: every two classes of a node are compared. With ``held`` there is a third column, ``sure``."""
+def nodes(classes: DataFrame) -> DataFrame:
+    """key and node: the nodes of all trees where each class is compared; classes alone in a node are left out."""
+    token = lambda c: f"substring(path, {4 * c + 1}, 4)"
+    width = 4 * LEVELS * CHOSEN
+    rows = classes.select("key", F.explode(F.expr(f"transform(sequence(0, {TREES - 1}), t -> struct(cast(t as bigint) as node, substring(sig, t * {width} + 1, {width}) as path, {1 << 62}L as parent))")).alias("p")).select("key", "p.*")
+    done, last = None, None
+    for level in range(LEVELS):
+        children = F.explode(F.expr("array(" + ", ".join(f"xxhash64(node, {c}, {token(c)})" for c in range(CHOSEN)) + ")"))
+        rows = rows.select("key", children.alias("node"), F.expr(f"substring(path, {4 * CHOSEN + 1})").alias("path"), "parent")
+        counts = materialise(rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1").withColumnRenamed("node", "__node"), "counts")
+        rows = materialise(rows.join(counts, rows.node == counts["__node"]).drop("__node"), "level")
+        ends = (F.col("size") <= SMALL) | (F.col("size") >= STAYS * F.col("parent")) if level < LEVELS - 1 else F.lit(True)
+        found = rows.where(ends).select("key", "node")
+        done = found if done is None else done.unionByName(found)
+        discard(counts)
+        rows = rows.where(~ends).select("key", "node", "path", F.col("size").alias("parent"))
+        if not rows.limit(1).count():
+            break
+    return done
+
+
+def placed(classes: DataFrame, members: DataFrame) -> DataFrame:
+    """The members of nodes with the places (node, x, y) where they are compared, and ``own``, their block.
+
+    Without groups a node of several blocks has a place for each, with the
+    node's representatives. With groups (grp) a node's largest group has blocks
+    of its own, which meet those of the others only.
+    """
+    grouped = "grp" in classes.columns
+    if not grouped:
+        sizes = members.groupBy("node").agg(F.count("*").alias("count"))
+        large = materialise(sizes.where(F.col("count") > BLOCK).select(F.col("node").alias("__node"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"), "count"), "large")
+        rows = members.join(F.broadcast(large) if large.count() <= 1_000_000 else large, F.col("node") == F.col("__node"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+        head = F.pmod(F.xxhash64("key", F.lit(1)), F.coalesce("count", F.lit(1))) < HEADS
+        at = F.when((F.col("blocks") > 1) & head, F.expr("sequence(0, blocks - 1)")).otherwise(F.array("own"))
+        return rows.withColumn("own", own).withColumn("own", F.explode(at)).select("key", "node", "own", F.col("own").alias("x"), F.col("own").alias("y"))
+    rows = members.join(classes.select("key", "grp"), "key")
+    parts = rows.groupBy("node", "grp").agg(F.count("*").alias("n"))
+    sizes = parts.groupBy("node").agg(F.max(F.struct("n", "grp")).alias("top"), F.sum("n").alias("count"), F.count("*").alias("groups")).where("groups > 1")  # nodes of one group have nothing to join
+    mixed = materialise(sizes.select(F.col("node").alias("__node"), F.col("top.grp").alias("first"), F.when(F.col("count") <= BLOCK, 0).otherwise(F.ceil(F.col("top.n") / BLOCK)).cast("int").alias("wide"), F.greatest(F.lit(1), F.when(F.col("count") <= BLOCK, 1).otherwise(F.ceil((F.col("count") - F.col("top.n")) / BLOCK))).cast("int").alias("rest")), "mixed")
+    rows = rows.join(F.broadcast(mixed) if mixed.count() <= 1_000_000 else mixed, F.col("node") == F.col("__node"))
+    chief = (F.col("wide") > 0) & (F.col("grp") == F.col("first"))
+    rows = rows.withColumn("own", F.when(chief, F.pmod(F.xxhash64("key"), F.greatest("wide", F.lit(1)))).otherwise(F.col("wide") + F.pmod(F.xxhash64("key"), F.col("rest"))).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.when(chief, F.expr("sequence(wide, wide + rest - 1)")).otherwise(F.expr("sequence(0, wide + rest - 1)"))))
+    return rows.select("key", "node", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+
+
+def candidates(classes: DataFrame, members: DataFrame, percent: int, most: int | None = None, deviations: float | None = DEVIATIONS) -> DataFrame:
+    """Pairs a < b of classes (key, n, sig, optionally grp, held) that meet in a place of a node. With ``held`` there is a third column, ``sure``."""
     spark = classes.sparkSession
     grouped, final = "grp" in classes.columns, "held" in classes.columns
-    names = ["key", "n", *(["grp"] if grouped else []), *(["held"] if final else []), "sketch", "node"]
-    width = 4 * LEVELS
-    nodes = F.expr(f"transform(sequence(0, {TREES - 1}), t -> xxhash64(t, substring(sig, t * {width} + 1, {4 * FIRST})))")
-    low = F.expr(f"unhex(array_join(transform(sequence(0, {TREES * LEVELS - 1}), i -> hex(substring(sig, 4 * i + 4, 1))), ''))")
-    placed = classes.select(F.explode(nodes).alias("node"), F.col("grp") if grouped else F.lit(0).alias("grp")).groupBy("node").agg(F.count("*").alias("count"), F.min("grp").alias("lo"), F.max("grp").alias("hi"))
-    if grouped:  # nodes of one group have nothing to join
-        placed = materialise(placed.where("lo <> hi"), "mixed")
-        wanted = placed.select(F.col("node").alias("__mixed"))
-        wanted = F.broadcast(wanted) if placed.count() <= 1_000_000 else wanted
-    large = placed.where(F.col("count") > BLOCK)
-    large = materialise(large.select(F.col("node").alias("__node"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "large")
-    if large.count() <= 1_000_000:
-        large = F.broadcast(large)
-    rows = classes.select(*names[:-2], low.alias("sketch"), nodes.alias("nodes")).select(*names[:-1], F.explode("nodes").alias("node"))
-    if grouped:
-        rows = rows.join(wanted, F.col("node") == F.col("__mixed"), "left_semi")
-    rows = rows.join(large, F.col("node") == F.col("__node"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select(*names, "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    names = ["key", "n", *(["grp"] if grouped else []), *(["held"] if final else []), "sketch"]
+    low = F.expr(f"unhex(array_join(transform(sequence(0, {VALUES - 1}), i -> hex(substring(sig, 4 * i + 4, 1))), ''))")
+    own = classes.withColumn("sketch", low).select(*names)
+    rows = placed(classes, members).join(own, "key").select(*names, "node", "own", "x", "y")
     rows = rows.repartition(partitions(spark), "node", "x", "y").sortWithinPartitions("node", "x", "y", "own", "key")
 
     def run(batches):
         def pairs(table: pa.Table, bounds: list[int]):
             column = {c: table.column(c).to_numpy() for c in table.column_names if c not in ("sketch", "held")}
             held = table.column("held").to_pylist() if final else []
-            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, TREES * LEVELS)
+            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, VALUES)
             found = []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 if b - a > 1 and final:
-                    found.append(node_links(column["key"][a:b], column["n"][a:b], sketch[a:b], column["own"][a:b], column["grp"][a:b], held[a:b], percent))
+                    found.append(node_links(column["key"][a:b], column["n"][a:b], sketch[a:b], column["own"][a:b], column["grp"][a:b], held[a:b], percent, deviations))
                 elif b - a > 1:
-                    found.append(node_pairs(column["key"][a:b], column["n"][a:b], sketch[a:b], column["own"][a:b], column["grp"][a:b] if grouped else None, percent, most))
+                    found.append(node_pairs(column["key"][a:b], column["n"][a:b], sketch[a:b], column["own"][a:b], column["grp"][a:b] if grouped else None, percent, most, deviations))
                 if found and (b == bounds[-1] or sum(map(len, found)) > 100_000):
                     got = np.concatenate(found)
                     found = []
@@ -322,14 +366,18 @@ def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
     return all_v.join(higher, all_v.root == higher.g, "left").select("v", F.coalesce("top", "root").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
-    """One row a document: ``key``, ``n_shingles``, ``component_id`` and ``kept`` (it is its component's smallest id)."""
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, percent: int = 80, deviations: float | None = DEVIATIONS) -> DataFrame:
+    """One row a document: ``key``, ``n_shingles``, ``component_id`` and ``kept`` (it is its component's smallest id). Without ``deviations`` sketches leave no pair of a node out."""
     sig = materialise(signatures(docs, text, key, size), "signatures")
     classes = sig.where("n > 0 and key is not null").groupBy("s1", "s2", "n").agg(F.min("key").alias("key"), F.first("sig").alias("sig"))
     classes = materialise(classes, "classes")  # one row for each different set
     one = classes.groupBy("key").agg(F.min(F.struct("n", "s1", "s2", "sig")).alias("c")).select("key", "c.n", "c.sig")
-    tried = materialise(candidates(one, percent), "first")
-    involved = materialise(tried.select(F.col("a").alias("key")).unionByName(tried.select(F.col("b").alias("key"))).distinct(), "involved")
+    one = materialise(one, "one")
+    members = materialise(nodes(one), "nodes")
+    tried = materialise(candidates(one, members, percent, None, deviations), "first")
+    wide = members.groupBy("node").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK).select("node")  # not all of their pairs have met
+    involved = tried.select(F.col("a").alias("key")).unionByName(tried.select(F.col("b").alias("key"))).unionByName(members.join(wide, "node", "left_semi").select("key"))
+    involved = materialise(involved.distinct(), "involved")
     sets = full_sets(docs, involved, text, key, size)
     sets = materialise(sets.groupBy("key").agg(F.min(F.struct(F.length("items").alias("n"), "items")).alias("s")).select("key", "s.items"), "sets")
     groups = components(materialise(confirm(tried, sets, percent), "links"))
@@ -338,7 +386,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
         again = again.select("key", "n", "sig", F.coalesce("root", "key").alias("grp"))
         if most is None:
             again = again.join(sets.select("key", F.substring("items", 1, 8 * HELD).alias("held")), "key")
-        found = materialise(candidates(again, percent, most), "found")
+        found = materialise(candidates(again, members.join(again.select("key"), "key", "left_semi"), percent, most, deviations), "found")
         proved = found.where("sure = 1").select("a", "b") if most is None else None
         new = (found.where("sure = 0").select("a", "b") if most is None else found).join(tried, ["a", "b"], "left_anti")
         more = confirm(new, sets, percent)

@@ -174,7 +174,7 @@ def test_near_duplicates_of_one_original(spark, prose):
 def test_near_duplicates_sketch_bound_follows_percent():
     """A pair whose sketch is 4 standard deviations under the threshold goes on to its full sets."""
     for percent in (70, 80, 85, 95):
-        p, m = percent / 100, neardup.TREES * neardup.LEVELS
+        p, m = percent / 100, neardup.VALUES
         equal = int(np.ceil((p - 4 * (p * (1 - p) / m) ** 0.5) * m))
         sketch = np.zeros((2, m), np.uint8)
         sketch[1, equal:] = 1
@@ -578,3 +578,27 @@ def test_windows_sorted_by_words(spark, monkeypatch):
         want.append(len({i + k for i in range(len(w) - 2) if n[tuple(w[i : i + 3])] > 1 for k in range(3)}))
     got = hostrules.features(documents(spark, texts).withColumn("source", F.lit("s"))).orderBy("doc_id").collect()
     assert [r["n_repeat_words"] for r in got] == want
+
+
+def test_boilerplate_thins_out(spark):
+    """Documents that share a footer (similarity of 0.18) meet a small share of each other; near copies still meet."""
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(50_000)]
+    footer = " ".join(rng.choices(words, k=62))
+    texts = [" ".join(rng.choices(words, k=130)) + " " + footer for _ in range(1200)]
+    texts += [edited(texts[k], 3, k) for k in range(40)]
+    sig = neardup.signatures(documents(spark, texts), size=3)
+    classes = sig.select("key", "n", "sig")
+    members = neardup.nodes(classes)
+    met = neardup.placed(classes, members).groupBy("node", "x", "y").count().selectExpr("sum(count * (count - 1) / 2) pairs").first()["pairs"]
+    every = neardup.TREES * len(texts) * (len(texts) - 1) / 2
+    assert met < 0.02 * every  # two tokens a tree, however many share them, have 0.04 of all
+    got = neardup.near_duplicates(documents(spark, texts), size=3, percent=85).where("component_id <> doc_id").collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(1200 + k, k) for k in range(40) if brute_groups([texts[k], texts[1200 + k]], 3, 85)[1][1] == 0}
+
+
+def test_near_duplicates_without_sketches(spark, prose):
+    base = prose(150, 3)
+    texts = [base, *(edited(base, k, k) for k in range(12)), prose(150, 4)]
+    got = neardup.near_duplicates(documents(spark, texts), size=3, percent=60, deviations=None).orderBy("doc_id").collect()
+    assert [r["component_id"] for r in got] == brute_groups(texts, 3, 60)[1]
