@@ -13,8 +13,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from itertools import accumulate
-from math import exp, factorial
 
 import numpy as np
 import pandas as pd
@@ -22,21 +20,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import discard, materialise
+from .resampling import bag_weights
 
 #: Bytes of the sums that a task holds; more trees than fit take more passes a level.
 HELD = 1 << 26
-#: Cumulative Poisson(1) probabilities.
-POISSON = np.array(list(accumulate(exp(-1) / factorial(k) for k in range(12))))
-
-
-def bag_weights(row: np.ndarray, tree: int, seed: int) -> np.ndarray:
-    """Poisson(1) counts by hashes of row id and tree."""
-    with np.errstate(over="ignore"):
-        h = row.astype(np.uint64) ^ (np.uint64(tree + 1) * np.uint64(0x9E3779B97F4A7C15)) ^ (np.uint64(seed) * np.uint64(0xD1342543DE82EF95))
-        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
-        h ^= h >> np.uint64(31)
-    return np.searchsorted(POISSON, (h >> np.uint64(11)).astype(float) / (1 << 53), "right").astype(float)
 
 
 @dataclass

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import curves, probability, relational, series, stats
+from ..operators import curves, metric, probability, relational, series, stats
 from .registry import ORACLES, QUERIES, query, table
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
@@ -313,7 +313,7 @@ def shortest_paths(spark, d):
 @query("""with a as (select vec_id, embedding e from embeddings where vec_id % 20 = 0), p as (select a.vec_id q, b.vec_id n, list_distance(a.e, b.embedding) dist from a join embeddings b on a.vec_id <> b.vec_id) select q, n, row_number() over (partition by q order by dist, n) rank from p qualify row_number() over (partition by q order by dist, n) <= 5""")
 def nearest_neighbours(spark, d):
     v = table(spark, d, "embeddings")
-    return relational.nearest(v.where("vec_id % 20 = 0"), v, "vec_id", "embedding", 5).select("q", "n", "rank")
+    return metric.MetricIndex.build(v, "vec_id", "embedding").search(v.where("vec_id % 20 = 0"), "vec_id", "embedding", 5)[0].select("q", "n", "rank")
 
 
 @query("select r_name, n_name, count(*) customers, sum(c_acctbal) balance from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by rollup (r_name, n_name)")

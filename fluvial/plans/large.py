@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import likelihood, series, stats, trees
+from ..operators import likelihood, metric, resampling, series, stats, trees
 from .registry import query, table
 
 # --- windows over all rows ----------------------------------------------------------
@@ -143,3 +143,65 @@ select s, (n * (n - 1) * (2 * n + 5) - c) / 18.0 var_s, (s - sign(s)) / sqrt((n
 def mann_kendall_of_all_orders(spark, d):
     o = table(spark, d, "orders", "o_orderkey", F.floor(F.col("o_totalprice") / 1000).alias("v"))
     return stats.mann_kendall(o, "v", "o_orderkey").drop("p")
+
+
+# --- neighbours -----------------------------------------------------------------------
+
+
+@query("""with p as (select a.vec_id q, b.label y, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (cast(z[1] as double) - z[2]) ** 2))) d, b.vec_id n from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0),
+k as (select * from p qualify row_number() over (partition by q order by d, n) <= 7) select q, round(sum(y / (d * d)) / sum(1 / (d * d)), 6) predicted from k group by q""")
+def labels_by_neighbours(spark, d):
+    v = table(spark, d, "embeddings")
+    near, _ = metric.MetricIndex.build(v, "vec_id", "embedding").search(v.where("vec_id % 20 = 0"), "vec_id", "embedding", 7)
+    return metric.predicted(near, v, "vec_id", "label").select("q", F.round("predicted", 6).alias("predicted"))
+
+
+# --- bootstrap of rows ----------------------------------------------------------------
+
+
+def _weights_sql(source: str, row: str, replicates: int, seed: int = 1) -> str:
+    """Rows with the Poisson weights of all replicates: the hash of row and replicate in 128-bit arithmetic modulo 2^64."""
+    product = lambda a, b: f"cast((cast({a} as uhugeint) * cast({b} as uhugeint)) % 18446744073709551616::uhugeint as ubigint)"
+    h = f"xor(xor(cast({row} as ubigint), {product('r + 1', resampling.REPLICATE)}), {product(seed, resampling.SEED)})"
+    steps = [f"h0 as materialized (select s.*, cast(r as bigint) replicate, {h} h from {source} s, range({replicates}) t(r))"]
+    for k, (shift, factor) in enumerate(zip(resampling.SHIFTS, resampling.FINALISER, strict=False)):
+        steps.append(f"h{k + 1} as materialized (select * replace ({product(f'xor(h, h >> {shift})', factor)} as h) from h{k})")
+    u = f"(xor(h, h >> {resampling.SHIFTS[-1]}) >> 11)::double / 9007199254740992"
+    steps.append("w as materialized (select * exclude (h), " + " + ".join(f"cast(u >= {float(c)!r}::double as int)" for c in resampling.POISSON) + f" w from (select *, {u} u from h2))")
+    return "with " + ",\n".join(steps)
+
+
+_ORDERS = "(select o_orderkey, o_custkey, o_totalprice x from orders)"
+
+
+@query(_weights_sql(_ORDERS, "o_orderkey", 24) + """
+select replicate, cast(sum(w) as double) n, round(sum(w * x) / sum(w), 4) mean, round(sqrt(sum(w * (x - m) ** 2) / sum(w)), 4) sd from (select *, sum(w * x) over (partition by replicate) / sum(w) over (partition by replicate) m from w) group by replicate""")
+def bootstrap_of_order_prices(spark, d):
+    o = table(spark, d, "orders", "o_orderkey", "o_totalprice")
+    return resampling.moments(o, "o_orderkey", "o_totalprice", 24).select("replicate", "n", F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"))
+
+
+@query(_weights_sql("(select l_orderkey * 8 + l_linenumber k, l_returnflag, l_quantity x, l_extendedprice y from lineitem)", "k", 8) + """
+select l_returnflag, replicate, round((sum(w) * sum(w * x * y) - sum(w * x) * sum(w * y)) / (sum(w) * sum(w * x * x) - sum(w * x) ** 2), 4) slope from w group by 1, 2""")
+def bootstrap_of_price_slopes(spark, d):
+    rows = table(spark, d, "lineitem", "l_returnflag", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("k"), "l_quantity", "l_extendedprice")
+    return resampling.regression(rows, "k", "l_extendedprice", "l_quantity", 8, keys=["l_returnflag"]).select("l_returnflag", "replicate", F.round("slope", 4).alias("slope"))
+
+
+@query(_weights_sql(_ORDERS, "o_orderkey", 12) + """,
+c as (select *, sum(w) over (partition by replicate order by x, o_orderkey) z, sum(w) over (partition by replicate) n from w where w > 0)
+select replicate, cast(any_value(n) as double) n, round(sum(w * x) / any_value(n), 3) l1, round(2 * sum(x * (z * (z - 1) - (z - w) * (z - w - 1)) / 2e0 / (cast(n as double) * (n - 1e0))) - sum(w * x) / any_value(n), 3) l2 from c group by replicate""")
+def bootstrap_of_l_moments(spark, d):
+    o = table(spark, d, "orders", "o_orderkey", "o_totalprice")
+    return resampling.l_moments(o, "o_orderkey", "o_totalprice", 12).select("replicate", "n", F.round("l1", 3).alias("l1"), F.round("l2", 3).alias("l2"))
+
+
+@query("select count(*) n, round(avg(o_totalprice), 0) mean, true as limits_hold from orders")
+def bootstrap_limits_of_the_mean(spark, d):
+    """Limits of the mean of all orders; they hold if they are within a quarter of the normal ones' width of them."""
+    o = table(spark, d, "orders", "o_orderkey", "o_totalprice")
+    got = resampling.limits(resampling.moments(o, "o_orderkey", "o_totalprice", 400), "mean")
+    x = F.col("o_totalprice")
+    normal = o.agg(F.count("*").alias("n"), F.avg(x).alias("m"), (1.6448536 * F.stddev_samp(x) / F.sqrt(F.count("*"))).alias("h"))
+    near = lambda a, b: F.abs(F.col(a) - b) < 0.25 * F.col("h")
+    return normal.join(F.broadcast(got), F.lit(True)).select("n", F.round("m", 0).alias("mean"), (near("lower", F.col("m") - F.col("h")) & near("upper", F.col("m") + F.col("h"))).alias("limits_hold"))
