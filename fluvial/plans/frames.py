@@ -124,6 +124,20 @@ def stream_of_moments(spark, d):
     return streamed(spark, d, windows.running_moments, "complete")
 
 
+@query(f"""with o as (select event_type, ts, value, case when ts - lag(ts) over w <= interval 30 minutes then 0 else 1 end nw from events where value > 60 window w as (partition by event_type order by ts)), c as (select *, sum(nw) over (partition by event_type order by ts rows unbounded preceding) k from o)
+select event_type, max(value) peak, arg_max(ts, (value, ts)) as at, max(ts) as last, count(*) n from c group by event_type, k having max(ts) + interval 30 minutes < (select max(ts) - interval 10 minutes from events where value > 60)""")
+def stream_of_peaks(spark, d):
+    """Clusters over a threshold; those that rows may still join are open."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    windows.use_rocks(spark)
+    try:
+        got = streamed(spark, d, lambda e: windows.peaks(e, 60.0))
+    finally:
+        spark.conf.set(provider, before)
+    return got.select("event_type", "peak", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("at", "last")), "n")
+
+
 # --- readers and writers -----------------------------------------------------------------
 
 

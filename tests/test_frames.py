@@ -94,6 +94,7 @@ def test_streaming_exceedances(spark, tmp_path):
     rows = [("a", f"2024-01-01 00:{m:02d}:00", v) for m, v in ((0, 5.0), (1, 7.0), (2, 1.0), (30, 6.0), (59, 1.0))]
     spark.createDataFrame(rows, "event_type string, s string, value double").select("event_type", F.to_timestamp("s").alias("ts"), "value").coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("event_type string, ts timestamp, value double").parquet(f"{tmp_path}/in")
+    windows.use_rocks(spark)
     q = windows.exceedances(stream, 2.0, 300).writeStream.outputMode("append").format("memory").queryName("peaks").option("checkpointLocation", f"{tmp_path}/c").start()
     q.processAllAvailable()
     q.stop()
