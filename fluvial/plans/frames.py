@@ -38,10 +38,18 @@ def join_kinds(spark, d):
 @query("""select o_orderstatus, o_orderpriority, count(*) n, count(distinct o_custkey) customers, true as approximate from orders group by cube (o_orderstatus, o_orderpriority) union all select o_orderstatus, null, count(*), count(distinct o_custkey), true from orders group by grouping sets ((o_orderstatus), ())""")
 def cubes_and_distinct_counts(spark, d):
     o = table(spark, d, "orders")
-    measures = [F.count("*").alias("n"), F.count_distinct("o_custkey").alias("customers"), F.approx_count_distinct("o_custkey", 0.01).alias("about")]
-    cube = o.cube("o_orderstatus", "o_orderpriority").agg(*measures)
-    sets = o.groupingSets([["o_orderstatus"], []], "o_orderstatus").agg(*measures).withColumn("o_orderpriority", F.lit(None).cast("string"))
-    rows = cube.unionByName(sets)
+    keys = ["o_orderstatus", "o_orderpriority"]
+
+    def counted(grouped):
+        """Exact and approximate counts apart: in one aggregate each customer of each set would have a sketch."""
+        exact = grouped.agg(F.grouping_id().alias("g"), F.count("*").alias("n"), F.count_distinct("o_custkey").alias("customers"))
+        about = grouped.agg(F.grouping_id().alias("ag"), F.approx_count_distinct("o_custkey", 0.01).alias("about")).withColumnsRenamed({k: f"a_{k}" for k in keys})
+        same = F.col("g") == F.col("ag")
+        for k in (k for k in keys if k in exact.columns):
+            same = same & F.col(k).eqNullSafe(F.col(f"a_{k}"))
+        return exact.join(about, same).select(*(F.col(k) if k in exact.columns else F.lit(None).cast("string").alias(k) for k in keys), "n", "customers", "about")
+
+    rows = counted(o.cube(*keys)).unionByName(counted(o.groupingSets([["o_orderstatus"], []], "o_orderstatus")))
     return rows.withColumn("approximate", F.abs(F.col("about") - F.col("customers")) <= 0.05 * F.col("customers")).drop("about")
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
-from ..operators import likelihood, metric, resampling, series, stats, trees
+from ..operators import density, likelihood, metric, resampling, series, stats, tall, trees
 from .registry import query, table
 
 # --- windows over all rows ----------------------------------------------------------
@@ -205,3 +207,66 @@ def bootstrap_limits_of_the_mean(spark, d):
     normal = o.agg(F.count("*").alias("n"), F.avg(x).alias("m"), (1.6448536 * F.stddev_samp(x) / F.sqrt(F.count("*"))).alias("h"))
     near = lambda a, b: F.abs(F.col(a) - b) < 0.25 * F.col("h")
     return normal.join(F.broadcast(got), F.lit(True)).select("n", F.round("m", 0).alias("mean"), (near("lower", F.col("m") - F.col("h")) & near("upper", F.col("m") + F.col("h"))).alias("limits_hold"))
+
+
+# --- tall matrices, mixtures, densities -------------------------------------------------
+
+
+@query("""with v as (select embedding[1:4] x from embeddings), g as (select i, j, sum(cast(x[i] as double) * x[j]) g from v, range(1, 5) a(i), range(1, 5) b(j) group by i, j)
+select i - 1 i, j - 1 j, round(g, 6) gram from g""")
+def tall_qr_of_embeddings(spark, d):
+    """R of the first components, folded over partitions: R'R is the matrix of their products."""
+    r = tall.tall_r(table(spark, d, "embeddings", F.slice("embedding", 1, 4).alias("v")), "v")
+    g = r.T @ r
+    return spark.createDataFrame([(i, j, float(g[i, j])) for i in range(4) for j in range(4)], "i long, j long, gram double").select("i", "j", F.round("gram", 6).alias("gram"))
+
+
+@query("""with g as (select i, j, sum(cast(embedding[i] as double) * embedding[j]) g from embeddings, range(1, 65) a(i), range(1, 65) b(j) group by i, j) select count(*) // 64 n, round(sum(case when i = j then g end), 4) squares, round(sum(g * g), 2) fourth_powers from g""")
+def singular_values_of_embeddings(spark, d):
+    """Of all components: the sums of their squares and fourth powers are traces."""
+    s, _ = tall.singular_values(table(spark, d, "embeddings", "embedding"), "embedding")
+    return spark.createDataFrame([(len(s), float((s**2).sum()), float((s**4).sum()))], "n long, squares double, fourth_powers double").select("n", F.round("squares", 4).alias("squares"), F.round("fourth_powers", 2).alias("fourth_powers"))
+
+
+#: Rounds and start of the mixture of prices, in thousands.
+_ROUNDS, _START = 12, ((100.0, 400.0), (10_000.0, 10_000.0))
+
+
+def _mixture_sql() -> str:
+    """Fixed rounds of expectation and maximisation for two normal components."""
+    (m1, m2), (v1, v2) = _START
+    steps = ["x as materialized (select o_totalprice / 1000 x from orders)", f"p0 as (select 0.5::double w1, 0.5::double w2, {m1}::double m1, {m2}::double m2, {v1}::double v1, {v2}::double v2)"]
+    for k in range(_ROUNDS):
+        density = "w{0} * exp(-((x - m{0}) ** 2) / (2 * v{0})) / sqrt(2 * pi() * v{0})"
+        steps.append(f"r{k} as materialized (select x, a / (a + b) r, ln(a + b) l from (select x, {density.format(1)} a, {density.format(2)} b from x, p{k}))")
+        steps.append(f"m{k} as (select sum(r) / count(*) w1, sum(1 - r) / count(*) w2, sum(r * x) / sum(r) m1, sum((1 - r) * x) / sum(1 - r) m2, sum(l) total from r{k})")
+        steps.append(f"p{k + 1} as materialized (select w1, w2, m1, m2, sum(r * (x - m1) ** 2) / sum(r) + 1e-6 v1, sum((1 - r) * (x - m2) ** 2) / sum(1 - r) + 1e-6 v2, total from r{k}, m{k} group by w1, w2, m1, m2, total)")
+    last = f"p{_ROUNDS}"
+    return "with " + ",\n".join(steps) + f"\nselect 0 component, round(w1, 6) weight, round(m1, 4) mean, round(sqrt(v1), 4) sd, round(total, 2) loglik from {last} union all select 1, round(w2, 6), round(m2, 4), round(sqrt(v2), 4), round(total, 2) from {last}"
+
+
+@query(_mixture_sql())
+def mixture_of_order_prices(spark, d):
+    """Two components fitted to all prices in a fixed number of rounds."""
+    means, variances = _START
+    m = tall.fit_mixture(table(spark, d, "orders", F.array(F.col("o_totalprice") / 1000).alias("v")), "v", [[x] for x in means], covariances=variances, rounds=_ROUNDS, tol=0)
+    rows = [(j, float(m.weights[j]), float(m.means[j, 0]), float(m.covariances[j, 0, 0] ** 0.5), m.loglik[-1]) for j in range(2)]
+    return spark.createDataFrame(rows, "component int, weight double, mean double, sd double, loglik double").select("component", *(F.round(c, n).alias(c) for c, n in (("weight", 6), ("mean", 4), ("sd", 4), ("loglik", 2))))
+
+
+@query("""with k as (select o_orderpriority, count(*) n, min(o_totalprice) - 60000 a, max(o_totalprice) + 60000 b from orders group by 1), g as (select o_orderpriority, n, a + t * (b - a) / 255 x from k, range(256) r(t)),
+e as (select g.o_orderpriority, x, sum(exp(-(((x - o_totalprice) / 20000) ** 2) / 2)) / any_value(n) / 20000 / sqrt(2 * pi()) d from g join orders o on g.o_orderpriority = o.o_orderpriority group by 1, 2)
+select o_orderpriority, count(*) points, true as near_exact, round(sum(d) * (max(x) - min(x)) / 255, 3) total, true as within_bound from e group by 1""")
+def price_densities(spark, d):
+    """Densities of each priority's prices on a grid; beside exact sums of all kernels at every sixteenth grid point, which they are within the stated bound of."""
+    o = table(spark, d, "orders", "o_orderpriority", "o_totalprice")
+    h, points = 20_000.0, 256
+    got = density.kernel_density(o, "o_totalprice", points, ["o_orderpriority"], h=h)
+    summed = got.groupBy("o_orderpriority").agg(F.count("*").alias("points"), F.round(F.sum("density") * (F.max("x") - F.min("x")) / (points - 1), 3).alias("total"), F.min("x").alias("a"), ((F.max("x") - F.min("x")) / (points - 1)).alias("s"))
+    u = (F.col("x") - F.col("o_totalprice")) / h
+    at = summed.select("o_orderpriority", "a", "s").withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(points - 1), F.lit(16)))).select("o_orderpriority", F.col("t"), (F.col("a") + F.col("t") * F.col("s")).alias("x"), "s")
+    exact = o.join(F.broadcast(at), "o_orderpriority").groupBy("o_orderpriority", "t", "s").agg((F.sum(F.exp(-u * u / 2)) / F.count("*") / h / (2 * math.pi) ** 0.5).alias("exact"))
+    both = exact.join(got.join(F.broadcast(summed.select("o_orderpriority", "a", "s")), "o_orderpriority").select("o_orderpriority", F.round((F.col("x") - F.col("a")) / F.col("s")).cast("int").alias("t"), "density"), ["o_orderpriority", "t"])
+    bound = F.col("s") * F.col("s") * 0.4 / (8 * h**3)
+    checked = both.groupBy("o_orderpriority").agg(F.bool_and(F.abs(F.col("density") - F.col("exact")) <= bound + 1e-15).alias("within_bound"), (F.max(F.abs(F.col("density") - F.col("exact"))) < 0.01 * F.max("exact")).alias("near_exact"))
+    return summed.join(checked, "o_orderpriority").select("o_orderpriority", "points", "near_exact", "total", "within_bound")
