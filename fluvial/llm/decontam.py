@@ -11,6 +11,8 @@ larger one is a table of window hashes, broadcast while it has at most
 ``most_hashes`` rows (about 50 bytes each) and shuffled beyond that: documents,
 written once with row numbers, give a row (number, start, length, hash) for each
 window, of which only those in the set go on, to be compared word by word.
+Item ids are joined last, once for each set of them that some documents share,
+so a sentence that all items have is neither broadcast nor repeated.
 
 Edge cases: null or wordless texts have no words and no hits; an item without
 words has no window; an empty benchmark leaves every document clean; windows
@@ -38,14 +40,31 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lower, SEPARATORS), "")
 
 
-def windows(benchmark: DataFrame, size: int = 10, text: str = "text", item: str = "item_id") -> DataFrame:
-    """Distinct windows: ``win`` (words joined by spaces), ``len``, ``anchor``, ``items`` (sorted ids as strings) and ``unnamed`` (an item without id has it)."""
+def window_items(benchmark: DataFrame, size: int = 10, text: str = "text", item: str = "item_id") -> DataFrame:
+    """Distinct (win, len, anchor, item): the items (ids as strings) of each window (words joined by spaces)."""
     rows = benchmark.select(F.col(item).cast("string").alias("item"), words(F.col(text)).alias("w")).where("size(w) > 0")
     each = rows.select("item", "w", F.expr(f"explode(sequence(1, greatest(1, size(w) - {size - 1})))").alias("at"))
     each = each.select("item", F.expr(f"slice(w, at, {size})").alias("v"))
     anchor = F.expr("aggregate(v, '', (a, x) -> if(length(x) > length(a), x, a))")
-    each = each.select("item", F.array_join("v", " ").alias("win"), F.size("v").alias("len"), anchor.alias("anchor"))
-    return each.groupBy("win", "len", "anchor").agg(F.array_sort(F.collect_set("item")).alias("items"), F.bool_or(F.col("item").isNull()).alias("unnamed"))
+    return each.select(F.array_join("v", " ").alias("win"), F.size("v").alias("len"), anchor.alias("anchor"), "item").distinct()
+
+
+def windows(pairs: DataFrame) -> DataFrame:
+    """Distinct windows: ``win``, ``len``, ``anchor``, ``unnamed`` (an item without id has it) and ``list``, which windows of the same items share: a count and two sums of hashes (128 bits) of the ids. Null where no item has an id."""
+    h = lambda seed: F.sum(F.when(F.col("item").isNotNull(), F.xxhash64("item", F.lit(seed)).cast("decimal(38, 0)")))
+    listed = F.when(F.count("item") > 0, F.concat_ws(":", F.count("item"), h(1), h(2)))
+    return pairs.groupBy("win", "len", "anchor").agg(listed.alias("list"), F.bool_or(F.col("item").isNull()).alias("unnamed"))
+
+
+def _items_of(per: DataFrame, wins: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Adds ``items`` (sorted ids) to rows with ``lists``. Documents with the same lists share one set of ids, so what many items or documents have in common is made once."""
+    used = per.select(F.explode("lists").alias("list")).distinct()
+    known = wins.join(used, "list", "left_semi").groupBy(F.col("list").alias("one")).agg(F.min(F.struct("win", "len")).alias("w"))
+    ids = pairs.where("item is not null").join(known, (F.col("win") == F.col("w.win")) & (F.col("len") == F.col("w.len"))).select("one", "item")
+    sets = per.where("size(lists) > 0").select(F.col("lists").alias("__lists")).distinct()
+    sets = sets.select("__lists", F.explode("__lists").alias("one")).join(ids, "one").groupBy("__lists").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    got = per.join(sets, F.col("lists") == F.col("__lists"), "left")
+    return got.withColumn("items", F.coalesce("items", F.array().cast("array<string>"))).drop("__lists")
 
 
 def _with_hits(rows: DataFrame, keep: list[str], found: list) -> DataFrame:
@@ -102,26 +121,29 @@ def _found_windows(rows: DataFrame, wins: DataFrame, most_hashes: int) -> DataFr
 
 def find(docs: DataFrame, benchmark: DataFrame, size: int = 10, text: str = "text", item_text: str = "text", item: str = "item_id", keep: tuple[str, ...] = ("doc_id",), most_windows: int = 20_000, most_hashes: int = 2_000_000) -> DataFrame:
     """One row a document: ``keep``, ``n_words``, ``n_hit``, ``n_items``, ``items`` (sorted strings), ``spans`` (array of start, len, from 1) and ``contaminated``."""
-    wins = windows(benchmark, size, item_text, item)
+    pairs = materialise(window_items(benchmark, size, item_text, item), "items")
+    wins = materialise(windows(pairs), "windows")
     named = [f"__k{i}" for i in range(len(keep))]
     rows = docs.select(*(F.col(k).alias(n) for k, n in zip(keep, named, strict=True)), F.monotonically_increasing_id().alias("__row"), F.col(text).alias("__text"))
     own = [*named, "__row"]
     some = _bounded(wins, most_windows)
-    sets = wins.select("win", "items", "unnamed")
-    together = [F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.max("unnamed").alias("unnamed")]
+    sets = wins.select("win", "list", "unnamed")
+    together = [F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.collect_set("list")).alias("lists"), F.max("unnamed").alias("unnamed")]
     if some is not None:
         rows = rows.select(*own, words(F.col("__text")).alias("w"))
         spans = _with_hits(rows, own, some).select(*own, "n_words", F.explode_outer("ats").alias("at"))
-        joined = spans.join(F.broadcast(sets), spans["at.win"] == sets["win"], "left")
-        hits = joined.select(*own, "n_words", F.when(F.col("items").isNotNull(), F.struct(F.col("at.start"), F.col("at.len"))).alias("span"), "items", F.coalesce("unnamed", F.lit(False)).alias("unnamed"))
+        joined = spans.join(F.broadcast(sets), spans["at.win"] == sets["win"], "left")  # at most ``most_windows`` rows of a window and two numbers
+        hits = joined.select(*own, "n_words", F.when(F.col("unnamed").isNotNull(), F.struct(F.col("at.start"), F.col("at.len"))).alias("span"), "list", F.coalesce("unnamed", F.lit(False)).alias("unnamed"))
         per = hits.groupBy("__row").agg(*(F.first(n).alias(n) for n in (*named, "n_words")), *together)
     else:
         rows = materialise(rows, "numbered").withColumn("w", words(F.col("__text")))
-        hits = _found_windows(rows, wins, most_hashes).join(sets, "win").select("__row", F.struct("start", "len").alias("span"), "items", "unnamed")
+        # by a merge, whose hot windows are split at run time; the sets of a large benchmark are never broadcast
+        hits = _found_windows(rows, wins, most_hashes).join(sets.hint("merge"), "win").select("__row", F.struct("start", "len").alias("span"), "list", "unnamed")
         hits = hits.groupBy(F.col("__row").alias("__hit")).agg(*together)
         per = rows.select(*own, F.size("w").alias("n_words")).join(hits, F.col("__row") == F.col("__hit"), "left")
-        empty = {"spans": F.array().cast("array<struct<start:int,len:int>>"), "items": F.array().cast("array<string>"), "unnamed": F.lit(False)}
+        empty = {"spans": F.array().cast("array<struct<start:int,len:int>>"), "lists": F.array().cast("array<string>"), "unnamed": F.lit(False)}
         per = per.withColumns({c: F.coalesce(c, e) for c, e in empty.items()})
+    per = _items_of(materialise(per.select(*named, "n_words", "spans", "lists", "unnamed"), "hits"), wins, pairs)
     n_hit = F.expr("aggregate(spans, named_struct('n', 0L, 'e', 0), (a, s) -> named_struct('n', a.n + greatest(0, s.start + s.len - greatest(a.e, s.start)), 'e', greatest(a.e, s.start + s.len)), a -> a.n)")
     n_items = F.size("items") + F.col("unnamed").cast("int")
     return per.select(*(F.col(n).alias(k) for k, n in zip(keep, named, strict=True)), F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"), n_items.cast("long").alias("n_items"), "items", "spans", (F.size("spans") > 0).alias("contaminated"))
@@ -144,7 +166,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     With a small benchmark this is one pass over the documents, without a shuffle.
     """
     columns = docs.columns
-    wins = windows(benchmark, size, item_text, item)
+    wins = windows(window_items(benchmark, size, item_text, item))
     some = _bounded(wins, most_windows)
     named = [f"__k{i}" for i in range(len(columns))]
     if some is None:  # written once, so that documents meet their spans again by a row number

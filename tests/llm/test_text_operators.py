@@ -602,3 +602,15 @@ def test_near_duplicates_without_sketches(spark, prose):
     texts = [base, *(edited(base, k, k) for k in range(12)), prose(150, 4)]
     got = neardup.near_duplicates(documents(spark, texts), size=3, percent=60, deviations=None).orderBy("doc_id").collect()
     assert [r["component_id"] for r in got] == brute_groups(texts, 3, 60)[1]
+
+
+@pytest.mark.parametrize("most", [20_000, 0])
+def test_sentence_that_all_items_share(spark, most):
+    """Many items have one sentence: each document that has it gets them all; an item without id counts once."""
+    shared = " ".join(f"s{k}" for k in range(10))
+    items = spark.createDataFrame([(str(k), f"{shared} own{k} x y z") for k in range(300)] + [(None, f"{shared} none")], "item_id string, text string")
+    texts = [f"a b {shared} c", shared, f"{shared} own7 x", "nothing here", None, shared + " " + " ".join(f"v{k}" for k in range(30_000))]
+    got = decontam.find(documents(spark, texts), items, most_windows=most).orderBy("doc_id").collect()
+    every = sorted(str(k) for k in range(300))
+    assert [r["items"] for r in got] == [every, every, every, [], [], every]
+    assert [r["n_items"] for r in got] == [301, 301, 301, 0, 0, 301] and [r["n_hit"] for r in got] == [10, 10, 12, 0, 0, 10]
