@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..operators import density, likelihood, metric, resampling, series, stats, tall, trees
+from ..operators import breaks, density, likelihood, metric, resampling, series, stats, tall, trees
 from .registry import query, table
 
 # --- windows over all rows ----------------------------------------------------------
@@ -270,3 +270,15 @@ def price_densities(spark, d):
     bound = F.col("s") * F.col("s") * 0.4 / (8 * h**3)
     checked = both.groupBy("o_orderpriority").agg(F.bool_and(F.abs(F.col("density") - F.col("exact")) <= bound + 1e-15).alias("within_bound"), (F.max(F.abs(F.col("density") - F.col("exact"))) < 0.01 * F.max("exact")).alias("near_exact"))
     return summed.join(checked, "o_orderpriority").select("o_orderpriority", "points", "near_exact", "total", "within_bound")
+
+
+# --- classes ----------------------------------------------------------------------------
+
+
+@query("""with v as (select o_totalprice x, count(*) n from orders group by 1), c as (select x, sum(n) over w n, sum(n * x) over w s, sum(n * x * x) over w q, sum(n) over () tn, sum(n * x) over () ts, sum(n * x * x) over () tq from v window w as (order by x)),
+b as (select x, (q - s * s / n + tq - q - (ts - s) ** 2 / (tn - n)) / (tq - ts * ts / tn) rest from c where n < tn), e as (select arg_min(x, rest) x, min(rest) rest from b)
+select round(x, 2) upper, round(1 - rest, 6) fit from e union all select round(max(o_totalprice), 2), round(1 - any_value(rest), 6) from orders, e""")
+def natural_breaks_of_prices(spark, d):
+    """Two classes of all prices."""
+    ends, fit = breaks.natural_breaks(table(spark, d, "orders", "o_totalprice"), "o_totalprice", 2)
+    return spark.createDataFrame([(e, fit) for e in ends], "upper double, fit double").select(F.round("upper", 2).alias("upper"), F.round("fit", 6).alias("fit"))
