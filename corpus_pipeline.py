@@ -18,8 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluvial.llm import bpe, decontam, neardup, sufdedup, toxicity
-from fluvial.llm.common import crc_bucket, discard, materialise
+from fluvial.llm.common import batch_bytes, crc_bucket, discard, materialise
 
+#: Batches to Python workers in stages that take texts one by one, and in the third, whose packets grow with its batches.
+SMALL, LARGE = "8m", "64m"
 #: Ids (of 8 bytes) up to which a table of ids is broadcast, some 80 MB in memory.
 BROADCAST_IDS = 1_000_000
 
@@ -36,6 +38,7 @@ def public(df: DataFrame, names: dict[str, str]) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out the documents that the classifier rejects (score of 0.5 or more)."""
+    batch_bytes(spark, SMALL)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs.select("doc_id", "text"), labels, lambda key: crc_bucket(key, 5) != 0)
     rows, names = private(docs)
@@ -44,6 +47,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity of 0.8) stays: the one of the smallest id; of rows with equal id and text one stays."""
+    batch_bytes(spark, SMALL)
     found = neardup.near_duplicates(docs.select("doc_id", "text"))
     rows, names = private(docs)
     key, text = names["doc_id"], names["text"]
@@ -62,6 +66,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes passages of 200 bytes or more that stand elsewhere too; a document of which nothing is left goes."""
+    batch_bytes(spark, LARGE)
     rows, names = private(docs)
     text = names["text"]
     found = sufdedup.dedup(rows, text, tuple(rows.columns)).where("n_bytes = 0 or n_removed < n_bytes")
@@ -78,6 +83,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is left."""
     import public_tokenizers
 
+    batch_bytes(spark, SMALL)
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return bpe.encode_documents(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN, digests=True)
 

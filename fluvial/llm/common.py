@@ -64,6 +64,11 @@ def discard(*tables: DataFrame | None) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def batch_bytes(spark: SparkSession, size: str) -> None:
+    """The most bytes of a batch that goes to a Python worker from now on in this session: long texts come in smaller batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def extended(schema: StructType, ddl: str) -> StructType:
     """The schema with more columns behind it; a column of the same name gives way."""
     more = StructType.fromDDL(ddl)
