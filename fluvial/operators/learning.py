@@ -291,25 +291,6 @@ def grow_tree(x: np.ndarray, y: np.ndarray, rng, depth: int = 100, least: int =
     return Tree(best[1], float(best[2]), value, *sides)
 
 
-def forest(spark, x: np.ndarray, y: np.ndarray, test: np.ndarray, trees: int = 1000, seed: int = 1, level: float = 0.9, classify: bool = False) -> DataFrame:
-    """Rows (row, lower, median, upper, mean) of bootstrap trees' predictions: a tree is a row, and trees are grown in parallel over broadcast samples."""
-    held = spark.sparkContext.broadcast((np.asarray(x, float), np.asarray(y, float), np.asarray(test, float)))  # samples of bounded size
-
-    def run(batches):
-        x, y, t = held.value
-        for pdf in batches:
-            for k in pdf.id:
-                rng = np.random.default_rng([seed, int(k)])
-                at = rng.integers(0, len(x), len(x))
-                tree = grow_tree(x[at], y[at], rng, features=max(1, x.shape[1] - 1), classify=classify)
-                yield pd.DataFrame({"row": np.arange(len(t)), "v": tree.predict(t)})
-
-    a = (1 - level) / 2
-    rows = spark.range(0, trees, 1, min(trees, 64)).mapInPandas(run, "row long, v double")
-    got = rows.groupBy("row").agg(F.percentile("v", F.array(F.lit(a), F.lit(0.5), F.lit(1 - a))).alias("c"), F.avg("v").alias("mean"), F.mode("v").alias("mode"))
-    return got.select("row", F.element_at("c", 1).alias("lower"), F.element_at("c", 2).alias("median"), F.element_at("c", 3).alias("upper"), "mean", "mode")
-
-
 def knn_predict(x: np.ndarray, y: np.ndarray, test: np.ndarray, k: int, classify: bool = False) -> np.ndarray:
     """Weighted by 1 / d**2, or the most frequent class."""
     d = np.sqrt(((test[:, None] - x) ** 2).sum(2))

@@ -6,7 +6,6 @@ built-in aggregates and windows; only p-values need ``fluvial.functions``.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
