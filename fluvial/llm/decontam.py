@@ -63,8 +63,8 @@ def _items_of(per: DataFrame, wins: DataFrame, pairs: DataFrame) -> DataFrame:
     ids = pairs.where("item is not null").join(known, (F.col("win") == F.col("w.win")) & (F.col("len") == F.col("w.len"))).select("one", "item")
     sets = per.where("size(lists) > 0").select(F.col("lists").alias("__lists")).distinct()
     sets = sets.select("__lists", F.explode("__lists").alias("one")).join(ids, "one").groupBy("__lists").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    got = per.join(sets, F.col("lists") == F.col("__lists"), "left")
-    return got.withColumn("items", F.coalesce("items", F.array().cast("array<string>"))).drop("__lists")
+    hit = per.where("size(lists) > 0").join(sets, F.col("lists") == F.col("__lists")).drop("__lists")
+    return hit.unionByName(per.where("size(lists) = 0").withColumn("items", F.array().cast("array<string>")))  # clean documents meet nothing
 
 
 def _with_hits(rows: DataFrame, keep: list[str], found: list) -> DataFrame:
