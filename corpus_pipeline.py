@@ -21,7 +21,7 @@ from fluvial.llm import bpe, decontam, neardup, sufdedup, toxicity
 from fluvial.llm.common import batch_bytes, crc_bucket, discard, materialise
 
 #: Batches to Python workers in stages that take texts one by one, and in the third, whose packets grow with its batches.
-SMALL, LARGE = "8m", "64m"
+SMALL, LARGE = "8m", "32m"
 #: Ids (of 8 bytes) up to which a table of ids is broadcast, some 80 MB in memory.
 BROADCAST_IDS = 1_000_000
 

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct, extended
+from .common import distinct, extended, trimmed
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -235,7 +235,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, tex
                     more = [pa.array([np.frombuffer(i, "<i4") for i in ids], pa.list_(pa.int32())), pa.array(back, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*own, *more], names=out.names)
 
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(trimmed(run), out)
 
 
 def decode_documents(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -249,4 +249,4 @@ def decode_documents(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "id
             texts = [None if i is None else b"".join(map(table.value.__getitem__, i)).decode("utf-8", "replace") for i in batch.column("__ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in out.names[:-1]), pa.array(texts, pa.string())], names=out.names)
 
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(trimmed(run), out)

@@ -69,6 +69,25 @@ def batch_bytes(spark: SparkSession, size: str) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def trimmed(run):
+    """The batch function, which at a partition's end gives memory that it no longer needs back to the system: workers live on and serve later stages."""
+
+    def wrapped(batches):
+        import ctypes
+        import gc
+
+        import pyarrow
+
+        yield from run(batches)
+        gc.collect()
+        pyarrow.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:  # the C library has it
+            trim(0)
+
+    return wrapped
+
+
 def extended(schema: StructType, ddl: str) -> StructType:
     """The schema with more columns behind it; a column of the same name gives way."""
     more = StructType.fromDDL(ddl)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, flat_utf8, materialise, mixed, partitions, slices, word_hashes
+from .common import discard, flat_utf8, materialise, mixed, partitions, slices, trimmed, word_hashes
 
 #: Trees, levels of each, and tokens that a class chooses at each level. A pair at 0.80 that goes down all levels is together at the end of one of the trees with a chance of 1 - (1 - 0.96^8)^5 = 0.998, one that stops after three with 0.99998.
 TREES, LEVELS, CHOSEN = 5, 8, 2
@@ -113,7 +113,7 @@ def signatures(docs: DataFrame, text: str = "text", key: str = "doc_id", size: i
                         sig[full, f] = np.minimum.reduceat(((s ^ SEEDS[f]) * MULTIPLIERS[f] >> np.uint64(32)).astype(np.uint32), at)
                 yield pa.RecordBatch.from_arrays([batch.column("key").slice(x, y - x), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array([v.tobytes() for v in sig], pa.binary())], names=["key", "n", "s1", "s2", "sig"])
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("__text")).mapInArrow(run, "key long, n long, s1 long, s2 long, sig binary")
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("__text")).mapInArrow(trimmed(run), "key long, n long, s1 long, s2 long, sig binary")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, text: str, key: str, size: int, broadcast_ids: int = 5_000_000) -> DataFrame:
@@ -128,7 +128,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, text: str, key: str, size: int
                 s, off = shingles(col.slice(x, y - x), size)
                 yield pa.RecordBatch.from_arrays([batch.column("key").slice(x, y - x), pa.array([s[a:b].tobytes() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.binary())], names=["key", "items"])
 
-    return rows.mapInArrow(run, "key long, items binary")
+    return rows.mapInArrow(trimmed(run), "key long, items binary")
 
 
 def least_share(percent: int, deviations: float | None) -> float:
@@ -310,7 +310,7 @@ def candidates(classes: DataFrame, members: DataFrame, percent: int, most: int |
             table = pa.Table.from_batches(waiting).combine_chunks()
             yield from pairs(table, [0, table.num_rows])
 
-    return rows.mapInArrow(run, "a long, b long, sure long" if final else "a long, b long").distinct()
+    return rows.mapInArrow(trimmed(run), "a long, b long, sure long" if final else "a long, b long").distinct()
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -328,7 +328,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     good[k] = 100 * common >= percent * (len(x) + len(y) - common)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good)), batch.column("b").filter(pa.array(good))], names=["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

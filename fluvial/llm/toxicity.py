@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, distinct, extended, flat_utf8, fraction_key, input_bytes, mixed, sigmoid, slices, tallied
+from .common import RangeHash, distinct, extended, flat_utf8, fraction_key, input_bytes, mixed, sigmoid, slices, tallied, trimmed
 
 #: Bits of a feature's hash, and lengths in bytes of the word beginnings used.
 BITS = 32
@@ -136,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, usable, text: str = "text", key: s
             sets = [s.tobytes() for x, y in slices(col) for s in presence(col.slice(x, y - x))]
             yield pa.RecordBatch.from_arrays([batch.column("p"), batch.column("u"), batch.column("h"), pa.array(sets, pa.binary())], names=["p", "u", "h", "x"])
 
-    got = rows.mapInArrow(run, "p boolean, u boolean, h long, x binary").toPandas().sort_values(["h", "x"])
+    got = rows.mapInArrow(trimmed(run), "p boolean, u boolean, h long, x binary").toPandas().sort_values(["h", "x"])
     sets = [np.frombuffer(x, np.uint32) for x in got.x]
     return fit([s for s, p in zip(sets, got.p, strict=True) if p], [s for s, u in zip(sets, got.u, strict=True) if u], n_pos / n if prior is None else prior)
 
@@ -167,4 +167,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
                 s[:] = 0.0
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in out.names[:-2]), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=out.names)
 
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(trimmed(run), out)
