@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct, extended, trimmed
+from .common import distinct, extended, give_back, trimmed
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -168,11 +168,20 @@ class Codec:
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [(BREAK.split(t) if ODD.search(t) else t.split(" ")) if t else [] for t in texts]
-        split_heads = [self.find(c[0]) if c else [] for c in cut]
-        count = Counter(chain.from_iterable(islice(c, 1, None) for c in cut))
+        alone: dict[str, str] = {}  # each distinct string once: a text is held as references to its chunks
+        one = alone.setdefault
+        cut, split_heads = [], []
+        for t in texts:
+            c = (BREAK.split(t) if ODD.search(t) else t.split(" ")) if t else []
+            h = self.find(c[0]) if c else []
+            split_heads.append(list(map(one, h, h)))
+            cut.append(list(map(one, islice(c, 1, None), islice(c, 1, None))))
+        count = Counter(chain.from_iterable(cut))
         new = [w for w in count if w not in self.chunks]
-        split = [self.find(" " + w) for w in new]
+        split = []
+        for w in new:
+            f = self.find(" " + w)
+            split.append(tuple(map(one, f, f)))
         fresh = set(chain.from_iterable(chain(split, split_heads))).difference(self.packed)
         if len(self.packed) + len(fresh) > self.limit:
             self.packed.clear()
@@ -181,7 +190,7 @@ class Codec:
         self.packed.update(zip(tokens, self.replay.encode([w.encode() for w in tokens]), strict=True))
         get, each = self.packed.__getitem__, self.chunks.__getitem__
         self.chunks.update(zip(new, (b"".join(map(get, x)) for x in split), strict=True))
-        out = [b"".join(chain(map(get, h), map(each, islice(c, 1, None)))) for h, c in zip(split_heads, cut, strict=True)]
+        out = [b"".join(chain(map(get, h), map(each, c))) for h, c in zip(split_heads, cut, strict=True)]
         if len(self.chunks) > self.limit:
             self.chunks.clear()
         else:
@@ -221,8 +230,8 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, tex
         for batch in batches:
             texts = batch.column("__text")
             for x, y in blocks(texts, block_chars):
-                part = texts.slice(x, y - x).to_pylist()
-                ids = codec.encode(part)
+                ids = codec.encode(t.as_py() for t in texts.slice(x, y - x))
+                give_back()  # before the next block, which the other workers of a machine may be at
                 back = [codec.decode(i) for i in ids]
                 own = [batch.column(n).slice(x, y - x) for n in own_names]
                 if digests:

@@ -69,25 +69,43 @@ def batch_bytes(spark: SparkSession, size: str) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def give_back() -> None:
+    """Gives memory that this process no longer needs back to the system."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # the C library has it
+        trim(0)
+
+
 def trimmed(run):
-    """The batch function, which at a partition's end gives memory that it no longer needs back to the system: workers live on and serve later stages."""
+    """The batch function, which at a partition's end gives memory back: workers live on and serve later stages."""
 
     def wrapped(batches):
-        import ctypes
         import gc
 
-        import pyarrow
-
         yield from run(batches)
         gc.collect()
-        pyarrow.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:  # the C library has it
-            trim(0)
+        give_back()
 
     return wrapped
 
 
+def relieved(function):
+    """The function of a group, or of two groups, after which memory is given back. Spark tells them apart by the number of arguments."""
+
+    def run(*tables):
+        try:
+            return function(*tables)
+        finally:
+            give_back()
+
+    return (lambda a: run(a)) if function.__code__.co_argcount == 1 else (lambda a, b: run(a, b))
+
+
 def extended(schema: StructType, ddl: str) -> StructType:
     """The schema with more columns behind it; a column of the same name gives way."""
     more = StructType.fromDDL(ddl)

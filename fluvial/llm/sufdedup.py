@@ -47,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, flat_utf8, input_bytes, mixed, partitions, slices
+from .common import extended, flat_utf8, input_bytes, mixed, partitions, relieved, slices, trimmed
 
 
 def difference_cover(period: int) -> list[int]:
@@ -437,7 +437,7 @@ def dedup(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
     named = [f"__k{i}" for i in range(len(keep))]
     rows = docs.select(*(F.col(c).alias(k) for c, k in zip(keep, named, strict=True)), F.col(text).cast("string").alias("__text"))
     # a batch is one packed row, so the text is shuffled this once, and small
-    staged = rows.mapInArrow(lambda batches: dealt(batches, batch_bytes), "__batch long, __rows binary").repartition(n, "__batch")
+    staged = rows.mapInArrow(trimmed(lambda batches: dealt(batches, batch_bytes)), "__batch long, __rows binary").repartition(n, "__batch")
     out = extended(rows.select(*named).schema, "n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digests else "kept string"))
 
     def opened(table: pa.Table) -> Batch:
@@ -475,11 +475,11 @@ def dedup(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
         return pa.table([*(table.column(k) for k in named), *cols], names=out.names)
 
     by_batch = staged.groupBy("__batch")
-    replies = by_batch.applyInArrow(one, PACKET).groupBy("bucket").applyInArrow(resolve, REPLY)
+    replies = by_batch.applyInArrow(relieved(one), PACKET).groupBy("bucket").applyInArrow(relieved(resolve), REPLY)
     for step in (two, three):
-        sent = by_batch.cogroup(replies.groupBy("batch")).applyInArrow(step, PACKET)
-        replies = sent.groupBy("bucket").applyInArrow(resolve, REPLY)
-    done = by_batch.cogroup(replies.groupBy("batch")).applyInArrow(finish, out)
+        sent = by_batch.cogroup(replies.groupBy("batch")).applyInArrow(relieved(step), PACKET)
+        replies = sent.groupBy("bucket").applyInArrow(relieved(resolve), REPLY)
+    done = by_batch.cogroup(replies.groupBy("batch")).applyInArrow(relieved(finish), out)
     made = out.names[len(named) :]
     return done.select(*(F.col(k).alias(c) for c, k in zip(keep, named, strict=True) if c not in made), *made)
 
