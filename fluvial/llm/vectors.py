@@ -71,7 +71,7 @@ def nearest(x: np.ndarray, scale: int, centres: np.ndarray) -> tuple[np.ndarray,
     middle = ~fast & (bound < float(1 << 62))
     for i in np.flatnonzero(middle).tolist():
         d = ((y[i].astype(np.int64) - centres.astype(np.int64)) ** 2).sum(1)
-        label[i], dist[i] = d.argmin(), d.min()
+        label[i], dist[i] = d.argmin(), int(d.min())  # sums of numpy's integers would end at 64 bits
     for i in np.flatnonzero(~fast & ~middle).tolist():
         d = ((integers(x[i : i + 1], scale) - centres) ** 2).sum(1).tolist()
         label[i] = min(range(len(d)), key=lambda j: (d[j], j))
